@@ -112,7 +112,7 @@ def score(v: DataFrame, record: DataFrame) -> DataFrame:
     return known.withColumns({"label_all": _best([F.col(f"t{t}") for t in range(K)]), "other": _best([F.col(f"t{t}") - F.col(f"s{t}") for t in range(K)])})
 
 
-def consensus(readings: DataFrame, most_rounds: int = 15, stable: float = 2e-3) -> tuple[DataFrame, DataFrame]:
+def consensus(readings: DataFrame, most_rounds: int = 15, stable: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Labels and annotators.
 
     Labels: ``item, scale, label, n, alike, sure`` (share of the probability that the label
@@ -127,7 +127,7 @@ def consensus(readings: DataFrame, most_rounds: int = 15, stable: float = 2e-3)
     record = cut(measure(None, v))
     for _ in range(most_rounds):
         new = cut(measure(score(v, record), v))
-        moved = new.alias("a").join(record.alias("b"), ["annotator", "scale"]).agg(F.max(F.abs(F.col("a.accuracy") - F.col("b.accuracy")))).first()[0]
+        moved = new.alias("a").join(record.alias("b"), ["annotator", "scale"]).agg(F.avg(F.abs(F.col("a.accuracy") - F.col("b.accuracy")))).first()[0]
         record = new
         if moved is None or moved < stable:
             break
