@@ -2,10 +2,10 @@
 
 One chain of ``explode`` steps, as long as the data is deep, walks all levels in a
 single stage without a shuffle: each step hands on the nodes already found and adds
-the children of the newest ones. The first walk infers the merged schema (every path
-with the types seen there, so an object where others have an array is two types of
-one path); from it the second walk knows how many steps it needs, and each array
-level becomes a child table with the parent's key and the ordinal of the element.
+the children of the newest ones. How deep the data is, is read from its brackets. The
+merged schema has every path with the kinds of value seen there, so an object where
+others have an array is two kinds of one path; each array level is a child table with
+the parent's key and the ordinal of the element.
 """
 
 from __future__ import annotations
@@ -13,86 +13,99 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of the first walk; doubled until nothing deeper is left.
-FIRST_LEVELS = 8
+def _text(text: Column) -> Column:
+    """JSON text, decoded if it was encoded once more as a JSON string."""
+    inner = F.try_variant_get(F.try_parse_json(text), "$", "string")
+    return F.when(F.substring(F.ltrim(text), 1, 1) == '"', inner).otherwise(text)
 
 
 def parse(text: Column) -> Column:
     """JSON text as VARIANT; text encoded once more as a JSON string counts as decoded; null where it can't be parsed."""
-    once = F.try_parse_json(text)
-    inner = F.when(F.substring(F.ltrim(text), 1, 1) == '"', F.try_variant_get(once, "$", "string"))
-    return F.when(inner.isNotNull(), F.try_parse_json(inner)).otherwise(once)
+    return F.try_parse_json(_text(text))
 
 
-def _node(value: Column, node: Column, parent: Column, member: Column, ordinal: Column, in_array: Column) -> Column:
+def depth(df: DataFrame, text: str, longest: int = 64) -> int:
+    """Levels of nesting in a column of JSON texts, from their brackets: 1 for flat objects, 0 for an empty table.
+
+    Innermost pairs are removed until none is left; where text is deeper than ``longest``
+    or can't be parsed, what remains counts as if it were all one nest.
+    """
+    bare = F.regexp_replace(_text(F.col(text)), r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}]', "")
+    start = F.struct(bare.alias("s"), F.lit(0).alias("d"))
+    peel = lambda a, _: F.when(a["s"] == "", a).otherwise(F.struct(F.regexp_replace(a["s"], r"\{\}|\[\]", "").alias("s"), (a["d"] + 1).alias("d")))
+    levels = F.aggregate(F.sequence(F.lit(1), F.lit(longest)), start, peel, lambda a: a["d"] + F.when(a["s"] == "", 0).otherwise((F.length(a["s"]) / 2).cast("int")))
+    return df.where(F.try_parse_json(text).isNotNull()).agg(F.max(levels)).first()[0] or 0
+
+
+def _node(value: Column, node: Column, parent: Column, path: Column, ordinal: Column, in_array: bool) -> Column:
+    items, members = F.try_variant_get(value, "$", "array<variant>"), F.try_variant_get(value, "$", "map<string,variant>")
     return F.struct(
         node.alias("node"),
         parent.alias("parent"),
-        member.alias("path"),
+        path.alias("path"),
         ordinal.alias("ordinal"),
+        F.lit(in_array).alias("in_array"),
+        F.when(members.isNotNull(), "object").when(items.isNotNull(), "array").otherwise("scalar").alias("kind"),
         value.alias("value"),
-        F.try_variant_get(value, "$", "array<variant>").alias("items"),
-        F.try_variant_get(value, "$", "map<string,variant>").alias("members"),
-        in_array.alias("in_array"),
-        F.lit(True).alias("fresh"),
+        items.alias("items"),
+        members.alias("members"),
     )
 
 
 def _children(at: Column) -> Column:
     """The containers and array elements right below a node."""
-    here = F.when(at["members"].isNotNull(), at["node"]).otherwise(at["parent"])
+    here = F.when(at["kind"] == "object", at["node"]).otherwise(at["parent"])
     items = F.transform(
         at["items"],
-        lambda x, i: _node(x, F.concat(at["node"], F.lit("["), i.cast("string"), F.lit("]")), here, F.concat(at["path"], F.lit("[]")), i, F.lit(True)),
+        lambda x, i: _node(x, F.concat(at["node"], F.lit("["), i.cast("string"), F.lit("]")), here, F.concat(at["path"], F.lit("[]")), i, True),
     )
     dot = lambda left, name: F.when(left == "", name).otherwise(F.concat(left, F.lit("."), name))
     members = F.filter(
         F.transform(
             F.map_entries(at["members"]),
-            lambda e: _node(e["value"], dot(at["node"], e["key"]), here, dot(at["path"], e["key"]), F.lit(None).cast("int"), F.lit(False)),
+            lambda e: _node(e["value"], dot(at["node"], e["key"]), here, dot(at["path"], e["key"]), F.lit(None).cast("int"), False),
         ),
-        lambda n: n["items"].isNotNull() | n["members"].isNotNull(),
+        lambda n: n["kind"] != "scalar",
     )
-    return F.when(at["items"].isNotNull(), items).when(at["members"].isNotNull(), members)
+    return F.when(at["kind"] == "array", items).when(at["kind"] == "object", members)
 
 
-def walk(df: DataFrame, key: str, value: str, levels: int) -> DataFrame:
-    """All nodes down to ``levels`` below the root: ``root_id`` and the struct ``n``; fresh ones may have children."""
-    root = _node(F.col(value), F.lit(""), F.lit(""), F.lit(""), F.lit(None).cast("int"), F.lit(False))
+def walk(df: DataFrame, key: str, value: str, levels: int, keep: bool = True) -> DataFrame:
+    """All nodes down to ``levels`` below the root: ``root_id`` and the struct ``n``.
+
+    A node's ``items`` and ``members`` are there until its children are, so they tell
+    what is deeper than ``levels``. Without ``keep`` the values of finished nodes are dropped.
+    """
+    root = _node(F.col(value), F.lit(""), F.lit(""), F.lit(""), F.lit(None).cast("int"), False)
     out = df.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("root_id"), root.alias("n"))
+    kind = out.schema["n"].dataType.simpleString()
     for _ in range(levels):
         n = F.col("n")
-        done = n.withField("fresh", F.lit(False))
-        kids = F.when(n["fresh"], _children(n))
-        out = out.select("root_id", F.explode(F.concat(F.array(done), F.coalesce(kids, F.array().cast(f"array<{out.schema['n'].dataType.simpleString()}>")))).alias("n"))
+        empty = {"items": "array<variant>", "members": "map<string,variant>"} | ({} if keep else {"value": "variant"})
+        done = F.struct(*[(F.lit(None).cast(empty[c]) if c in empty else n[c]).alias(c) for c in out.schema["n"].dataType.names])
+        grown = F.concat(F.array(done), F.coalesce(_children(n), F.array().cast(f"array<{kind}>")))
+        fresh = n["items"].isNotNull() | n["members"].isNotNull()
+        out = out.select("root_id", F.explode(F.when(fresh, grown).otherwise(F.array(n))).alias("n"))
     return out
 
 
-def merged_schema(df: DataFrame, key: str, value: str) -> tuple[DataFrame, int]:
-    """Every path with the kinds of value seen there and their number, and the levels that the data has.
+def merged_schema(df: DataFrame, key: str, value: str, levels: int) -> DataFrame:
+    """Every path with the kinds of value seen there and their number: ``path, kind, in_array, nodes``.
 
-    Paths name members joined by ``.`` and array levels by ``[]``. An empty table has no path and no level.
+    Paths name members joined by ``.`` and array levels by ``[]``. An empty table has no path.
     """
-    levels = FIRST_LEVELS
-    while True:
-        n = F.col("n")
-        kind = F.when(n["members"].isNotNull(), "object").when(n["items"].isNotNull(), "array").otherwise("scalar")
-        seen = walk(df, key, value, levels).groupBy(n["path"].alias("path"), kind.alias("kind"), n["in_array"].alias("in_array")).agg(
-            F.count("*").alias("nodes"), F.max(n["fresh"] & (kind != "scalar")).alias("deeper")
-        )
-        deeper, longest = seen.agg(F.max("deeper"), F.max(F.length(F.regexp_replace("path", r"[^.\[]", "")))).first()
-        if not deeper:
-            return seen.select("path", "kind", "in_array", "nodes"), min(levels, (longest if longest is not None else -1) + 1)
-        levels *= 2
+    n = F.col("n")
+    return walk(df, key, value, levels, keep=False).groupBy(n["path"].alias("path"), n["kind"].alias("kind"), n["in_array"].alias("in_array")).agg(F.count("*").alias("nodes"))
 
 
-def flatten(df: DataFrame, key: str, value: str, levels: int | None = None) -> DataFrame:
+def flatten(df: DataFrame, key: str, value: str, levels: int, keep: bool = True) -> DataFrame:
     """One row for each object and array element below the roots of a VARIANT column.
 
     Columns: ``root_id``, ``node`` (its path, positions from 0), ``parent`` (path of
     the nearest enclosing object, empty for the root), ``path`` (the child table's name),
     ``ordinal`` (position in its array, else null), ``is_object``, ``value`` (VARIANT),
     ``row_key`` and ``parent_key`` (surrogate keys of the row and its parent).
+    Without ``keep`` the values are null.
 
     Null values (also what could not be parsed) have no rows; null elements of an array
     count for positions and are rows with a null value, members that are null or scalar
@@ -100,17 +113,15 @@ def flatten(df: DataFrame, key: str, value: str, levels: int | None = None) -> D
     object with two members of one name can't be parsed and has no rows. Repeated
     rows give repeated nodes: drop them from the input. Other columns are ignored.
     """
-    if levels is None:
-        levels = merged_schema(df, key, value)[1]
     n = F.col("n")
     row_key = lambda node: F.concat("root_id", F.lit("#"), node)
-    return walk(df, key, value, levels).where(n["node"] != "").select(
+    return walk(df, key, value, levels, keep).where(n["node"] != "").select(
         "root_id",
         n["node"].alias("node"),
         n["parent"].alias("parent"),
         n["path"].alias("path"),
         n["ordinal"].alias("ordinal"),
-        n["members"].isNotNull().alias("is_object"),
+        (n["kind"] == "object").alias("is_object"),
         n["in_array"].alias("in_array"),
         n["value"].alias("value"),
         row_key(n["node"]).alias("row_key"),

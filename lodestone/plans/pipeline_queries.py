@@ -62,15 +62,17 @@ P5_FOUND_SQL = _P5 + "select distinct tbl, ref_field, row_id, orphan_kind, perio
 P5_REPORT_SQL = _P5 + "select tbl, ref_field, orphan_kind, period, count(distinct row_id) orphans from judged where orphan_kind is not null group by all"
 
 
-def _variants(spark: SparkSession, d: str, name: str, key: str, col: str) -> DataFrame:
-    rows = table(spark, d, name).select(key, col).where(F.length(col) > 2).dropDuplicates([key, col])
-    return rows.select(key, nested.parse(F.col(col)).alias("v"))
+def _variants(spark: SparkSession, d: str, name: str, key: str, col: str) -> tuple[DataFrame, int]:
+    """The distinct contents as VARIANT, and their depth."""
+    rows = table(spark, d, name).select(key, col).where(F.length(col) > 2)
+    return rows.dropDuplicates([key, col]).select(key, nested.parse(F.col(col)).alias("v")), nested.depth(rows, col)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, key, col in (("revisions", "id", "content_json"), ("overrides", "override_id", "raw_json")):
-        nodes = nested.flatten(_variants(spark, d, name, key, col), key, "v").where("is_object")
+        rows, levels = _variants(spark, d, name, key, col)
+        nodes = nested.flatten(rows, key, "v", levels, keep=False).where("is_object")
         parts.append(nodes.select(F.lit(name).alias("src"), "root_id", "node", "parent"))
     choices = nested.flatten_map(table(spark, d, "expected").select("expected_id", "choices"), "expected_id", "choices")
     parts.append(choices.select(F.lit("expected").alias("src"), "root_id", "node", "parent").distinct())
@@ -79,12 +81,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_schema(spark: SparkSession, d: str) -> DataFrame:
     """The merged schema of the revisions' content."""
-    return nested.merged_schema(_variants(spark, d, "revisions", "id", "content_json"), "id", "v")[0]
+    rows, levels = _variants(spark, d, "revisions", "id", "content_json")
+    return nested.merged_schema(rows, "id", "v", levels)
 
 
 def p6_questions(spark: SparkSession, d: str) -> DataFrame:
     """The child table of questions, each with its parent revision and position."""
-    nodes = nested.flatten(_variants(spark, d, "revisions", "id", "content_json"), "id", "v")
+    rows, levels = _variants(spark, d, "revisions", "id", "content_json")
+    nodes = nested.flatten(rows, "id", "v", levels)
     return nested.child_table(nodes, "questions[]", {"id": "string", "number": "bigint", "label": "string", "type": "string", "points": "bigint"})
 
 
