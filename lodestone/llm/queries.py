@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import annotators
+from lodestone.llm import annotators, unify
 from lodestone.sources.tables import table
 
 # --- 1: consensus of several annotators
@@ -58,5 +58,24 @@ def p1_reliability(spark: SparkSession, d: str) -> DataFrame:
     return annotators.consensus(readings(spark, d))[1].withColumnRenamed("annotator", "provider").withColumnRenamed("scale", "field")
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability}
+# --- 4: visually identical text
+
+
+def exam_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``expected_id, field, text`` of bodies, answers and first choices, distinct."""
+    e = table(spark, d, "expected").select("expected_id", "body", "answer", F.col("choices")["①"].alias("first"))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in (("body", "body"), ("answer", "answer"), ("choices.①", "first"))])
+    return e.select("expected_id", F.inline(fields)).where("text is not null")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return unify.changed(exam_texts(spark, d), "text").select("expected_id", "field").distinct()
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in its consistent form."""
+    return unify.unify(exam_texts(spark, d), "text", "unified").select("expected_id", "field", "unified").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p4_found": p4_found, "p4_unified": p4_unified}
 ORACLE = {}
