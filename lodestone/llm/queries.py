@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import annotators, unify
+from lodestone.llm import annotators, neardup, unify
 from lodestone.sources.tables import table
 
 # --- 1: consensus of several annotators
@@ -58,6 +58,27 @@ def p1_reliability(spark: SparkSession, d: str) -> DataFrame:
     return annotators.consensus(readings(spark, d))[1].withColumnRenamed("annotator", "provider").withColumnRenamed("scale", "field")
 
 
+# --- 2: near-duplicates with small edits
+
+
+def token_bags(spark: SparkSession, d: str) -> DataFrame:
+    """``src, id, tokens``: words of exam bodies, equations (without white space) of variants."""
+    e = table(spark, d, "expected").where("body is not null").select(F.lit("expected").alias("src"), F.col("expected_id").alias("id"), F.split("body", r"(?U)\s+").alias("tokens"))
+    v = table(spark, d, "variants").where("new_equations is not null").select(F.lit("variants").alias("src"), F.col("variant_id").alias("id"), F.transform("new_equations", lambda x: F.regexp_replace(x, r"(?U)\s+", "")).alias("tokens"))
+    return e.unionByName(v)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    classes, members = neardup.pairs(token_bags(spark, d), "id", "tokens", 0.7, ["src"])
+    return neardup.members_pairs(classes, members, ["src"])
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its class of equal bags and its number of links."""
+    classes, members = neardup.pairs(token_bags(spark, d), "id", "tokens", 0.7, ["src"])
+    return neardup.groups(classes, members, ["src"])
+
+
 # --- 4: visually identical text
 
 
@@ -77,5 +98,5 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify.unify(exam_texts(spark, d), "text", "unified").select("expected_id", "field", "unified").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p4_found": p4_found, "p4_unified": p4_unified}
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_unified": p4_unified}
 ORACLE = {}
