@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import cut
+from lodestone.sources.tables import cut, keep
 
 #: Labels of the widest scale; bins of confidence, bin 0 for none or one out of range.
 K, BINS = 5, 12
@@ -123,7 +122,7 @@ def consensus(readings: DataFrame, most_rounds: int = 15, stable: float = 1e-3)
     reading's best label and says nothing of its annotator. Ties go to the least label.
     Empty input gives empty tables. Other columns of the input are ignored.
     """
-    v = votes(readings).persist(StorageLevel.MEMORY_AND_DISK)
+    v = keep(votes(readings))
     record = cut(measure(None, v))
     for _ in range(most_rounds):
         new = cut(measure(score(v, record), v))

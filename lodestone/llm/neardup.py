@@ -11,6 +11,8 @@ for all.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,13 @@ def _cell(h: Column) -> Column:
     return F.pmod(h, F.lit(CELLS)).cast("int")
 
 
-def _sketch(h: DataFrame) -> DataFrame:
-    """One row with the counts of all cells."""
+def _sketch(h: DataFrame) -> Column:
+    """How frequent the tokens of each cell are, one byte a cell: four steps for each doubling."""
     counts = h.select(F.explode("h").alias("t")).groupBy(_cell(F.col("t")).alias("cell")).agg(F.count("*").alias("n"))
-    every = h.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell"))
-    full = every.join(counts, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "n"))), lambda x: x["n"]).alias("df"))
+    level = bytearray(CELLS)
+    for cell, n in counts.collect():
+        level[cell] = min(127, round(4 * math.log2(1 + n)))
+    return F.lit(bytes(level))
 
 
 def needed(n: Column, t: float) -> Column:
@@ -76,10 +79,8 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
     reps = cut(bags.groupBy(*g, "same").agg(F.min("id").alias("id"), F.first("bag").alias("bag")).drop("same"))
 
     h = reps.select(*g, "id", F.transform("bag", lambda x: F.xxhash64(x)).alias("h"))
-    sketch = cut(_sketch(h))
-    # the sketch is a single row of fixed size
-    known = h.join(F.broadcast(sketch))
-    rank = lambda x: F.element_at("df", _cell(x) + 1)
+    sketch = _sketch(h)
+    rank = lambda x: F.ascii(F.substring(sketch, _cell(x) + 1, F.lit(1)))
     half = lambda x: F.pmod(F.shiftrightunsigned(x, 33), F.lit(2))
     n = F.size("h")
     length = n - needed(n, t) + 1
@@ -89,7 +90,7 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
         ordered = F.array_sort(F.transform("h", lambda x: F.struct(first(x).alias("f"), rank(x).alias("r"), x.alias("x"))))
         return F.transform(F.slice(ordered, 1, length), lambda s: s["x"])
 
-    signed = known.select(
+    signed = h.select(
         *g, "id", n.alias("n"),
         prefix(lambda x: F.lit(0)).alias("p1"),
         _bits(prefix(half), 1)[0].alias("p2"),
