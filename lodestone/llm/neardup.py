@@ -26,9 +26,10 @@ COPIES = 64
 
 def bag(tokens: Column) -> Column:
     """Tokens numbered by repetition, as a sorted array of strings without repeats."""
-    s = F.array_sort(F.filter(tokens, lambda x: x.isNotNull() & (x != "")))
-    # in a sorted array the first place of a token tells its repetition
-    return F.transform(s, lambda x, i: F.concat(x, F.lit("\u0001"), (i - F.array_position(s, x) + 1).cast("string")))
+    full = F.sort_array(F.filter(tokens, lambda x: x.isNotNull() & (x != "")))
+    # in a sorted array the first place of a token tells its repetition; the outer transform sorts only once
+    number = lambda s: F.transform(s, lambda x, i: F.concat(x, F.lit("\u0001"), (i - F.array_position(s, x) + 1).cast("string")))
+    return F.transform(F.array(full), number)[0]
 
 
 def _cell(h: Column) -> Column:
@@ -87,7 +88,7 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
 
     def prefix(first: Column) -> Column:
         """Hashes of the first tokens under the order: ``first``, then rarest."""
-        ordered = F.array_sort(F.transform("h", lambda x: F.struct(first(x).alias("f"), rank(x).alias("r"), x.alias("x"))))
+        ordered = F.sort_array(F.transform("h", lambda x: F.struct(first(x).alias("f"), rank(x).alias("r"), x.alias("x"))))
         return F.transform(F.slice(ordered, 1, length), lambda s: s["x"])
 
     signed = h.select(
