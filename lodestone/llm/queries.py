@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import annotators, neardup, unify
+from lodestone.llm import annotators, neardup, scan_repair, unify
 from lodestone.sources.tables import table
 
 # --- 1: consensus of several annotators
@@ -79,6 +79,27 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(classes, members, ["src"])
 
 
+# --- 3: text from scanned pages
+
+
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``src, row_id, text``: decoded page texts of providers, and exam bodies."""
+    c = table(spark, d, "candidates").where("field = 'body' and value_json is not null").select("candidate_id", "value_json")
+    decoded = F.try_variant_get(F.try_parse_json("value_json"), "$", "string")
+    c = c.select(F.lit("candidates").alias("src"), F.col("candidate_id").alias("row_id"), decoded.alias("text"))
+    e = table(spark, d, "expected").select(F.lit("expected").alias("src"), F.col("expected_id").alias("row_id"), F.col("body").alias("text"))
+    return c.unionByName(e)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.find_noise(page_texts(spark, d)).distinct()
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as continuous paragraphs."""
+    return scan_repair.repair(page_texts(spark, d))
+
+
 # --- 4: visually identical text
 
 
@@ -98,5 +119,5 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify.unify(exam_texts(spark, d), "text", "unified").select("expected_id", "field", "unified").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_unified": p4_unified}
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified}
 ORACLE = {}
