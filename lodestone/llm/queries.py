@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import annotators, neardup, scan_repair, unify
+from lodestone.llm import annotators, bpe, neardup, scan_repair, unify
 from lodestone.sources.tables import table
 
 # --- 1: consensus of several annotators
@@ -119,5 +119,19 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify.unify(exam_texts(spark, d), "text", "unified").select("expected_id", "field", "unified").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified}
+# --- 7: encoding with a public tokenizer
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, their number of ids, and whether decoding gives the text again."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    back = bpe.encode(docs, "doc_id", "text").select("doc_id", F.size("ids").alias("n_ids"), bpe.decode(F.col("ids")).alias("back"))
+    return docs.join(back, "doc_id").select("doc_id", "n_ids", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip}
 ORACLE = {}
