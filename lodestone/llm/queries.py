@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import annotators, bpe, neardup, scan_repair, unify
+from lodestone.llm import annotators, bpe, neardup, scan_repair, sentences, unify
 from lodestone.sources.tables import table
 
 # --- 1: consensus of several annotators
@@ -133,5 +133,17 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").select("doc_id", "n_ids", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip}
+# --- 9: sentences
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").distinct()
+
+
+def p9_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Units and their mean length for each document."""
+    return p9_found(spark, d).groupBy("doc_id").agg(F.count("*").alias("units"), F.avg(F.col("end_pos") - F.col("start_pos")).alias("mean_length"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p9_found": p9_found, "p9_lengths": p9_lengths}
 ORACLE = {}
