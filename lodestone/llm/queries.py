@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import annotators, bpe, neardup, scan_repair, sentences, unify
-from lodestone.sources.tables import table
+from lodestone.llm import annotators, bpe, mixing, neardup, scan_repair, sentences, unify
+from lodestone.sources.tables import cut, table
 
 # --- 1: consensus of several annotators
 
@@ -133,6 +133,24 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").select("doc_id", "n_ids", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 
 
+# --- 8: mixing sources
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "source", mixing.token_count(F.col("text")).alias("tokens"))
+    return mixing.mix(cut(docs), table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document in the mixture."""
+    return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mix(spark, d)[1]
+
+
 # --- 9: sentences
 
 
@@ -145,5 +163,5 @@ def p9_lengths(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("doc_id").agg(F.count("*").alias("units"), F.avg(F.col("end_pos") - F.col("start_pos")).alias("mean_length"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p9_found": p9_found, "p9_lengths": p9_lengths}
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_lengths": p9_lengths}
 ORACLE = {}
