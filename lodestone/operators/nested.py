@@ -20,8 +20,11 @@ def _text(text: Column) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """JSON text as VARIANT; text encoded once more as a JSON string counts as decoded; null where it can't be parsed."""
-    return F.try_parse_json(_text(text))
+    """JSON text as VARIANT; text encoded once more as a JSON string counts as decoded; null where it isn't an object or array."""
+    t = _text(text)
+    # the parser reads one value and would pass over words behind it
+    whole = F.right(F.rtrim(F.translate(t, "\t\r\n", "   ")), F.lit(1)).isin("}", "]")
+    return F.when(whole, F.try_parse_json(t))
 
 
 def depth(df: DataFrame, text: str, longest: int = 64) -> int:
