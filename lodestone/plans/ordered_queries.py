@@ -204,12 +204,12 @@ def a18_box_union(s, d):
     return spatial.box_union(part_boxes(s, d), ["p_brand"])
 
 
-@query("j15_segment_relations", "with g as (select p_brand, p_partkey id, 'n'||(p_partkey%5) p, 'n'||(p_partkey%7) q, degrees(atan2((p_size%7)-3.0, (p_partkey%11)-5.0)) d0, sqrt(((p_partkey%11)-5.0)*((p_partkey%11)-5.0)+((p_size%7)-3.0)*((p_size%7)-3.0)) z from part where (p_partkey%11)<>5 or p_size%7<>3), s as (select *, d0-180.0*floor(d0/180.0) dg from g), j as (select a.p_brand, a.id a, b.id b, a.p in (b.p,b.q) or a.q in (b.p,b.q) sh, least(abs(a.dg-b.dg),180-abs(a.dg-b.dg)) d, abs(a.z-b.z)<=0.04*greatest(a.z,b.z) eq from s a join s b on a.p_brand=b.p_brand and a.id<b.id) select p_brand, a, b, 'intersection' relation from j where sh union all select p_brand, a, b, 'parallel' from j where not sh and d<=3 union all select p_brand, a, b, 'perpendicular' from j where abs(d-90)<=3 union all select p_brand, a, b, 'equal_length' from j where eq")
+@query("j15_segment_relations", "with g as (select p_partkey//20 figure, p_partkey id, 'n'||(p_partkey%5) p, 'n'||(p_partkey%7) q, degrees(atan2((p_size%7)-3.0, (p_partkey%11)-5.0)) d0, sqrt(((p_partkey%11)-5.0)*((p_partkey%11)-5.0)+((p_size%7)-3.0)*((p_size%7)-3.0)) z from part where (p_partkey%11)<>5 or p_size%7<>3), s as (select *, d0-180.0*floor(d0/180.0) dg from g), j as (select a.figure, a.id a, b.id b, a.p in (b.p,b.q) or a.q in (b.p,b.q) sh, least(abs(a.dg-b.dg),180-abs(a.dg-b.dg)) d, abs(a.z-b.z)<=0.04*greatest(a.z,b.z) eq from s a join s b on a.figure=b.figure and a.id<b.id) select figure, a, b, 'intersection' relation from j where sh union all select figure, a, b, 'parallel' from j where not sh and d<=3 union all select figure, a, b, 'perpendicular' from j where abs(d-90)<=3 union all select figure, a, b, 'equal_length' from j where eq")
 def j15_segment_relations(s, d):
     dx, dy = (F.col("p_partkey") % 11) - 5.0, (F.col("p_size") % 7) - 3.0
     name = lambda k: F.concat(F.lit("n"), (F.col("p_partkey") % k).cast("string"))
-    seg = table(s, d, "part").select("p_brand", F.col("p_partkey").alias("id"), name(5).alias("p"), name(7).alias("q"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), dx.alias("x2"), dy.alias("y2")).where("x2 <> 0 or y2 <> 0")
-    return spatial.segment_relations(seg, ["p_brand"])
+    seg = table(s, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("figure"), F.col("p_partkey").alias("id"), name(5).alias("p"), name(7).alias("q"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), dx.alias("x2"), dy.alias("y2")).where("x2 <> 0 or y2 <> 0")
+    return spatial.segment_relations(seg, ["figure"])
 
 
 @query("m6_unmap_point", "select p_partkey, (p_size/2.0-3.0) x, (p_retailprice/2.0-4.0) y from part")
