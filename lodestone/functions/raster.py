@@ -90,3 +90,30 @@ def component_table(pages: DataFrame, key: str) -> DataFrame:
                 yield out
 
     return pages.select(key, "width", "pixels").mapInPandas(run, f"{key} {kind}, {COMPONENTS}")
+
+
+def ruled(mask: np.ndarray, rows: int = 12, columns: int = 3, least: float = 0.55) -> bool:
+    """Whether a page is a ruled sheet: so many rows and columns whose longest run covers most of it."""
+
+    def lines(m: np.ndarray) -> int:
+        r = runs(m)
+        longest = np.zeros(m.shape[0], np.int64)
+        np.maximum.at(longest, r[:, 0], r[:, 2] - r[:, 1])
+        on = longest >= least * m.shape[1]
+        # neighbouring rows are one rule
+        return int((on[1:] & ~on[:-1]).sum() + (on[0] if len(on) else 0))
+
+    m = mask.astype(bool)
+    return lines(m) >= rows and lines(m.T) >= columns
+
+
+def isolated(batches: Iterator[pd.DataFrame], work, key: str) -> Iterator[pd.DataFrame]:
+    """Runs ``work`` on each row; what fails becomes a row with an error, the others go on."""
+    for batch in batches:
+        out = []
+        for row in batch.to_dict("records"):
+            try:
+                out.append((row[key], work(row), None))
+            except Exception as x:  # noqa: BLE001 - an error is a result
+                out.append((row[key], None, f"{type(x).__name__}: {x}"[:200]))
+        yield pd.DataFrame(out, columns=[key, "result", "error"])

@@ -171,3 +171,27 @@ def contains_all(text: Column, expected: Column) -> Column:
 def unsafe_payload(s: Column) -> Column:
     """Text that carries binary data."""
     return s.rlike(r"data:[\w/+.-]+;base64,|[A-Za-z0-9+/]{256,}={0,2}")
+
+
+#: Words of equation script and the signs they stand for.
+SCRIPT_WORDS = {"TRIANGLE": "△", "ANGLE": "∠", "THEREFORE": "∴", "BECAUSE": "∵", "BOT": "⊥", "DEG": "°", "TIMES": "×", "==": "≡", "//": "∥"}
+
+
+def script_surface(s: Column) -> Column:
+    """Equation script as readable text (F15): number fractions with a slash, words as signs, layout words dropped."""
+    t = F.regexp_replace(s, r"(?i)\b(?:rm|it|bar|left|right)\b\s*|\beqalign\s*", "")
+    t = F.regexp_replace(t, r"(\d+)\s*OVER\s*(\d+)", "$1/$2")
+    for word, sign in SCRIPT_WORDS.items():
+        t = F.regexp_replace(t, rf"\b{word}\b\s*" if word.isalpha() else word, sign)
+    t = F.regexp_replace(F.replace(t, F.lit("#"), F.lit(", ")), r"[{}]", "")
+    return F.btrim(F.regexp_replace(t, r"[`\s]+", " "))
+
+
+def route(label: Column, kind: Column, body: Column, long: int = 400) -> Column:
+    """``long`` for descriptive or very long items, else ``short``."""
+    return F.when(label.rlike("논술|서술|서답|[Ee]ssay") | (kind == "descriptive") | (F.length(body) > long), "long").otherwise("short")
+
+
+def pdf_class(chars: Column, image_share: Column) -> Column:
+    """SCANNED without text, HYBRID with little text or half the page an image, else DIGITAL."""
+    return F.when(F.coalesce(chars, F.lit(0)) == 0, "SCANNED").when((chars < 20) | (F.coalesce(image_share, F.lit(0.0)) >= 0.5), "HYBRID").otherwise("DIGITAL")

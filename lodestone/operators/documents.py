@@ -160,3 +160,57 @@ def axis_errors(df: DataFrame, key: str, ticks: str, low: str, high: str) -> Dat
     steps = F.arrays_zip(F.slice(ticks, F.lit(1), F.greatest(F.size(ticks) - 1, F.lit(0))).alias("a"), F.slice(ticks, 2, 1_000_000).alias("b"))
     e = F.array(F.when(F.exists(steps, lambda s: s["b"] <= s["a"]), "ticks_do_not_rise"), F.when(F.col(low) >= F.col(high), "empty_range"), F.when(F.exists(ticks, lambda t: F.isnan(t) | (F.abs(t) > 1e6)), "number_out_of_range"))
     return df.select(key, F.explode(F.filter(e, lambda x: x.isNotNull())).alias("error"))
+
+
+def matched_items(items: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:
+    """Items with the question of their page and normal label, the first of several (J1): ``by..., item_id, id``."""
+    i = items.select(*by, "page", F.col("id").alias("item_id"), T.norm_label(F.col("label")).alias("l"))
+    q = questions.groupBy(*by, "page", T.norm_label(F.col("label")).alias("l")).agg(F.min("id").alias("id"))
+    return i.join(q, [*by, "page", "l"], "left").select(*by, "item_id", "id")
+
+
+def needs_confirmation(candidates: DataFrame, least: float = 0.8) -> DataFrame:
+    """Candidates that a person must confirm: marked so, or not sure enough (P15); the others can be preselected."""
+    sure = F.when(F.col("confidence").between(0, 1), F.col("confidence"))
+    return candidates.withColumn("confirm", F.col("requires_user_confirm") | (F.coalesce(sure, F.lit(0.0)) < least))
+
+
+def solve_targets(questions: DataFrame, units: DataFrame) -> DataFrame:
+    """Questions to solve: no stem of others, with content, and no unit or a verified one."""
+    stems = questions.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
+    u = units.groupBy(F.col("question_id").alias("id")).agg(F.bool_or(F.col("status").isin("AUTO_VERIFIED", "HUMAN_VERIFIED")).alias("ok"))
+    q = questions.where(F.btrim("body") != "").join(stems, "id", "left_anti").join(u, "id", "left")
+    return q.where(F.coalesce("ok", F.lit(True))).select("id")
+
+
+def outside(df: DataFrame, used: str, declared: str) -> DataFrame:
+    """Used concepts that aren't declared; nothing where none is declared."""
+    return df.where(F.size(declared) > 0).withColumn("outside", F.array_except(used, declared))
+
+
+def pinned(plan: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
+    """Whether every planned element still has its digest (J24, V6): ``key..., same``."""
+    c = current.select(*key, F.col("digest").alias("now"))
+    return plan.join(c, key, "left").select(*key, F.coalesce(F.col("digest") == F.col("now"), F.lit(False)).alias("same"))
+
+
+def figures_last(df: DataFrame, by: list[str], has_figure: str, order: str, most: int) -> DataFrame:
+    """``place`` with figure questions behind the others, so many at most."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(has_figure, order))
+    return df.withColumn("place", place).where(F.col("place") <= most)
+
+
+def blank_band(rows: DataFrame, by: list[str], order: str, ink: str, lowest: float = 0.55) -> DataFrame:
+    """Length of the longest blank run in the lower part of a page (W14): ``by..., zone, longest``; the zone's start, not the run's."""
+    w = Window.partitionBy(*by)
+    d = rows.withColumn("zone", F.floor(F.max(order).over(w) * (1 - lowest)).cast("int")).where(F.col(order) >= F.col("zone"))
+    n = F.row_number().over(w.orderBy(order)) - F.sum(F.when(F.col(ink) == 0, 1).otherwise(0)).over(w.orderBy(order))
+    runs = d.withColumn("island", n).groupBy(*by, "zone", "island").agg(F.count_if(F.col(ink) == 0).alias("n"))
+    return runs.groupBy(*by, "zone").agg(F.max("n").alias("longest"))
+
+
+def verdict(checks: DataFrame, issues: DataFrame, by: str) -> DataFrame:
+    """Passed when every applicable check passed and no blocking issue is open."""
+    open_ = issues.where("blocking and state = 'OPEN'").select(by).distinct().withColumn("open", F.lit(True))
+    g = checks.where("applicable").groupBy(by).agg(F.bool_and(F.col("status") == "PASSED").alias("all_passed"))
+    return g.join(open_, by, "left").select(by, (F.col("all_passed") & F.col("open").isNull()).alias("passed"))

@@ -95,3 +95,23 @@ def segment_relations(segments: DataFrame, on: list[str], angle: float = 3.0, le
     )
     found = F.filter(rel, lambda x: x.isNotNull())
     return a.join(b, cond).select(*[c(f"a.{k}").alias(k) for k in on], c("a.id").alias("a"), c("b.id").alias("b"), F.explode(found).alias("relation"))
+
+
+def best_reference(regions: DataFrame, references: DataFrame, on: list[str], least: float = 0.9, tile: float = 100.0) -> DataFrame:
+    """The first reference box that covers a region well enough (J9): ``on..., a_id, b_id, share``."""
+    j = overlap_join(regions, references, on, tile).where(F.col("share") >= least)
+    return j.groupBy(*on, "a_id").agg(F.min_by(F.struct("b_id", "share"), "b_id").alias("b")).select(*on, "a_id", "b.b_id", "b.share")
+
+
+def row_partner(boxes: DataFrame, lines: DataFrame, on: list[str], reach: float = 80.0, back: float = 15.0, dy: float = 30.0) -> DataFrame:
+    """The first line to the right of an empty box in its row (J11): ``on..., id, line_id``.
+
+    In a row: tops differ by less than the box's height (30 at least); to the right: the gap
+    is at most 80, or -15 where they overlap a little. Rows are looked up in bands of the page.
+    """
+    band = 200.0
+    b = boxes.select(*on, "id", "x", "y", "w", "h", F.explode(F.array_distinct(F.array(*[F.floor((F.col("y") + k * F.greatest(F.col("h"), F.lit(dy))) / band) for k in (-1, 0, 1)]))).alias("band"))
+    t = lines.select(*on, F.col("id").alias("line_id"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("pos"), F.floor(F.col("y") / band).alias("band"))
+    gap = F.col("lx") - (F.col("x") + F.col("w"))
+    j = b.join(t, [*on, "band"]).where((F.abs(F.col("ly") - F.col("y")) < F.greatest(F.col("h"), F.lit(dy))) & (gap >= -back) & (gap <= reach))
+    return j.groupBy(*on, "id").agg(F.min_by("line_id", F.struct("pos", "line_id")).alias("line_id"))

@@ -74,3 +74,29 @@ def fill_budget(charges: DataFrame, by: str, order: str, amount: str, cap: float
     step = lambda s, x: F.struct(F.when(s["sum"] + x["a"] <= cap, s["sum"] + x["a"]).otherwise(s["sum"]).alias("sum"), F.concat(s["ok"], F.array(s["sum"] + x["a"] <= cap)).alias("ok"))
     g = charges.groupBy(by).agg(seq.alias("seq")).withColumn("ok", F.aggregate("seq", start, step)["ok"])
     return g.select(by, F.inline(F.arrays_zip(F.transform("seq", lambda x: x["o"]).alias(order), F.transform("seq", lambda x: x["a"]).alias(amount), F.col("ok").alias("accepted"))))
+
+
+def append_revision(revisions: DataFrame, contents: DataFrame) -> DataFrame:
+    """New revisions: number and parent from the head, content hash; equal contents make none (V1, V2, V4).
+
+    ``contents``: ``document_id, content``. A document without revisions starts at 1. Undo is
+    appending an older content again.
+    """
+    h = revisions.groupBy("document_id").agg(F.max_by(F.struct("id", "revision_no", "content_hash"), F.struct("revision_no", "id")).alias("h"))
+    new = contents.withColumn("content_hash", F.sha2("content", 256)).join(h, "document_id", "left")
+    new = new.where(F.col("h.content_hash").isNull() | (F.col("h.content_hash") != F.col("content_hash")))
+    no = F.coalesce(F.col("h.revision_no"), F.lit(0)) + 1
+    ident = F.concat(F.lit("rev_"), F.substring(F.sha2(F.concat_ws("|", "document_id", no.cast("string"), "content_hash"), 256), 1, 12))
+    return new.select(ident.alias("id"), "document_id", no.alias("revision_no"), F.col("h.id").alias("parent_revision_id"), "content", "content_hash")
+
+
+def current(rows: DataFrame, key: list[str], order: list[str], deleted: str) -> DataFrame:
+    """What is there after all upserts and deletions (X1, X2, V8): the last row of each key, unless it deletes it."""
+    from lodestone.operators.ordered import latest
+
+    return latest(rows, key, order).where(~F.coalesce(F.col(deleted), F.lit(False)))
+
+
+def live(rows: DataFrame, expires: str, now: float) -> DataFrame:
+    """Rows that haven't run out."""
+    return rows.where(F.col(expires) >= now)

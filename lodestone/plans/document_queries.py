@@ -227,3 +227,63 @@ def s23_manifest_state(s, d):
     m = table(s, d, "source_assets").groupBy(F.col("id").alias("path")).agg(F.first("sha256").alias("sha256"))
     f = table(s, d, "source_pages").where("asset_id is not null").groupBy(F.col("asset_id").alias("path")).agg(F.min("original_sha256").alias("sha256"))
     return compare.verify_hashes(m, f).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("f15_script_surface")
+def f15_script_surface(s, d):
+    from lodestone.functions.mathexpr import linear_udf
+
+    v = table(s, d, "variants").select("variant_id", "new_equations").distinct()
+    e = v.select("variant_id", F.posexplode("new_equations").alias("place", "latex"))
+    return e.select("variant_id", "place", T.script_surface(linear_udf("latex")).alias("surface"))
+
+
+@query("p16_routes", "select distinct expected_id, case when regexp_matches(coalesce(label,''),'논술|서술|서답|[Ee]ssay') or type='descriptive' or length(body)>400 then 'long' else 'short' end route from (select distinct expected_id, label, type, body from expected)")
+def p16_routes(s, d):
+    return questions(s, d).select("expected_id", T.route(F.coalesce("label", F.lit("")), F.col("type"), F.col("body")).alias("route"))
+
+
+@query("p15_confirm", "select distinct candidate_id, (model_version is null) or coalesce(case when confidence between 0 and 1 then confidence end,0.0)<0.8 confirm from candidates")
+def p15_confirm(s, d):
+    c = readings(s, d).select("candidate_id", "confidence", F.col("model_version").isNull().alias("requires_user_confirm"))
+    return documents.needs_confirmation(c).select("candidate_id", "confirm")
+
+
+@query("p17_solve_targets", f"with {_Q}, p as (select q.exam_id, q.expected_id id, min(m.expected_id) par from q join q m on m.exam_id=q.exam_id and m.label=q.parent_label group by all) select expected_id id from q where trim(body,' ')<>'' and expected_id not in (select par from p)")
+def p17_solve_targets(s, d):
+    q = questions(s, d).select("exam_id", F.col("expected_id").alias("id"), "label", "parent_label", "body")
+    stems = q.where("label is not null").groupBy("exam_id", F.col("label").alias("parent_label")).agg(F.min("id").alias("parent_id"))
+    none = s.createDataFrame([], "question_id bigint, status string")
+    return documents.solve_targets(q.join(stems, ["exam_id", "parent_label"], "left"), none)
+
+
+@query("t6_figures_last", f"with {_Q}, k as (select expected_id, exam_id, row_number() over(partition by exam_id order by (type='multiple_choice'), expected_id) place from q where type is not null) select expected_id, place::int place from k where place<=20")
+def t6_figures_last(s, d):
+    q = questions(s, d).where("type is not null").withColumn("has_figure", F.col("type") == "multiple_choice")
+    return documents.figures_last(q, ["exam_id"], "has_figure", "expected_id", 20).select("expected_id", "place")
+
+
+@query("w14_blank_band", "with z as (select user_id, event_id, (event_type not in ('error','signup'))::int ink, floor(max(event_id) over(partition by user_id)*(1-0.55))::int as zone from events), d as (select * from z where event_id>=zone), i as (select *, row_number() over(partition by user_id order by event_id)-sum((ink=0)::int) over(partition by user_id order by event_id) isl from d), r as (select user_id, zone, isl, count(*) filter(ink=0) n from i group by all) select user_id, zone, max(n) longest from r group by all")
+def w14_blank_band(s, d):
+    e = table(s, d, "events").withColumn("ink", (~F.col("event_type").isin("error", "signup")).cast("int"))
+    return documents.blank_band(e, ["user_id"], "event_id", "ink")
+
+
+@query("j24_pinned", "with p as (select id, arg_min(sha256,(ingested_at,id)) as digest from source_assets group by 1), c as (select asset_id id, min(original_sha256) h from source_pages where asset_id is not null group by 1) select p.id, coalesce(p.digest=c.h,false) same from p left join c on c.id=p.id")
+def j24_pinned(s, d):
+    p = table(s, d, "source_assets").groupBy("id").agg(F.min_by("sha256", F.struct("ingested_at", "id")).alias("digest"))
+    c = table(s, d, "source_pages").where("asset_id is not null").groupBy(F.col("asset_id").alias("id")).agg(F.min("original_sha256").alias("digest"))
+    return documents.pinned(p, c, ["id"])
+
+
+@query("v1_append_revision", "with r as (select distinct id, document_id, revision_no, content_hash from revisions where document_id is not null), h as (select document_id, arg_max(id,(revision_no,id)) id, max(revision_no) no, arg_max(content_hash,(revision_no,id)) ch from r group by 1) select document_id, no+1 revision_no, id parent_revision_id, sha256(document_id||'!') content_hash from h where ch is null or ch<>sha256(document_id||'!')")
+def v1_append_revision(s, d):
+    r = table(s, d, "revisions").where("document_id is not null").select("id", "document_id", "revision_no", "content_hash").distinct()
+    new = r.select("document_id", F.concat("document_id", F.lit("!")).alias("content")).distinct()
+    return versions.append_revision(r, new).select("document_id", "revision_no", "parent_revision_id", "content_hash")
+
+
+@query("x2_current", "select user_id, event_type, event_id from (select *, row_number() over(partition by user_id, event_type order by ts desc, event_id desc) k from events) where k=1 and not value<5")
+def x2_current(s, d):
+    e = table(s, d, "events").withColumn("gone", F.col("value") < 5)
+    return versions.current(e, ["user_id", "event_type"], ["ts", "event_id"], "gone").select("user_id", "event_type", "event_id")
