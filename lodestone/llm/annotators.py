@@ -22,6 +22,8 @@ K, BINS = 5, 12
 #: Readings that an annotator's average counts for in each cell, and the accuracy before any reading.
 WEIGHT, START = 4.0, 0.7
 NEVER = -1e6
+#: Annotators' records up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST = 50_000
 
 
 def votes(readings: DataFrame) -> DataFrame:
@@ -101,9 +103,10 @@ def _best(scores: list[Column]) -> Column:
     return F.coalesce(*[F.when(s == top, F.lit(i)) for i, s in enumerate(scores)])
 
 
-def score(v: DataFrame, record: DataFrame) -> DataFrame:
+def score(v: DataFrame, record: DataFrame, small: bool = False) -> DataFrame:
     """Votes with the item's consensus (``label_all``), the one without the vote itself (``other``) and the sums."""
-    known = v.join(record.select("annotator", "scale", "table", "right", "wrong"), ["annotator", "scale"])
+    says = record.select("annotator", "scale", "table", "right", "wrong")
+    known = v.join(F.broadcast(says) if small else says, ["annotator", "scale"])
     say = {f"s{t}": F.col("w") * (F.element_at("table", F.lit(t * K + 1) + F.col("label")) + F.when(F.col("label") == t, F.element_at("right", F.col("bin") + 1)).otherwise(F.element_at("wrong", F.col("bin") + 1))) for t in range(K)}
     known = known.withColumns(say).drop("table", "right", "wrong")
     by = Window.partitionBy("item", "scale")
@@ -124,13 +127,14 @@ def consensus(readings: DataFrame, most_rounds: int = 15, stable: float = 1e-3)
     """
     v = keep(votes(readings))
     record = cut(measure(None, v))
+    small = record.count() <= BROADCAST
     for _ in range(most_rounds):
-        new = cut(measure(score(v, record), v))
+        new = cut(measure(score(v, record, small), v))
         moved = new.alias("a").join(record.alias("b"), ["annotator", "scale"]).agg(F.avg(F.abs(F.col("a.accuracy") - F.col("b.accuracy")))).first()[0]
         record = new
         if moved is None or moved < stable:
             break
-    scored = score(v, record)
+    scored = score(v, record, small)
     tops = [F.first(f"t{t}").alias(f"t{t}") for t in range(K)]
     labels = scored.groupBy("item", "scale").agg(F.first("label_all").alias("label"), F.first("n").alias("n"), F.first("alike").alias("alike"), *tops)
     top = F.greatest(*[F.col(f"t{t}") for t in range(K)])
