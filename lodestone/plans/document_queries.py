@@ -48,16 +48,16 @@ def s7_composite_key(s, d):
     return table(s, d, "source_assets").groupBy("tenant_id", "sha256").agg(F.count_distinct("id").alias("assets"), F.min("id").alias("kept"))
 
 
-@query("p1_decomposed")
-def p1_decomposed(s, d):
+@query("proj1_decomposed")
+def proj1_decomposed(s, d):
     raw = table(s, d, "overrides").select("override_id", nested.parse(F.col("raw_json")).alias("v"))
     items = raw.select("override_id", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("question", "q"))
     items = items.select("override_id", "question", F.try_variant_get("q", "$.extraction", "variant").alias("item")).where("item is not null")
     return documents.decompose(items, ["override_id", "question"], "item")
 
 
-@query("p13_review_package", f"with {SETTLED}, u as (select distinct doc_id, question_id, atu_id, kind, field from candidates), j as (select u.*, status from u join settled using(atu_id)) select doc_id, question_id, count(*) filter(status='UNVERIFIED') unverified, count(*) filter(status='CONFLICT') conflict, list_sort(list(distinct coalesce(field,kind)) filter(status in ('UNVERIFIED','CONFLICT','UNREADABLE'))) pending from j group by all having count(*) filter(status in ('UNVERIFIED','CONFLICT','UNREADABLE'))>0")
-def p13_review_package(s, d):
+@query("proj13_review_package", f"with {SETTLED}, u as (select distinct doc_id, question_id, atu_id, kind, field from candidates), j as (select u.*, status from u join settled using(atu_id)) select doc_id, question_id, count(*) filter(status='UNVERIFIED') unverified, count(*) filter(status='CONFLICT') conflict, list_sort(list(distinct coalesce(field,kind)) filter(status in ('UNVERIFIED','CONFLICT','UNREADABLE'))) pending from j group by all having count(*) filter(status in ('UNVERIFIED','CONFLICT','UNREADABLE'))>0")
+def proj13_review_package(s, d):
     r = readings(s, d)
     u = r.select("doc_id", "question_id", "atu_id", "kind", "field").distinct().join(evidence.settle(r).select("atu_id", "status"), "atu_id")
     return documents.review_package(u)
@@ -94,15 +94,15 @@ def j4_context_groups(s, d):
     return documents.context_groups(q.join(stems, ["exam_id", "parent_label"], "left"), ["exam_id"])
 
 
-@query("p22_with_parent", f"with {_Q}, p as (select exam_id, label parent_label, min(expected_id) parent_id from q where label is not null group by all), j as (select q.exam_id, q.expected_id id, p.parent_id from q left join p using(exam_id,parent_label)) select j.id, j.parent_id, m.type parent_type, m.points parent_points from j left join q m on m.expected_id=j.parent_id and m.exam_id=j.exam_id")
-def p22_with_parent(s, d):
+@query("proj22_with_parent", f"with {_Q}, p as (select exam_id, label parent_label, min(expected_id) parent_id from q where label is not null group by all), j as (select q.exam_id, q.expected_id id, p.parent_id from q left join p using(exam_id,parent_label)) select j.id, j.parent_id, m.type parent_type, m.points parent_points from j left join q m on m.expected_id=j.parent_id and m.exam_id=j.exam_id")
+def proj22_with_parent(s, d):
     q = questions(s, d).select("exam_id", F.col("expected_id").alias("id"), "label", "parent_label", "type", "points")
     stems = q.where("label is not null").groupBy("exam_id", F.col("label").alias("parent_label")).agg(F.min("id").alias("parent_id"))
     return documents.with_parent(q.join(stems, ["exam_id", "parent_label"], "left"), ["exam_id"], ["type", "points"]).select("id", "parent_id", "parent_type", "parent_points")
 
 
-@query("p23_canonical_exam", f"with {_Q}, c as (select exam_id, string_agg(concat_ws('|',coalesce(number::varchar,'-'),coalesce(label,'-'),coalesce(type,'-'),coalesce(points::varchar,'-'),coalesce(answer,'-')),chr(10) order by number nulls first, label nulls first, type nulls first, points nulls first, answer nulls first) canonical from q group by 1) select exam_id, sha256(canonical) digest from c")
-def p23_canonical_exam(s, d):
+@query("proj23_canonical_exam", f"with {_Q}, c as (select exam_id, string_agg(concat_ws('|',coalesce(number::varchar,'-'),coalesce(label,'-'),coalesce(type,'-'),coalesce(points::varchar,'-'),coalesce(answer,'-')),chr(10) order by number nulls first, label nulls first, type nulls first, points nulls first, answer nulls first) canonical from q group by 1) select exam_id, sha256(canonical) digest from c")
+def proj23_canonical_exam(s, d):
     return documents.canonical_exam(questions(s, d), "exam_id").select("exam_id", "digest")
 
 
@@ -198,8 +198,8 @@ def u5_ordered_distinct(s, d):
     return readings(s, d).where("field is not null").groupBy("question_id", "field").agg(F.min("candidate_id").alias("first_seen"), F.count("*").alias("n"))
 
 
-@query("p19_adequate_choices", "select question_id, bool_or(field='type' and contains(lower(coalesce(value_json,'')),'multiple')) is_choice, bool_or(field='answer') has_answer from candidates where field is not null group by 1")
-def p19_adequate_choices(s, d):
+@query("proj19_adequate_choices", "select question_id, bool_or(field='type' and contains(lower(coalesce(value_json,'')),'multiple')) is_choice, bool_or(field='answer') has_answer from candidates where field is not null group by 1")
+def proj19_adequate_choices(s, d):
     r = readings(s, d).where("field is not null")
     multiple = (F.col("field") == "type") & F.contains(F.lower(F.coalesce("value_json", F.lit(""))), F.lit("multiple"))
     return r.groupBy("question_id").agg(F.bool_or(multiple).alias("is_choice"), F.bool_or(F.col("field") == "answer").alias("has_answer"))
@@ -238,19 +238,19 @@ def f15_script_surface(s, d):
     return e.select("variant_id", "place", T.script_surface(linear_udf("latex")).alias("surface"))
 
 
-@query("p16_routes", "select distinct expected_id, case when regexp_matches(coalesce(label,''),'논술|서술|서답|[Ee]ssay') or type='descriptive' or length(body)>400 then 'long' else 'short' end route from (select distinct expected_id, label, type, body from expected)")
-def p16_routes(s, d):
+@query("proj16_routes", "select distinct expected_id, case when regexp_matches(coalesce(label,''),'논술|서술|서답|[Ee]ssay') or type='descriptive' or length(body)>400 then 'long' else 'short' end route from (select distinct expected_id, label, type, body from expected)")
+def proj16_routes(s, d):
     return questions(s, d).select("expected_id", T.route(F.coalesce("label", F.lit("")), F.col("type"), F.col("body")).alias("route"))
 
 
-@query("p15_confirm", "select distinct candidate_id, (model_version is null) or coalesce(case when confidence between 0 and 1 then confidence end,0.0)<0.8 confirm from candidates")
-def p15_confirm(s, d):
+@query("proj15_confirm", "select distinct candidate_id, (model_version is null) or coalesce(case when confidence between 0 and 1 then confidence end,0.0)<0.8 confirm from candidates")
+def proj15_confirm(s, d):
     c = readings(s, d).select("candidate_id", "confidence", F.col("model_version").isNull().alias("requires_user_confirm"))
     return documents.needs_confirmation(c).select("candidate_id", "confirm")
 
 
-@query("p17_solve_targets", f"with {_Q}, p as (select q.exam_id, q.expected_id id, min(m.expected_id) par from q join q m on m.exam_id=q.exam_id and m.label=q.parent_label group by all) select expected_id id from q where trim(body,' ')<>'' and expected_id not in (select par from p)")
-def p17_solve_targets(s, d):
+@query("proj17_solve_targets", f"with {_Q}, p as (select q.exam_id, q.expected_id id, min(m.expected_id) par from q join q m on m.exam_id=q.exam_id and m.label=q.parent_label group by all) select expected_id id from q where trim(body,' ')<>'' and expected_id not in (select par from p)")
+def proj17_solve_targets(s, d):
     q = questions(s, d).select("exam_id", F.col("expected_id").alias("id"), "label", "parent_label", "body")
     stems = q.where("label is not null").groupBy("exam_id", F.col("label").alias("parent_label")).agg(F.min("id").alias("parent_id"))
     none = s.createDataFrame([], "question_id bigint, status string")

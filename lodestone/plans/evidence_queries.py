@@ -55,8 +55,8 @@ def a4_status_histogram(s, d):
     return evidence.histogram(j, ["kind"], "status", ["AUTO_VERIFIED", "CONFLICT", "UNVERIFIED", "UNREADABLE"])
 
 
-@query("p18_draft_safe", "select atu_id, min(value_json) value_json, max(case when confidence between 0 and 1 then confidence end) confidence from (select distinct * from candidates) group by 1 having count(distinct coalesce(value_json,'null'))=1 and max(case when confidence between 0 and 1 then confidence end)>=0.7")
-def p18_draft_safe(s, d):
+@query("proj18_draft_safe", "select atu_id, min(value_json) value_json, max(case when confidence between 0 and 1 then confidence end) confidence from (select distinct * from candidates) group by 1 having count(distinct coalesce(value_json,'null'))=1 and max(case when confidence between 0 and 1 then confidence end)>=0.7")
+def proj18_draft_safe(s, d):
     return evidence.draft_safe(readings(s, d))
 
 
@@ -163,23 +163,23 @@ def f14_points_tag(s, d):
     return table(s, d, "expected").select("expected_id", "body").distinct().where("body is not null").select("expected_id", T.points_tag(F.col("body")).alias("points"))
 
 
-@query("p5_role_of_text", "select doc_id, case when t='' then 'UNKNOWN' when a>=1 and a>q then 'ANSWER_KEY' when q>=1 then 'QUESTION' else 'UNKNOWN' end role from (select doc_id, t, " + "+".join(f"(contains(t,'{m}') or contains(lower(t),'{m}'))::int" for m in T.ANSWER_MARKERS) + " a, " + "+".join(f"(contains(t,'{m}') or contains(lower(t),'{m}'))::int" for m in T.QUESTION_MARKERS) + " q from (select doc_id, trim(coalesce(text,''),' ') t from documents))")
-def p5_role_of_text(s, d):
+@query("proj5_role_of_text", "select doc_id, case when t='' then 'UNKNOWN' when a>=1 and a>q then 'ANSWER_KEY' when q>=1 then 'QUESTION' else 'UNKNOWN' end role from (select doc_id, t, " + "+".join(f"(contains(t,'{m}') or contains(lower(t),'{m}'))::int" for m in T.ANSWER_MARKERS) + " a, " + "+".join(f"(contains(t,'{m}') or contains(lower(t),'{m}'))::int" for m in T.QUESTION_MARKERS) + " q from (select doc_id, trim(coalesce(text,''),' ') t from documents))")
+def proj5_role_of_text(s, d):
     return table(s, d, "documents").select("doc_id", T.page_role(F.col("text")).alias("role"))
 
 
-@query("p4_label_spelling", r"select distinct expected_id, regexp_replace(regexp_replace(trim(regexp_replace(label,'\s+',' ','g')),'(\d)\s*-\s*(\d)','\1-\2','g'),'^(?:서답형|단답형|서술형|주관식|논술형)\s*(\d+)$','논술형 \1') label from expected where label is not null")
-def p4_label_spelling(s, d):
+@query("proj4_label_spelling", r"select distinct expected_id, regexp_replace(regexp_replace(trim(regexp_replace(label,'\s+',' ','g')),'(\d)\s*-\s*(\d)','\1-\2','g'),'^(?:서답형|단답형|서술형|주관식|논술형)\s*(\d+)$','논술형 \1') label from expected where label is not null")
+def proj4_label_spelling(s, d):
     return table(s, d, "expected").where("label is not null").select("expected_id", T.norm_label(F.col("label")).alias("label")).distinct()
 
 
-@query("p20_scrub", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,'(api[_-]?key|token|secret|password|passwd|authorization)(\s*[:=]\s*)[''"]?[^\s''"]+','\1\2<REDACTED>','gi'),'bearer\s+[a-z0-9._\-]+','Bearer <REDACTED>','gi'),'[A-Za-z]:\\[^\s''"]+','<PATH>','g'),'/(?:home|Users|tmp|var)/[^\s''"]+','<PATH>','g'),'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}','<EMAIL>','g'),'\b0\d{1,2}[-.\s]?\d{3,4}[-.\s]?\d{4}\b','<PHONE>','g') clean from documents where text is not null""")
-def p20_scrub(s, d):
+@query("proj20_scrub", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,'(api[_-]?key|token|secret|password|passwd|authorization)(\s*[:=]\s*)[''"]?[^\s''"]+','\1\2<REDACTED>','gi'),'bearer\s+[a-z0-9._\-]+','Bearer <REDACTED>','gi'),'[A-Za-z]:\\[^\s''"]+','<PATH>','g'),'/(?:home|Users|tmp|var)/[^\s''"]+','<PATH>','g'),'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}','<EMAIL>','g'),'\b0\d{1,2}[-.\s]?\d{3,4}[-.\s]?\d{4}\b','<PHONE>','g') clean from documents where text is not null""")
+def proj20_scrub(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", T.scrub(F.col("text")).alias("clean"))
 
 
-@query("p21_digest", """select id, sha256('{"checked":' || case when deleted_at is null then 'null' else '1' end || ',"id":"' || id || '","state":' || coalesce('"'||lifecycle_state||'"','null') || '}') digest from (select distinct id, deleted_at, lifecycle_state from doc_registry)""")
-def p21_digest(s, d):
+@query("proj21_digest", """select id, sha256('{"checked":' || case when deleted_at is null then 'null' else '1' end || ',"id":"' || id || '","state":' || coalesce('"'||lifecycle_state||'"','null') || '}') digest from (select distinct id, deleted_at, lifecycle_state from doc_registry)""")
+def proj21_digest(s, d):
     r = table(s, d, "doc_registry").select("id", "deleted_at", "lifecycle_state").distinct()
     return r.select("id", T.digest({"id": F.col("id"), "state": F.col("lifecycle_state"), "checked": F.when(F.col("deleted_at").isNotNull(), 1)}).alias("digest"))
 
@@ -308,8 +308,8 @@ def a27_fill_budget(s, d):
     return versions.fill_budget(e, "user_id", "event_id", "value", 500.0)
 
 
-@query("p11_access", "with m as (select s_suppkey%97 user_id, 't'||(s_nationkey%5) tenant_id, min(case when s_acctbal>5000 then 'OWNER' else 'VIEWER' end) r from supplier group by all), g as (select user_id%97 user_id, event_type doc_id, min('EDITOR') r from events where event_type='click' group by all), q as (select event_id request_id, user_id%97 user_id, 't'||(user_id%5) tenant_id, event_type doc_id, case when event_id%2=0 then 'read' else 'write' end act from events) select request_id, coalesce(m.r,g.r) as role, case coalesce(m.r,g.r) when 'OWNER' then true when 'EDITOR' then true when 'VIEWER' then act='read' else false end allowed from q left join m using(user_id,tenant_id) left join g using(user_id,doc_id)")
-def p11_access(s, d):
+@query("proj11_access", "with m as (select s_suppkey%97 user_id, 't'||(s_nationkey%5) tenant_id, min(case when s_acctbal>5000 then 'OWNER' else 'VIEWER' end) r from supplier group by all), g as (select user_id%97 user_id, event_type doc_id, min('EDITOR') r from events where event_type='click' group by all), q as (select event_id request_id, user_id%97 user_id, 't'||(user_id%5) tenant_id, event_type doc_id, case when event_id%2=0 then 'read' else 'write' end act from events) select request_id, coalesce(m.r,g.r) as role, case coalesce(m.r,g.r) when 'OWNER' then true when 'EDITOR' then true when 'VIEWER' then act='read' else false end allowed from q left join m using(user_id,tenant_id) left join g using(user_id,doc_id)")
+def proj11_access(s, d):
     e = table(s, d, "events")
     user = (F.col("user_id") % 97).alias("user_id")
     members = table(s, d, "supplier").groupBy((F.col("s_suppkey") % 97).alias("user_id"), F.concat(F.lit("t"), (F.col("s_nationkey") % 5).cast("string")).alias("tenant_id")).agg(F.min(F.when(F.col("s_acctbal") > 5000, "OWNER").otherwise("VIEWER")).alias("member_role"))

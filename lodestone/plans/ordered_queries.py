@@ -234,8 +234,8 @@ def figures(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, labels
 
 
-@query("p8_scene_errors")
-def p8_scene_errors(s, d):
+@query("proj8_scene_errors")
+def proj8_scene_errors(s, d):
     return scenes.validate(*figures(s, d))
 
 
