@@ -4,22 +4,26 @@ Similarity of two token bags: the tokens both have (repetitions counted) as a sh
 larger bag. A repetition makes a token of its own, so a bag is a set. For a bag of n tokens
 and a threshold t, any bag similar to it has one of the first n - ceil(t n) + 1 tokens under
 *every* order of all tokens. Candidates meet on a prefix token of the first order and must
-also share prefix tokens under the others, before the exact count. Orders come from a sketch
-of token frequencies of fixed size, rarest first; an order need not be exact, only the same
-for all.
+also share prefix tokens under the others and may not differ in too many bits of a bitmap of
+their tokens, before the exact count. Orders come from a sketch of token frequencies of fixed
+size, rarest first; an order need not be exact, only the same for all.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import cut
+from lodestone.sources.tables import cut, keep
 
 #: Cells of the frequency sketch. Its size doesn't grow with the data.
 CELLS = 1 << 16
+#: 64-bit words of the bitmap of a bag's tokens; half as many, folded, are looked at first.
+BITS = 8
 #: Copies of one bag up to which each pair of them is listed; more are listed as pairs with the first.
 COPIES = 64
 
@@ -68,15 +72,17 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
     """Similar bags: pairs of classes of equal bags, and the members of each class.
 
     Pairs: ``within..., a, b, common, larger`` (a < b, ids of the classes' first members).
-    Members: ``within..., key, class``. Rows are compared only where the columns ``within``
+    Members: ``within..., id, class, copies`` (rows in the class). Rows are compared only where the columns ``within``
     are equal. Null or empty bags (also of nothing but null or empty tokens) are in no class.
     Rows equal in key and bag count once; a key with several bags is in several classes.
     Other columns are ignored.
     """
     g = list(within or [])
     bags = df.select(*g, F.col(key).alias("id"), bag(F.col(tokens)).alias("bag")).where(F.size("bag") > 0)
-    bags = bags.withColumn("same", F.sha2(F.concat_ws("\u0002", "bag"), 256))
-    members = bags.select(*g, "id", "same").distinct().withColumn("class", F.min("id").over(Window.partitionBy(*g, "same"))).select(*g, "id", "class", "same")
+    # computed once and kept where they are: equal bags only come together after a partial aggregation
+    bags = keep(bags.withColumn("same", F.sha2(F.concat_ws("\u0002", "bag"), 256)))
+    ids = bags.select(*g, "id", "same").distinct()
+    members = ids.join(ids.groupBy(*g, "same").agg(F.min("id").alias("class"), F.count("*").alias("copies")), [*g, "same"])
     reps = cut(bags.groupBy(*g, "same").agg(F.min("id").alias("id"), F.first("bag").alias("bag")).drop("same"))
 
     h = reps.select(*g, "id", F.transform("bag", lambda x: F.xxhash64(x)).alias("h"))
@@ -96,15 +102,22 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
         prefix(lambda x: F.lit(0)).alias("p1"),
         _bits(prefix(half), 1)[0].alias("p2"),
         _bits(prefix(lambda x: 1 - half(x)), 1)[0].alias("p3"),
-        *[b.alias(f"s{i}") for i, b in enumerate(_bits(F.col("h"), 4))],
+        *[b.alias(f"s{i}") for i, b in enumerate(_bits(F.col("h"), BITS))],
     )
     signed = cut(signed)
-    post = signed.select(*g, "id", "n", "p2", "p3", *[f"s{i}" for i in range(4)], F.posexplode("p1").alias("place", "token"))
+    post = signed.select(*g, "id", "n", "p2", "p3", *[f"s{i}" for i in range(BITS)], F.posexplode("p1").alias("place", "token"))
     a, b = post.alias("a"), post.alias("b")
     A, B = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     larger = F.greatest(A("n"), B("n"))
     need = needed(larger, t)
-    missing = lambda x, y: sum((F.bit_count(x(f"s{i}").bitwiseAND(F.bitwise_not(y(f"s{i}")))) for i in range(1, 4)), F.bit_count(x("s0").bitwiseAND(F.bitwise_not(y("s0")))))
+
+    def missing(x: Callable[[str], Column], y: Callable[[str], Column], folded: bool) -> Column:
+        """At least so many tokens of one bag are not in the other: bits that only one has."""
+        half_bits = BITS // 2
+        word = lambda t, i: t(f"s{i}").bitwiseOR(t(f"s{i + half_bits}")) if folded else t(f"s{i}")
+        words = [(word(x, i), word(y, i)) for i in range(half_bits if folded else BITS)]
+        return reduce(lambda p, q: p + q, [F.bit_count(u.bitwiseAND(F.bitwise_not(v))) for u, v in words])
+
     on = (
         (A("token") == B("token"))
         & (A("id") < B("id"))
@@ -113,8 +126,9 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
         & (F.least(A("n") - A("place"), B("n") - B("place")) >= need)
         & (A("p2").bitwiseAND(B("p2")) != 0)
         & (A("p3").bitwiseAND(B("p3")) != 0)
-        & (A("n") - missing(A, B) >= need)
-        & (B("n") - missing(B, A) >= need)
+        & (A("n") - missing(A, B, True) >= need)
+        & (A("n") - missing(A, B, False) >= need)
+        & (B("n") - missing(B, A, False) >= need)
     )
     for c in g:
         on = on & (A(c) == B(c))
@@ -124,7 +138,7 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
     common = F.size(F.array_intersect("bag_a", "bag_b"))
     most = F.greatest(F.size("bag_a"), F.size("bag_b"))
     exact = both.select(*g, "a", "b", common.alias("common"), most.alias("larger")).where(F.col("common") >= needed(F.col("larger"), t))
-    return exact, members.select(*g, "id", "class")
+    return exact, members.select(*g, "id", "class", "copies")
 
 
 def members_pairs(classes: DataFrame, members: DataFrame, within: list[str] | None = None, copies: int = COPIES) -> DataFrame:
@@ -135,8 +149,7 @@ def members_pairs(classes: DataFrame, members: DataFrame, within: list[str] | No
     are all kept, and a huge group of copies gives as many rows as it has members.
     """
     g = list(within or [])
-    by = Window.partitionBy(*g, "class")
-    sized = members.withColumn("many", F.count("*").over(by) > copies)
+    sized = members.withColumn("many", F.col("copies") > copies)
     front = sized.where("not many or id = class").select(*g, "id", "class")
     a = front.select(*g, F.col("id").alias("x"), F.col("class").alias("a"))
     b = front.select(*g, F.col("id").alias("y"), F.col("class").alias("b"))
@@ -149,5 +162,4 @@ def groups(classes: DataFrame, members: DataFrame, within: list[str] | None = No
     """One row per record: ``id``, its class, copies in it, and the number of classes linked to it."""
     g = list(within or [])
     links = classes.select(*g, F.explode(F.array("a", "b")).alias("class")).groupBy(*g, "class").agg(F.count("*").alias("links"))
-    copies = members.groupBy(*g, "class").agg(F.count("*").alias("copies"))
-    return members.join(copies, [*g, "class"]).join(links, [*g, "class"], "left").select(*g, "id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(links, [*g, "class"], "left").select(*g, "id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
