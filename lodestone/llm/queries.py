@@ -164,4 +164,18 @@ def p9_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_lengths": p9_lengths}
-ORACLE = {}
+_WS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+P2_FOUND_SQL = rf"""
+with e as (
+  select distinct 'expected' src, expected_id id, list_filter(regexp_split_to_array(body, '{_WS}'), lambda x: x <> '') w from expected where body is not null
+  union all select distinct 'variants', variant_id, list_filter(list_transform(new_equations, lambda x: regexp_replace(x, '{_WS}', '', 'g')), lambda x: x is not null and x <> '') from variants where new_equations is not null),
+n as (select src, id, len(w) n from e where len(w) > 0),
+k as (select src, id, t, count(*) c from (select src, id, unnest(w) t from e) group by all),
+p as (select a.src, a.id a, b.id b, sum(least(a.c, b.c)) o from k a join k b on a.src = b.src and a.t = b.t and a.id < b.id group by all)
+select p.src, a id_a, b id_b from p join n x on x.src = p.src and x.id = a join n y on y.src = p.src and y.id = b where o >= 0.7 * greatest(x.n, y.n) - 1e-9"""
+
+#: What exam texts have in these tables when typed plainly: ASCII, syllables, accented letters and the signs kept by design.
+_TYPED = r"[^\x00-\x7F가-힣À-ÖØ-öø-ÿ°²θ∠⊥①-⑤ㄱ-ㅎ]"
+P4_FOUND_SQL = " union all ".join(f"select distinct expected_id, '{f}' field from expected where regexp_matches({c}, '{_TYPED}')" for f, c in (("body", "body"), ("answer", "answer"), ("choices.①", "choices['①']")))
+
+ORACLE = {"p2_found": P2_FOUND_SQL, "p4_found": P4_FOUND_SQL}
