@@ -92,5 +92,15 @@ def p6_questions(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_table(nodes, "questions[]", {"id": "string", "number": "bigint", "label": "string", "type": "string", "points": "bigint"})
 
 
+P6_FOUND_SQL = r"""
+with raw as (select distinct 'revisions' src, id root_id, content_json j from revisions union all select distinct 'overrides', override_id::varchar, raw_json from overrides),
+valid as (select * from raw where json_valid(j)),
+decoded as (select src, root_id, case when json_type(j) = 'VARCHAR' then json_extract_string(j, '$') else j end j from valid),
+roots as (select * from decoded where json_valid(j) and json_type(j) = 'OBJECT'),
+nodes as (select src, root_id, replace(regexp_replace(fullkey, '^\$\.?', ''), '"', '') node from roots, json_tree(j) where type = 'OBJECT')
+select src, root_id, node, regexp_replace(regexp_replace(node, '(\[\d+\])+$', ''), '\.?[^.]*$', '') parent from nodes where node <> ''
+union all
+select distinct 'expected', expected_id::varchar, 'choices.' || k, '' from (select expected_id, unnest(map_keys(choices)) k, unnest(map_values(choices)) v from expected) where v is not null"""
+
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_schema": p6_schema, "p6_questions": p6_questions}
-ORACLE = {"p5_found": P5_FOUND_SQL, "p5_report": P5_REPORT_SQL}
+ORACLE = {"p5_found": P5_FOUND_SQL, "p5_report": P5_REPORT_SQL, "p6_found": P6_FOUND_SQL}
