@@ -18,12 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import cut
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern of words, with white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 #: Places of the literal map's first level; a map is searched from its start, so each holds a few pieces.
 PLACES = 1 << 13
 NONE = 2**31 - 1
+#: Words of the dictionary up to which it is broadcast; beyond, occurrences are shuffled to it.
+BROADCAST = 200_000
 #: Bytes of a word up to which it is folded; longer ones take a heap, in Python, to the same ids.
 FOLDED = 96
 
@@ -136,13 +140,15 @@ def encode(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFr
     """``key, ids`` of every row; keys are unique.
 
     Null and empty texts have no ids (an empty array). White space and strings that look
-    like control tokens are ordinary text. Other columns are ignored. A word that very many
-    texts share is one row of the dictionary; the rows that ask for it are split by the
-    session's skew handling.
+    like control tokens are ordinary text. Other columns are ignored. The dictionary of
+    distinct words is encoded once and counted; a small one is broadcast. To a large one
+    occurrences are shuffled, and those of a word that very many texts share are split by
+    the session's skew handling.
     """
     asked = df.select(F.col(key).alias("key"), F.posexplode_outer(words(F.col(text))).alias("pos", "word"))
     distinct = asked.where("word is not null").select("word").distinct()
-    found = asked.join(dictionary(distinct, path), "word", "left")
+    known = cut(dictionary(distinct, path))
+    found = asked.join(F.broadcast(known) if known.count() <= BROADCAST else known, "word", "left")
     return found.groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("parts")).select(
         F.col("key").alias(key),
         F.flatten(F.transform(F.sort_array(F.filter("parts", lambda x: x["pos"].isNotNull())), lambda x: x["ids"])).alias("ids"),
