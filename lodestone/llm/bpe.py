@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import pandas as pd
@@ -26,8 +26,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}
 #: Places of the literal map's first level; a map is searched from its start, so each holds a few pieces.
 PLACES = 1 << 13
 NONE = 2**31 - 1
-#: Words of the dictionary up to which it is broadcast; beyond, occurrences are shuffled to it.
-BROADCAST = 200_000
+#: Words of the dictionary, and bytes of the longest, up to which it is a literal that texts are
+#: looked up in where they are; words up to which it is broadcast; beyond, occurrences are shuffled to it.
+LITERAL, LONGEST, BROADCAST = 50_000, 1_000, 200_000
 #: Bytes of a word up to which it is folded; longer ones take a heap, in Python, to the same ids.
 FOLDED = 96
 
@@ -38,13 +39,16 @@ def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _places(entries: Iterable[tuple[str, object]]) -> str:
+    places: list[dict[str, object]] = [{} for _ in range(PLACES)]
+    for name, value in entries:
+        places[zlib.crc32(name.encode()) & (PLACES - 1)][name] = value
+    return json.dumps(places, separators=(",", ":"))
+
+
 @cache
 def _rank_json(path: str) -> str:
-    places: list[dict[str, int]] = [{} for _ in range(PLACES)]
-    for piece, rank in ranks(path).items():
-        name = piece.hex().upper()
-        places[zlib.crc32(name.encode()) & (PLACES - 1)][name] = rank
-    return json.dumps(places, separators=(",", ":"))
+    return _places((piece.hex().upper(), rank) for piece, rank in ranks(path).items())
 
 
 def rank_map(path: str = VOCABULARY) -> Column:
@@ -52,6 +56,11 @@ def rank_map(path: str = VOCABULARY) -> Column:
     return F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
 
 
+def _look_up(table: Column, name: Column) -> Column:
+    place = F.crc32(name.cast("binary")).bitwiseAND(F.lit(PLACES - 1)).cast("int") + 1
+    return F.element_at(F.element_at(table, place), name)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
@@ -66,8 +75,7 @@ def fold(word: Column, path: str = VOCABULARY) -> Column:
     table = rank_map(path)
 
     def rank(piece: Column) -> Column:
-        place = F.crc32(piece.cast("binary")).bitwiseAND(F.lit(PLACES - 1)).cast("int") + 1
-        return F.coalesce(F.element_at(F.element_at(table, place), piece), F.lit(NONE))
+        return F.coalesce(_look_up(table, piece), F.lit(NONE))
 
     start = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit(".."), F.lit(0))
 
@@ -141,14 +149,21 @@ def encode(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFr
 
     Null and empty texts have no ids (an empty array). White space and strings that look
     like control tokens are ordinary text. Other columns are ignored. The dictionary of
-    distinct words is encoded once and counted; a small one is broadcast. To a large one
-    occurrences are shuffled, and those of a word that very many texts share are split by
-    the session's skew handling.
+    distinct words is encoded once and measured; a small one becomes a literal map, so that
+    each text is encoded where it is, a larger one is broadcast. To a large one occurrences
+    are shuffled, and those of a word that very many texts share are split by the session's
+    skew handling.
     """
-    asked = df.select(F.col(key).alias("key"), F.posexplode_outer(words(F.col(text))).alias("pos", "word"))
-    distinct = asked.where("word is not null").select("word").distinct()
+    rows = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
+    distinct = cut(rows.select(F.explode("words").alias("word")).distinct())
     known = cut(dictionary(distinct, path))
-    found = asked.join(F.broadcast(known) if known.count() <= BROADCAST else known, "word", "left")
+    size, longest = known.agg(F.count("*"), F.max(F.octet_length("word"))).first()
+    if size <= LITERAL and (longest or 0) <= LONGEST:
+        table = F.from_json(F.lit(_places((r.word, r.ids) for r in known.collect())), "array<map<string,array<int>>>")
+        ids = F.flatten(F.transform("words", lambda w: _look_up(table, w)))
+        return rows.select(F.col("key").alias(key), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    asked = rows.select("key", F.posexplode_outer("words").alias("pos", "word"))
+    found = asked.join(F.broadcast(known) if size <= BROADCAST else known, "word", "left")
     return found.groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("parts")).select(
         F.col("key").alias(key),
         F.flatten(F.transform(F.sort_array(F.filter("parts", lambda x: x["pos"].isNotNull())), lambda x: x["ids"])).alias("ids"),
