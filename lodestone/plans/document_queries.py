@@ -263,7 +263,7 @@ def t6_figures_last(s, d):
     return documents.figures_last(q, ["exam_id"], "has_figure", "expected_id", 20).select("expected_id", "place")
 
 
-@query("w14_blank_band", "with z as (select user_id, event_id, (event_type not in ('error','signup'))::int ink, floor(max(event_id) over(partition by user_id)*(1-0.55))::int as zone from events), d as (select * from z where event_id>=zone), i as (select *, row_number() over(partition by user_id order by event_id)-sum((ink=0)::int) over(partition by user_id order by event_id) isl from d), r as (select user_id, zone, isl, count(*) filter(ink=0) n from i group by all) select user_id, zone, max(n) longest from r group by all")
+@query("w14_blank_band", "with z as (select user_id, event_id, (event_type not in ('error','signup'))::int ink, floor(max(event_id) over(partition by user_id)*(1-0.55::double))::int as zone from events), d as (select * from z where event_id>=zone), i as (select *, row_number() over(partition by user_id order by event_id)-sum((ink=0)::int) over(partition by user_id order by event_id) isl from d), r as (select user_id, zone, isl, count(*) filter(ink=0) n from i group by all) select user_id, zone, max(n) longest from r group by all")
 def w14_blank_band(s, d):
     e = table(s, d, "events").withColumn("ink", (~F.col("event_type").isin("error", "signup")).cast("int"))
     return documents.blank_band(e, ["user_id"], "event_id", "ink")
