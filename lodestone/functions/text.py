@@ -18,6 +18,18 @@ CIRCLED = ["①", "②", "③", "④", "⑤", "⑥", "⑦", "⑧", "⑨", "⑩"]
 ANSWER_MARKERS = ["정답", "해답", "답안", "배점", "채점", "정답지", "정답 및", "answer key", "answer sheet", "solutions", "marking scheme"]
 QUESTION_MARKERS = ["문제", "다음", "물음", "구하시오", "답하시오", "풀이하시오"]
 
+#: What is masked in logs, in this order, and what takes its place.
+SCRUB = [
+    (r"(?i)(api[_-]?key|token|secret|password|passwd|authorization)(\s*[:=]\s*)['\"]?[^\s'\"]+", "$1$2<REDACTED>"),
+    (r"(?i)bearer\s+[a-z0-9._\-]+", "Bearer <REDACTED>"),
+    (r"[A-Za-z]:\\[^\s'\"]+", "<PATH>"),
+    (r"/(?:home|Users|tmp|var)/[^\s'\"]+", "<PATH>"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
+    (r"\b0\d{1,2}[-.\s]?\d{3,4}[-.\s]?\d{4}\b", "<PHONE>"),
+]
+#: Units that an answer may carry behind its number.
+ANSWER_UNITS = "㎠|㎝|㎢|cm²|cm³|cm|mm|km|m|°|도|개|자리"
+
 
 def norm_text(s: Column) -> Column:
     """Without white space and equation brackets, with a plain minus (F1)."""
@@ -39,7 +51,7 @@ def norm_answer(s: Column) -> Column:
     """An answer's plain form: trimmed, no final dot, circled digit as digit, no unit behind a number."""
     t = F.regexp_replace(F.btrim(s), r"\.+$", "")
     t = reduce(lambda c, x: c.when(t == x[1], str(x[0])), enumerate(CIRCLED, 1), F.when(F.lit(False), "")).otherwise(t)
-    return F.btrim(F.regexp_replace(F.btrim(t), r"([\d.])(?:㎠|㎝|㎢|cm²|cm³|cm|mm|km|m|°|도|개|자리)$", "$1"))
+    return F.btrim(F.regexp_replace(F.btrim(t), rf"([\d.])(?:{ANSWER_UNITS})$", "$1"))
 
 
 def answers_match(a: Column, b: Column) -> Column:
@@ -114,14 +126,7 @@ def page_role(s: Column) -> Column:
 
 def scrub(s: Column) -> Column:
     """Secrets, tokens, paths, addresses and numbers of persons masked, in this order (P20)."""
-    for pattern, to in (
-        (r"(?i)(api[_-]?key|token|secret|password|passwd|authorization)(\s*[:=]\s*)['\"]?[^\s'\"]+", "$1$2<REDACTED>"),
-        (r"(?i)bearer\s+[a-z0-9._\-]+", "Bearer <REDACTED>"),
-        (r"[A-Za-z]:\\[^\s'\"]+", "<PATH>"),
-        (r"/(?:home|Users|tmp|var)/[^\s'\"]+", "<PATH>"),
-        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
-        (r"\b0\d{1,2}[-.\s]?\d{3,4}[-.\s]?\d{4}\b", "<PHONE>"),
-    ):
+    for pattern, to in SCRUB:
         s = F.regexp_replace(s, pattern, to)
     return s
 

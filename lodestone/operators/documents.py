@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 
 CIRCLED = T.CIRCLED[:5]
+#: The most that a feature adds to the difficulty, and how much each one of it does.
+DIFFICULTY = {"steps": (1.5, 0.3), "operations": (1.5, 0.05), "conditions": (0.8, 0.2), "concepts": (0.8, 0.15), "figures": (0.5, 0.1), "traps": (0.5, 0.25)}
 
 
 def decompose(items: DataFrame, key: list[str], item: str) -> DataFrame:
@@ -120,8 +122,7 @@ def fixed_labels(choices: DataFrame, key: str) -> DataFrame:
 
 def scores(df: DataFrame) -> DataFrame:
     """Difficulty, band and minutes from structural features (M1-M3); ``steps, operations, conditions, concepts, figures, traps``."""
-    capped = lambda most, k, c: F.least(F.lit(most), k * F.col(c))
-    s = capped(1.5, 0.3, "steps") + capped(1.5, 0.05, "operations") + capped(0.8, 0.2, "conditions") + capped(0.8, 0.15, "concepts") + capped(0.5, 0.1, "figures") + capped(0.5, 0.25, "traps")
+    s = reduce(lambda a, b: a + b, [F.least(F.lit(most), k * F.col(c)) for c, (most, k) in DIFFICULTY.items()])
     minutes = 1.0 + 0.8 * F.col("steps") + 0.05 * F.col("operations") + 0.5 * F.col("figures")
     return df.withColumn("score", s).withColumn("band", F.when(F.col("score") < 1.2, "low").when(F.col("score") < 2.6, "mid").otherwise("high")).withColumn("minutes", minutes)
 

@@ -12,10 +12,14 @@ def source_key(provider: Column) -> Column:
     return F.when(p.startswith("reference"), "reference").otherwise(p)
 
 
+#: Prefixes of providers and the class of their evidence, the first that fits.
+CLASSES = {"HUMAN": ["human", "user", "reviewer"], "SOURCE": ["reference", "native_pdf", "pdf_text"], "CONSISTENCY": ["math_checker", "sympy", "manifest", "hash"]}
+
+
 def evidence_class(provider: Column) -> Column:
-    """HUMAN, SOURCE, CONSISTENCY or OBSERVATION, by the provider's prefix and in this order."""
+    """HUMAN, SOURCE, CONSISTENCY or OBSERVATION, by the provider's prefix."""
     p = F.lower(F.btrim(F.coalesce(provider, F.lit(""))))
-    return F.when(p.rlike("^(human|user|reviewer)"), "HUMAN").when(p.rlike("^(reference|native_pdf|pdf_text)"), "SOURCE").when(p.rlike("^(math_checker|sympy|manifest|hash)"), "CONSISTENCY").otherwise("OBSERVATION")
+    return F.coalesce(*[F.when(p.rlike(f"^({'|'.join(xs)})"), c) for c, xs in CLASSES.items()], F.lit("OBSERVATION"))
 
 
 def settle(readings: DataFrame) -> DataFrame:
