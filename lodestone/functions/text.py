@@ -43,8 +43,8 @@ def char_exact(pred: Column, gold: Column) -> Column:
 
 
 def critical_tokens(s: Column) -> Column:
-    """Numbers with units, operators, circled digits and negations, in order."""
-    return F.regexp_extract_all(norm_text(s), F.lit(CRITICAL), F.lit(0))
+    """Numbers with units, operators, circled digits and negations, in order (F4); digits of any script and width."""
+    return F.regexp_extract_all(norm_text(s), F.lit("(?U)" + CRITICAL), F.lit(0))
 
 
 def norm_answer(s: Column) -> Column:

@@ -112,6 +112,11 @@ def j16_equal_choices(s, d):
     return documents.equal_choices(c, "expected_id")
 
 
+@query("j16_equal_choices_whole")
+def j16_equal_choices_whole(s, d):
+    return documents.equal_choices(questions(s, d).select("expected_id", F.explode("choices").alias("mark", "body")), "expected_id")
+
+
 @query("j17_answers_by_number", "with c as (select distinct question_id, ord, field, value_json from candidates where field in ('answer','number')) select question_id, count(*) compared from (select distinct a.question_id, a.value_json, b.value_json vb from c a join c b using(question_id) where a.field='answer' and b.field='number') group by 1")
 def j17_answers_by_number(s, d):
     c = readings(s, d).select("question_id", "field", "value_json").distinct()
@@ -222,6 +227,11 @@ def f18_missing_in_render(s, d):
     return q.select("expected_id", T.contains_all(F.col("body"), F.array_compact(F.array("answer"))).alias("missing"))
 
 
+@query("f18_missing_in_render_whole")
+def f18_missing_in_render_whole(s, d):
+    return questions(s, d).where("body is not null").select("expected_id", T.contains_all(F.col("body"), F.array_compact(F.array("answer"))).alias("missing"))
+
+
 @query("s23_manifest_state", "with m as (select id path, any_value(sha256) h from source_assets group by 1), f as (select asset_id path, min(original_sha256) h from source_pages where asset_id is not null group by 1), j as (select case when f.path is null then 'missing' when m.path is null then 'unlisted' when m.h=f.h then 'ok' else 'mismatched' end state from m full join f on m.path=f.path) select state, count(*) n from j group by 1")
 def s23_manifest_state(s, d):
     m = table(s, d, "source_assets").groupBy(F.col("id").alias("path")).agg(F.first("sha256").alias("sha256"))

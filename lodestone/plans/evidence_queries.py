@@ -104,25 +104,54 @@ def exams(s, d):
 ONE = "(select distinct on (expected_id) * from expected)"
 
 
+def answers(s, d):
+    return table(s, d, "expected").select("expected_id", "answer").distinct().where("answer is not null")
+
+
+def bodies(s, d):
+    return table(s, d, "expected").select("expected_id", "body").distinct().where("body is not null")
+
+
+def answers_and_choices(s, d):
+    return table(s, d, "expected").select("expected_id", "answer", F.col("choices")["①"].alias("c")).distinct().where("answer is not null and c is not null")
+
+
+# A query with DuckDB text takes the texts of which DuckDB's classes say the same as Spark's; the one named _whole takes every text.
+
+
 @query("f1_norm_text", r"select expected_id, regexp_replace(translate(answer,'〈〉−','  -'),'\s+','','g') plain from (select distinct expected_id, answer from expected) where answer is not null and not regexp_matches(answer,'[^\x00-\x7F가-힣①-⑤°²θ∠éê]')")
 def f1_norm_text(s, d):
-    e = table(s, d, "expected").select("expected_id", "answer").distinct().where("answer is not null").where(~F.col("answer").rlike(r"[^\x00-\x7F가-힣①-⑤°²θ∠éê]"))
+    e = answers(s, d).where(~F.col("answer").rlike(r"[^\x00-\x7F가-힣①-⑤°²θ∠éê]"))
     return e.select("expected_id", T.norm_text(F.col("answer")).alias("plain"))
 
 
+@query("f1_norm_text_whole")
+def f1_norm_text_whole(s, d):
+    return answers(s, d).select("expected_id", T.norm_text(F.col("answer")).alias("plain"))
+
+
 @query("f2_char_exact", r"with t as (select distinct expected_id, replace(answer,' ','') g, replace(choices['①'],' ','') p from expected where answer is not null and choices['①'] is not null and not regexp_matches(answer||choices['①'],'[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]')) select expected_id, case when p=g then 1.0 when g='' then 0.0 else greatest(0.0, 1.0-levenshtein(p,g)::double/length(g)) end score from t")
 def f2_char_exact(s, d):
-    e = table(s, d, "expected").select("expected_id", "answer", F.col("choices")["①"].alias("c")).distinct().where("answer is not null and c is not null")
-    e = e.where(~F.concat("answer", "c").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
+    e = answers_and_choices(s, d).where(~F.concat("answer", "c").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
     return e.select("expected_id", T.char_exact(F.col("c"), F.col("answer")).alias("score"))
 
 
+@query("f2_char_exact_whole")
+def f2_char_exact_whole(s, d):
+    return answers_and_choices(s, d).select("expected_id", T.char_exact(F.col("c"), F.col("answer")).alias("score"))
+
+
 @query("f4_critical_tokens", r"select expected_id, len(regexp_extract_all(regexp_replace(translate(body,'−','-'),'\s+','','g'),'\d+(?:\.\d+)?(?:cm|mm|km|kg|mL|m|g|L|°|%)?|[+\-×÷=≠<>≤≥∥⟂°]|[①②③④⑤]|없|아닌|않'))::int n from (select distinct expected_id, body from expected) where body is not null and not regexp_matches(body,'[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]')")
 def f4_critical_tokens(s, d):
-    e = table(s, d, "expected").select("expected_id", "body").distinct().where("body is not null").where(~F.col("body").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
+    e = bodies(s, d).where(~F.col("body").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
     return e.select("expected_id", F.size(T.critical_tokens(F.col("body"))).alias("n"))
 
 
+@query("f4_critical_tokens_whole")
+def f4_critical_tokens_whole(s, d):
+    return bodies(s, d).select("expected_id", F.size(T.critical_tokens(F.col("body"))).alias("n"))
+
+
 @query("f5_norm_answer", r"with t as (select distinct expected_id, regexp_replace(trim(answer,' '),'\.+$','') t from expected where answer is not null), c as (select expected_id, case t when '①' then '1' when '②' then '2' when '③' then '3' when '④' then '4' when '⑤' then '5' else t end t from t) select expected_id, trim(regexp_replace(trim(t,' '),'([\d.])(?:㎠|㎝|㎢|cm²|cm³|cm|mm|km|m|°|도|개|자리)$','\1'),' ') plain from c")
 def f5_norm_answer(s, d):
     return table(s, d, "expected").select("expected_id", "answer").distinct().where("answer is not null").select("expected_id", T.norm_answer(F.col("answer")).alias("plain"))
@@ -227,11 +256,15 @@ def j19_fields_differ(s, d):
 
 @query("u1_token_overlap", r"with t as (select distinct expected_id, answer, choices['①'] c from expected where answer is not null and choices['①'] is not null and not regexp_matches(answer||choices['①'],'[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]')), x as (select expected_id, regexp_extract_all(replace(answer,' ',''),'P') g, regexp_extract_all(replace(c,' ',''),'P') p from t), gc as (select expected_id, k, count(*) n from (select expected_id, unnest(g) k from x) group by all), pc as (select expected_id, k, count(*) n from (select expected_id, unnest(p) k from x) group by all), m as (select expected_id, sum(least(gc.n,pc.n))::int matched from gc join pc using(expected_id,k) group by 1) select expected_id, coalesce(matched,0) matched, len(g)::int wanted, (len(p)-coalesce(matched,0))::int extra from x left join m using(expected_id)".replace("'P'", "'" + T.CRITICAL + "'"))
 def u1_token_overlap(s, d):
-    e = table(s, d, "expected").select("expected_id", "answer", F.col("choices")["①"].alias("c")).distinct().where("answer is not null and c is not null")
-    e = e.where(~F.concat("answer", "c").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
+    e = answers_and_choices(s, d).where(~F.concat("answer", "c").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
     return e.select("expected_id", compare.token_overlap(F.col("c"), F.col("answer")).alias("o")).select("expected_id", "o.*")
 
 
+@query("u1_token_overlap_whole")
+def u1_token_overlap_whole(s, d):
+    return answers_and_choices(s, d).select("expected_id", compare.token_overlap(F.col("c"), F.col("answer")).alias("o")).select("expected_id", "o.*")
+
+
 @query("j22_leakage", "with a as (select distinct asset_id asset, case when ascii(right(document_id,1))%4=0 then 'holdout' else 'dev' end split from source_pages where asset_id is not null) select distinct asset, split from a where split<>'holdout' and asset in (select asset from a where split='holdout')")
 def j22_leakage(s, d):
     p = table(s, d, "source_pages").where("asset_id is not null and document_id is not null")
