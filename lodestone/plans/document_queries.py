@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -212,13 +215,16 @@ def proj19_adequate_choices(s, d):
 
 @query("r12_stage_records")
 def r12_stage_records(s, d):
-    """The path from readings to document states as a pipeline; its records."""
+    """The path from readings to document states as a pipeline; its records, with the rows that each stage made."""
     stages = [
         Stage("settle", lambda f: {"settled": evidence.settle(f["readings"])}, ("readings",), ("settled",)),
         Stage("questions", lambda f: {"questions": documents.question_status(f["readings"].select("question_id", "atu_id").distinct().join(f["settled"].select("atu_id", "status"), "atu_id"))}, ("readings", "settled"), ("questions",)),
         Stage("render", lambda f: {}, ("questions",), (), ("office",)),
     ]
-    return Pipeline(stages).run(s, {"readings": readings(s, d)})[1].select("name", "status", "error")
+    have, log = Pipeline(stages).run(s, {"readings": readings(s, d)})
+    made = [have[k].agg(F.count("*").alias("n")).select(F.lit(x.name).alias("name"), "n") for x in stages for k in x.makes if k in have]
+    counts = reduce(DataFrame.unionByName, made, s.createDataFrame([], "name string, n bigint")).groupBy("name").agg(F.sum("n").alias("made"))
+    return log.join(counts, "name", "left").select("name", "status", "error", "made")
 
 
 @query("f18_missing_in_render", "select expected_id, (case when answer is not null and not contains(regexp_replace(body,'\\s+','','g'), regexp_replace(answer,'\\s+','','g')) then 1 else 0 end)::int missing from (select distinct expected_id, body, answer from expected) where body is not null and not regexp_matches(body||coalesce(answer,''),'[^\\x00-\\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]')")

@@ -1,7 +1,8 @@
 """A pipeline of named steps over frames, with a record of each.
 
 A step says what it needs and makes; one whose needs are missing is blocked, one that fails
-ends the run, and what comes after is not run. Records are rows like any other.
+ends the run, and what comes after is not run. What a step makes is computed and written to the
+shared folder before the step counts as completed. Records are rows like any other.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.sources.tables import cut
+
 RECORD = "name string, status string, started_at double, duration_s double, error string"
 
 
@@ -47,7 +50,7 @@ class Pipeline:
                     made = s.run(have)
                     if missing := set(s.makes) - made.keys():
                         raise ValueError(f"made no {', '.join(sorted(missing))}")
-                    have |= made
+                    have |= {k: cut(x) for k, x in made.items()}
                     status = "COMPLETED"
                 except Exception as x:  # noqa: BLE001 - a failed stage is a record
                     status, error, over = "FAILED", f"{type(x).__name__}: {x}"[:500], "NOT_RUN"

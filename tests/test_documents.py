@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import documents as D
 from lodestone.operators import nested
+from lodestone.plans import document_queries
 from lodestone.plans.stages import Pipeline, Stage
 
 
@@ -50,3 +51,20 @@ def test_pipeline(spark):
     have, log = Pipeline(stages).run(spark, {"x": df})
     assert [(r.name, r.status) for r in log.collect()] == [("a", "COMPLETED"), ("b", "BLOCKED"), ("c", "BLOCKED"), ("d", "FAILED"), ("e", "NOT_RUN")] and "y" in have
     assert [r.status for r in Pipeline(stages).run(spark, {}, lambda: True)[1].collect()] == ["CANCELLED"] * 5
+
+
+def test_pipeline_computes_what_its_stages_make(spark):
+    late = F.udf(lambda x: 1 // (x - 2), "int")
+    stages = [Stage("a", lambda f: {"y": f["x"].withColumn("z", F.col("id") + 1)}, ("x",), ("y",)), Stage("b", lambda f: {"w": f["y"].select(late("id").alias("v"))}, ("y",), ("w",)), Stage("c", lambda f: {"u": f["w"]}, ("w",), ("u",))]
+    have, log = Pipeline(stages).run(spark, {"x": spark.range(3)})
+    log = log.collect()
+    assert [(r.name, r.status) for r in log] == [("a", "COMPLETED"), ("b", "FAILED"), ("c", "NOT_RUN")]
+    assert "ZeroDivisionError" in log[1].error
+    assert "w" not in have and have["y"].count() == 3
+
+
+def test_pipeline_query_counts_rows(spark, tmp_path):
+    rows = [(i, i % 3, 10 + i % 2, "1", f"p{i}", "number") for i in range(6)]
+    spark.createDataFrame(rows, "candidate_id bigint, atu_id bigint, question_id bigint, value_json string, provider string, kind string").write.parquet(f"{tmp_path}/candidates.parquet")
+    got = {r["name"]: (r.status, r.made) for r in document_queries.r12_stage_records(spark, str(tmp_path)).collect()}
+    assert got == {"settle": ("COMPLETED", 3), "questions": ("COMPLETED", 2), "render": ("BLOCKED", None)}
