@@ -24,8 +24,8 @@ from lodestone.sources.tables import cut, keep
 CELLS = 1 << 16
 #: 64-bit words of the bitmap of a bag's tokens; half as many, folded, are looked at first.
 BITS = 8
-#: Copies of one bag up to which each pair of them is listed; more are listed as pairs with the first.
-COPIES = 64
+#: Members that a task takes at once of a class when its pairs are listed: larger classes are split by salt.
+BLOCK = 64
 
 
 def bag(tokens: Column) -> Column:
@@ -141,14 +141,15 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
     return exact, members.select(*g, "id", "class", "copies")
 
 
-def members_pairs(classes: DataFrame, members: DataFrame, within: list[str] | None = None, copies: int = COPIES) -> DataFrame:
-    """Pairs of rows (``id_a < id_b``): of similar classes, and of copies in a class.
+def members_pairs(classes: DataFrame, members: DataFrame, within: list[str] | None = None, copies: int | None = None) -> DataFrame:
+    """Pairs of rows (``id_a < id_b``): of similar classes, and in a class. All of them, if ``copies`` isn't given.
 
-    A class of more than ``copies`` members stands in pairs with its first member only,
-    and its other members are paired with that: the links between different texts
-    are all kept, and a huge group of copies gives as many rows as it has members.
+    With ``copies``, a class of more members than that stands in pairs with its first member only,
+    and its other members are paired with that: a huge group gives as many rows as it has members, not their square.
     """
     g = list(within or [])
+    if copies is None:
+        return _all_pairs(classes, members, g)
     sized = members.withColumn("many", F.col("copies") > copies)
     front = sized.where("not many or id = class").select(*g, "id", "class")
     a = front.select(*g, F.col("id").alias("x"), F.col("class").alias("a"))
@@ -158,6 +159,26 @@ def members_pairs(classes: DataFrame, members: DataFrame, within: list[str] | No
     return across.unionByName(inside).where("x <> y").select(*g, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def _all_pairs(classes: DataFrame, members: DataFrame, g: list[str]) -> DataFrame:
+    """Every pair of members of similar classes and of one class, by blocks: a large class is spread over tasks."""
+    links = classes.select(*g, "a", "b").unionByName(members.select(*g, F.col("class").alias("a"), F.col("class").alias("b")).distinct())
+    # the order of ids within a class doesn't matter, only that a block has about as many members as others
+    blocks = F.ceil(F.col("copies") / BLOCK).cast("int")
+    put = members.withColumns({"block": F.pmod(F.xxhash64("id"), blocks).cast("int"), "blocks": blocks})
+    packed = put.groupBy(*g, "class", "block").agg(F.collect_set("id").alias("ids"))
+    sizes = members.groupBy(*g, "class").agg(F.max("copies").alias("copies")).select(*g, "class", blocks.alias("blocks"))
+    for c in "ab":
+        links = links.join(sizes.select(*g, F.col("class").alias(c), F.col("blocks").alias(f"n_{c}")), [*g, c])
+    links = links.select("*", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)).alias("k_a"))
+    links = links.select("*", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("k_b")).where("a <> b or k_a <= k_b")
+    for c in "ab":
+        links = links.join(packed.select(*g, F.col("class").alias(c), F.col("block").alias(f"k_{c}"), F.col("ids").alias(f"ids_{c}")), [*g, c, f"k_{c}"])
+    pairs = links.select(*g, "a", "b", "k_a", "k_b", F.explode("ids_a").alias("x"), "ids_b").select(*g, "a", "b", "k_a", "k_b", "x", F.explode("ids_b").alias("y"))
+    # within one block each pair comes both ways round
+    pairs = pairs.where("x <> y and (a <> b or k_a <> k_b or x < y)")
+    return pairs.select(*g, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
 def groups(classes: DataFrame, members: DataFrame, within: list[str] | None = None) -> DataFrame:
     """One row per record: ``id``, its class, copies in it, and the number of classes linked to it."""
     g = list(within or [])

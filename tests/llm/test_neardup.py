@@ -55,3 +55,15 @@ def test_many_copies_keep_their_links(spark):
     assert {(r["a"], r["b"]) for r in classes.collect()} == {(0, 500)}
     g = {r["id"]: (r["copies"], r["links"]) for r in neardup.groups(classes, members).collect()}
     assert g[7] == (200, 1) and g[500] == (1, 1) and g[501] == (1, 0)
+
+
+def test_large_classes_give_all_pairs(spark):
+    words = ["a", "b", "c", "d"]
+    # more than a block of equal bags in several orders, another such class and some single ones near them
+    rows = [(i, words[i % 4 :] + words[: i % 4]) for i in range(150)] + [(200 + i, ["e", "a", "b", "c"]) for i in range(70)] + [(500, ["a", "b", "c"]), (501, ["q"]), (7, ["q"])]
+    df = spark.createDataFrame(rows, "id bigint, w array<string>")
+    classes, members = neardup.pairs(df, "id", "w", 0.7)
+    got = [(r.id_a, r.id_b) for r in neardup.members_pairs(classes, members).collect()]
+    want = brute(rows, 0.7)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert (1, 2) in want and (149, 269) in want and (7, 501) in want
