@@ -176,7 +176,7 @@ def compare(a: str | None, b: str | None) -> str:
         if not a or not b or not re.search(r"[0-9+\-*/^=<>\\]", a + b):
             return "UNKNOWN"
         (ra, pa), (rb, pb) = sides(a), sides(b)
-    except (Unknown, ZeroDivisionError):
+    except (ValueError, ZeroDivisionError, RecursionError):  # ValueError: signs such as ² that are digits, but no numbers
         return "UNKNOWN"
     if bool(ra) != bool(rb):
         return "UNKNOWN"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.mathexpr import compare_udf
 
 CIRCLED = T.CIRCLED[:5]
 #: The most that a feature adds to the difficulty, and how much each one of it does.
@@ -87,8 +88,19 @@ def review_package(units: DataFrame) -> DataFrame:
     return g.where(F.size("pending") > 0)
 
 
+def proven_choices(choices: DataFrame, key: str) -> DataFrame:
+    """Pairs of marks of a question whose texts say the same or are proven equal as formulas (J16): ``key, a, b``."""
+    c = choices.select(key, "mark", "body", T.norm_text(F.col("body")).alias("n")).where("n <> ''")
+    a, b = (c.select(key, *[F.col(x).alias(f"{x}_{s}") for x in ("mark", "body", "n")]) for s in "ab")
+    pairs = a.join(b, key).where("mark_a < mark_b")
+    # words of Hangul are no variables
+    formulas = ~F.concat("body_a", "body_b").rlike("[가-힣ㄱ-ㅎ]")
+    verdict = compare_udf(F.when(formulas & (F.col("n_a") != F.col("n_b")), F.col("body_a")), F.col("body_b"))
+    return pairs.where((F.col("n_a") == F.col("n_b")) | (verdict == "MATCH")).select(key, F.col("mark_a").alias("a"), F.col("mark_b").alias("b"))
+
+
 def equal_choices(choices: DataFrame, key: str) -> DataFrame:
-    """Pairs of marks of a question whose texts say the same (J16): ``key, a, b``. A question has few choices."""
+    """Pairs of marks of a question whose texts are the same (J16, without formulas): ``key, a, b``. A question has few choices."""
     norm = T.norm_text(F.col("body"))
     c = choices.select(key, "mark", norm.alias("n")).where("n <> ''")
     a, b = c.alias("a"), c.alias("b")

@@ -117,7 +117,7 @@ def j16_equal_choices(s, d):
 
 @query("j16_equal_choices_whole")
 def j16_equal_choices_whole(s, d):
-    return documents.equal_choices(questions(s, d).select("expected_id", F.explode("choices").alias("mark", "body")), "expected_id")
+    return documents.proven_choices(questions(s, d).select("expected_id", F.explode("choices").alias("mark", "body")), "expected_id")
 
 
 @query("j17_answers_by_number", "with c as (select distinct question_id, ord, field, value_json from candidates where field in ('answer','number')) select question_id, count(*) compared from (select distinct a.question_id, a.value_json, b.value_json vb from c a join c b using(question_id) where a.field='answer' and b.field='number') group by 1")

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from lodestone.operators import documents
 
 # full-width, zero-width, decomposed, look-alike, other spaces, typed plainly
 TEXTS = ["x＝１２cm", "a​b 3", "é = 2", "АВ ∥ СD", "〈x　− 1〉", "３．５kg 없다", "각 12°", "x = 12cm", "ⅹ²≥４", "", "①"]
@@ -74,3 +75,10 @@ def test_equal_choices(spark, exams):
     got = set(result(spark, exams, "j16_equal_choices_whole"))
     want = {(r[0], a, b) for r in exams[1] for a in r[8] for b in r[8] if a < b and norm(r[8][a]) == norm(r[8][b]) != ""}
     assert got >= want and {x for x in got if x[0] < 100} == {x for x in want if x[0] < 100}
+
+
+def test_choices_proven_equal(spark):
+    texts = {1: {"①": r"\frac{1}{2}", "②": r"\frac{2}{4}", "③": "0.5", "④": "2"}, 2: {"①": "x+1", "②": "1 + x", "③": "x²", "④": "x^2"}, 3: {"①": "가나 2", "②": "나가 2", "③": "ab", "④": None}}
+    df = spark.createDataFrame([(k, m, x) for k, c in texts.items() for m, x in c.items()], "k int, mark string, body string")
+    got = {tuple(r) for r in documents.proven_choices(df, "k").collect()}
+    assert got == {(1, "①", "②"), (1, "①", "③"), (1, "②", "③"), (2, "①", "②")}
