@@ -168,9 +168,26 @@ def candidate_id(kind: Column, section: Column, path: Column, value_digest: Colu
     return F.concat(F.lit("cand_"), F.substring(F.sha2(F.concat_ws("|", kind, section, path, value_digest), 256), 1, 12))
 
 
-def contains_all(text: Column, expected: Column) -> Column:
-    """How many expected strings aren't in a rendered text."""
-    return F.size(F.filter(expected, lambda x: ~F.contains(norm_text(text), norm_text(x))))
+#: Signs that text extraction from a render may give out of order.
+REORDERED = "∥⊥∠△□○●×÷°≡≠≤≥±√∴∵∽≒⊙′″—–-·"
+
+
+def contains_all(text: Column, expected: Column, reordered: str = "") -> Column:
+    """How many expected strings aren't in a rendered text.
+
+    One is there too if it is without the signs ``reordered``, and each such sign of it is somewhere.
+    """
+    blob = norm_text(text)
+    bare = lambda c: F.translate(c, reordered, "")
+
+    def found(x: Column) -> Column:
+        x = norm_text(x)
+        if not reordered:
+            return F.contains(blob, x)
+        signs = F.forall(F.lit([*reordered]), lambda c: ~F.contains(x, c) | F.contains(blob, c))
+        return F.contains(blob, x) | ((bare(x) != "") & F.contains(bare(blob), bare(x)) & signs)
+
+    return F.size(F.filter(expected, lambda x: ~found(x)))
 
 
 def unsafe_payload(s: Column) -> Column:

@@ -235,7 +235,7 @@ def f18_missing_in_render(s, d):
 
 @query("f18_missing_in_render_whole")
 def f18_missing_in_render_whole(s, d):
-    return questions(s, d).where("body is not null").select("expected_id", T.contains_all(F.col("body"), F.array_compact(F.array("answer"))).alias("missing"))
+    return questions(s, d).where("body is not null").select("expected_id", T.contains_all(F.col("body"), F.array_compact(F.array("answer")), T.REORDERED).alias("missing"))
 
 
 @query("s23_manifest_state", "with m as (select id path, any_value(sha256) h from source_assets group by 1), f as (select asset_id path, min(original_sha256) h from source_pages where asset_id is not null group by 1), j as (select case when f.path is null then 'missing' when m.path is null then 'unlisted' when m.h=f.h then 'ok' else 'mismatched' end state from m full join f on m.path=f.path) select state, count(*) n from j group by 1")

@@ -2,8 +2,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lodestone.functions import text as T
 from lodestone.operators import documents
 
 # full-width, zero-width, decomposed, look-alike, other spaces, typed plainly
@@ -82,3 +84,9 @@ def test_choices_proven_equal(spark):
     df = spark.createDataFrame([(k, m, x) for k, c in texts.items() for m, x in c.items()], "k int, mark string, body string")
     got = {tuple(r) for r in documents.proven_choices(df, "k").collect()}
     assert got == {(1, "①", "②"), (1, "①", "③"), (1, "②", "③"), (2, "①", "②")}
+
+
+def test_signs_out_of_order(spark):
+    cases = [("AD BC ∥", "AD∥BC", 0), ("AD BC", "AD∥BC", 1), ("AD∥BC", "AD∥BC", 0), ("∥", "∥∥", 1), ("3 - 4", "-34", 0), ("AC BD ∥", "AD∥BC", 1), ("∠ABC = 30 °", "∠ABC=30°", 0)]
+    df = spark.createDataFrame(cases, "t string, x string, n int")
+    assert [r.got for r in df.select(T.contains_all(F.col("t"), F.array("x"), T.REORDERED).alias("got")).collect()] == [n for *_, n in cases]
