@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 
@@ -31,6 +32,20 @@ def token_overlap(pred: Column, gold: Column) -> Column:
     return F.struct(common.alias("matched"), F.size(g).alias("wanted"), (F.size(p) - common).alias("extra"))
 
 
+def answers_differ(answers: DataFrame, by: str) -> DataFrame:
+    """Answers of two sources to one question that don't match (J17): ``by, source_a, source_b, answer_a, answer_b, compared``.
+
+    ``answers``: ``by, source, answer``. The recorded answer (source ``reference``) comes first, as the key; ``compared``
+    are all pairs of the question's answers from two sources.
+    """
+    r = answers.where("answer is not null and source is not null").select(by, "source", "answer").distinct().withColumn("place", F.struct(F.col("source") != "reference", "source"))
+    a, b = (r.select(by, *[F.col(c).alias(f"{c}_{s}") for c in ("source", "answer", "place")]) for s in "ab")
+    pairs = a.join(b, by).where("place_a < place_b")
+    match = F.coalesce(T.answers_match(F.col("answer_a"), F.col("answer_b")), F.lit(False))
+    one = pairs.select(by, "source_a", "source_b", "answer_a", "answer_b", match.alias("match"))
+    return one.withColumn("compared", F.count("*").over(Window.partitionBy(by))).where("not match").drop("match")
+
+
 def leakage(assets: DataFrame, sealed: str) -> DataFrame:
     """Assets of a sealed split that an open one has too: ``asset, split`` of the open side."""
     inside = assets.where(F.col("split") == sealed).select("asset").distinct()

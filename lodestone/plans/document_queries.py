@@ -127,6 +127,13 @@ def j17_answers_by_number(s, d):
     return a.join(b, "question_id").distinct().groupBy("question_id").agg(F.count("*").alias("compared"))
 
 
+@query("j17_answers_differ")
+def j17_answers_differ(s, d):
+    r = readings(s, d).where("field = 'answer'")
+    answer = F.coalesce(F.try_variant_get(F.try_parse_json("value_json"), "$", "string"), F.col("value_json"))
+    return compare.answers_differ(r.select("question_id", evidence.source_key(F.col("provider")).alias("source"), F.when(F.col("value_json") != "null", answer).alias("answer")), "question_id")
+
+
 @query("j20_latest_proof", "with a as (select distinct id, sha256 from source_assets), p as (select asset_id, arg_max(original_sha256,(ingested_at,id)) h from source_pages where asset_id is not null group by 1) select a.id, coalesce(p.h=a.sha256,false) proven from a left join p on p.asset_id=a.id")
 def j20_latest_proof(s, d):
     a = table(s, d, "source_assets").select("id", "sha256").distinct()

@@ -90,3 +90,11 @@ def test_signs_out_of_order(spark):
     cases = [("AD BC ∥", "AD∥BC", 0), ("AD BC", "AD∥BC", 1), ("AD∥BC", "AD∥BC", 0), ("∥", "∥∥", 1), ("3 - 4", "-34", 0), ("AC BD ∥", "AD∥BC", 1), ("∠ABC = 30 °", "∠ABC=30°", 0)]
     df = spark.createDataFrame(cases, "t string, x string, n int")
     assert [r.got for r in df.select(T.contains_all(F.col("t"), F.array("x"), T.REORDERED).alias("got")).collect()] == [n for *_, n in cases]
+
+
+def test_answers_that_differ(spark, tmp_path):
+    rows = [(1, "reference_a", '"①"'), (1, "solver", '"1"'), (1, "ocr", '"2"'), (2, "reference_a", "3"), (2, "solver", '"3cm"'), (3, "solver", '"4"'), (4, "reference_a", "null"), (4, "solver", '"5"')]
+    schema = "candidate_id bigint, question_id bigint, field string, provider string, value_json string"
+    spark.createDataFrame([(i, q, "answer", p, v) for i, (q, p, v) in enumerate(rows)], schema).write.parquet(f"{tmp_path}/candidates.parquet")
+    got = {tuple(r) for r in entry.queries()["j17_answers_differ"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "reference", "ocr", "①", "2", 3), (1, "ocr", "solver", "2", "1", 3)}
