@@ -136,9 +136,9 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
 # --- 8: mixing sources
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, spread=None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "source", mixing.token_count(F.col("text")).alias("tokens"))
-    return mixing.mix(cut(docs), table(spark, d, "mix_targets"))
+    return mixing.mix(cut(docs), table(spark, d, "mix_targets"), spread=spread)
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +151,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mixture whose entropy lies halfway between that of the token shares and of the mixture nearest the targets."""
+    return _mix(spark, d, lambda natural, nearest: (natural + nearest) / 2)[1]
+
+
 # --- 9: sentences
 
 
@@ -163,7 +168,7 @@ def p9_lengths(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("doc_id").agg(F.count("*").alias("units"), F.avg(F.col("end_pos") - F.col("start_pos")).alias("mean_length"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_lengths": p9_lengths}
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_tempered": p8_tempered, "p9_found": p9_found, "p9_lengths": p9_lengths}
 _WS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 P2_FOUND_SQL = rf"""
 with e as (
