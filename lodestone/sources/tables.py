@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +17,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; a local one only where none is set."""
+    """The folder all executors share, from the session; a local one only where none is set, and only in one process."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    except Exception:  # the session may have ended
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """The frame, written once as a table in the shared folder, of which later steps read the columns they need.
+
+    The folder is removed when the driver ends.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame, computed once and read again from the shared checkpoint folder."""
     shared_dir(df.sparkSession)
