@@ -83,11 +83,11 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
-    """``src, row_id, text``: decoded page texts of providers, and exam bodies."""
-    c = table(spark, d, "candidates").where("field = 'body' and value_json is not null").select("candidate_id", "value_json")
+    """``src, row_id, text, doc``: decoded page texts of providers, of which several may read one page, and exam bodies."""
+    c = table(spark, d, "candidates").where("field = 'body' and value_json is not null").select("candidate_id", "value_json", "atu_id")
     decoded = F.try_variant_get(F.try_parse_json("value_json"), "$", "string")
-    c = c.select(F.lit("candidates").alias("src"), F.col("candidate_id").alias("row_id"), decoded.alias("text"))
-    e = table(spark, d, "expected").select(F.lit("expected").alias("src"), F.col("expected_id").alias("row_id"), F.col("body").alias("text"))
+    c = c.select(F.lit("candidates").alias("src"), F.col("candidate_id").alias("row_id"), decoded.alias("text"), F.coalesce(F.col("atu_id"), F.col("candidate_id").cast("string")).alias("doc"))
+    e = table(spark, d, "expected").select(F.lit("expected").alias("src"), F.col("expected_id").alias("row_id"), F.col("body").alias("text"), F.col("expected_id").cast("string").alias("doc"))
     return c.unionByName(e)
 
 
