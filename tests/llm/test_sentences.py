@@ -37,3 +37,34 @@ def test_frame(spark):
     got = sorted(tuple(r) for r in S.sentences(df, "id", "text").collect())
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (4, 0, 200_001), (4, 200_002, 200_004)]
     assert S.sentences(df.limit(0), "id", "text").count() == 0
+
+
+def test_quotations_of_any_length():
+    for n in (10, 100, 3000):
+        inner = " ".join(["Check it. Then go."] * n)
+        for a, b in ('""', "“”", "„“", "«»", "()"):
+            text = f"She wrote {a}{inner}{b} in the margin. Done."
+            assert split(text) == [text[:-6], "Done."], (n, a)
+    # what is never closed is no quotation, nor is a sign of inches
+    assert split('A 5" pipe broke. It was "old" pipe. (Note the bend. Yes.') == ['A 5" pipe broke.', 'It was "old" pipe.', "(Note the bend.", "Yes."]
+    assert split("It isn’t ‘so. Or so’ said. Yes.") == ["It isn’t ‘so. Or so’ said.", "Yes."]
+
+
+def test_abbreviations():
+    for text in ("He met Gen. Smith in Jan. 2020.", "In Nov. he went to Mt. Fuji.", "John F. Kennedy met Dr. A. B. Gray.", "Er kam am 3. Mai bzw. im Dez. zurück, vgl. Abb. 3.", "Lo dijo el Sr. Gómez en la pág. 3."):
+        assert split(text) == [text]
+    assert split("Bring pens etc. The rest is here.") == ["Bring pens etc.", "The rest is here."]
+
+
+def test_titles_on_no_list():
+    cases = ["Zebra thoughts on tilings", "Grazing cows 12", "Ein Wort über Kreise", "GEOMETRY AT HOME", "Tareas del jueves", "Aviso: regla", "우리 반 이야기 7", "[둘러보기] 넓이", "三角形入門", "数学乐园"]
+    after = ["The sum is even.", "The sum is even.", "Das Dreieck ist klein.", "The sum is even.", "El valor es par.", "El valor es par.", "삼각형을 그린다.", "삼각형을 그린다.", "角は等しい。", "角相等。"]
+    for title, body in zip(cases, after):
+        assert split(f"{title}\n{body}") == [title, body]
+    for text in ("The mean of\n655 readings taken by the\nmechanic is 73.", "Der Töpfer zählt 916\nHefte in der\nBücherei.", "El alfarero cuenta\n715 tablas.", "삼각형의\n넓이는 3\n이다.", "The line through\nGL meets it."):
+        assert split(text) == [text]
+
+
+def test_scripts_mixed():
+    text = "Hello world. 2026. 3. 4. 시행한 시험이다. 我们在这里。他不在。See p. 3 of it. यह है। वह भी। 끝이다."
+    assert split(text) == ["Hello world.", "2026. 3. 4. 시행한 시험이다.", "我们在这里。", "他不在。", "See p. 3 of it.", "यह है।", "वह भी।", "끝이다."]
