@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -176,7 +177,8 @@ LINE_RULES: dict[str, list[Rule]] = {
 
 _SCRIPTS = [("thai", regex.compile(r"[฀-๿]")), ("deva", regex.compile(r"[ऀ-ॿ]")), ("hangul", regex.compile(r"[가-힣]")), ("cjk", regex.compile(r"[぀-ヿ㐀-䶿一-鿿]"))]
 _LETTER = regex.compile(r"\p{L}")
-_SPEAKS = {x: regex.compile(rf"(?<!\w){_any(w)}(?!\w)") for x, w in WORDS.items()}
+_SPEAKS = {x: frozenset(y for z in w.split() for y in (z, z.capitalize())) for x, w in WORDS.items()}
+_WORD = regex.compile(r"\p{L}+")
 _BREAK = r"\r\n|\n|\r"
 _POSITION = regex.compile(rf"{_END}+{_CLOSE}*|[ \t]*(?:{_BREAK})\s*")
 _SPACE = regex.compile(r"[^\S\r\n]+")
@@ -201,35 +203,60 @@ def cascade(kind: str, language: str, script: str) -> list[tuple[bool, bool, reg
     return out
 
 
-def script_of(text: str) -> str:
-    """The script whose rules fit a stretch of text."""
-    if text.isascii():
-        return "latin"
-    best, most = "latin", 0
-    for name, chars in _SCRIPTS:
-        n = len(chars.findall(text))
-        if n > most:
-            best, most = name, n
-    return best if most and most * 5 >= len(_LETTER.findall(text)) else "latin"
-
-
-def language_of(text: str) -> str:
-    """The Latin language that most words of closed classes speak for; ``latin`` if none does."""
-    found = {x: len(p.findall(text)) for x, p in _SPEAKS.items()}
-    best = max(found, key=found.__getitem__)
-    return best if found[best] and sorted(found.values())[-2] < found[best] else "latin"
+#: A character's script: 0 no letter, 1 a letter of another script, then as in _SCRIPTS.
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    out = np.zeros(0x10000, np.uint8)
+    for n, chars in enumerate([_LETTER, *(p for _, p in _SCRIPTS)], 1):
+        out[[ord(m[0]) for m in chars.finditer(every)]] = n
+    return out
 
 
-def _decide(kind: str, text: str, start: int, at: int) -> bool:
-    near = text[max(start, at - STRETCH) : at + (60 if kind == "line" else 0)]
-    before = text[max(start, at - STRETCH) : at]
-    # what stands before tells the script; behind numbers and signs alone, the next letter
-    ahead = None if _LETTER.search(before) else _LETTER.search(text, at)
-    script = script_of(ahead[0] if ahead else before)
+class Stretches:
+    """What script and language a text is in, place by place."""
+
+    def __init__(self, text: str):
+        self.text, self.ascii = text, text.isascii()
+        self.spoken: dict[int, str] = {}
+        if not self.ascii:
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            kinds = _classes()[np.minimum(codes, 0xFFFF)]
+            # letters up to each place, by script; those beyond the first plane are of another script
+            self.upto = np.zeros((len(_SCRIPTS) + 2, len(text) + 1), np.int32)
+            for n in range(1, len(_SCRIPTS) + 2):
+                np.cumsum(kinds == n, out=self.upto[n, 1:])
+            self.seen = [n for n in range(2, len(_SCRIPTS) + 2) if self.upto[n, -1]]
+
+    def script(self, start: int, end: int) -> str:
+        """The script whose rules fit from ``start`` to ``end``; if no letter is there, that of the next letter."""
+        if self.ascii or not self.seen:
+            return "latin"
+        counts = (self.upto[:, end] - self.upto[:, start]).tolist()
+        letters = sum(counts)
+        if not letters:
+            m = _LETTER.search(self.text, end)
+            return next((x for x, p in _SCRIPTS if m and p.match(m[0])), "latin")
+        n = max(self.seen, key=counts.__getitem__)
+        return _SCRIPTS[n - 2][0] if counts[n] and counts[n] * 5 >= letters else "latin"
+
+    def language(self, at: int) -> str:
+        """The Latin language that most words of closed classes around a place speak for; ``latin`` if none does."""
+        block = at // STRETCH
+        if block not in self.spoken:
+            near = _WORD.findall(self.text, max(0, (block - 1) * STRETCH), (block + 2) * STRETCH)
+            found = {x: sum(map(known.__contains__, near)) for x, known in _SPEAKS.items()}
+            best = max(found, key=found.__getitem__)
+            self.spoken[block] = best if found[best] and sorted(found.values())[-2] < found[best] else "latin"
+        return self.spoken[block]
+
+
+def _decide(kind: str, text: str, where: Stretches, start: int, at: int) -> bool:
+    script = where.script(max(start, at - STRETCH), at)
     unit = text[start:at] if at - start <= HEADING else None
-    for breaks, whole, pattern, after in cascade(kind, language_of(near) if script == "latin" else script, script):
+    for breaks, whole, pattern, after in cascade(kind, where.language(at) if script == "latin" else script, script):
         if whole:
-            if unit is not None and pattern.fullmatch(unit) and after.match(text, at):
+            if unit is not None and after.match(text, at) and pattern.fullmatch(unit):
                 return breaks
         elif pattern.match(text, at):
             return breaks
@@ -264,7 +291,7 @@ def units(text: str) -> list[tuple[int, int]]:
     """Start and end (exclusive) of each sentence unit, in code points."""
     if not text or text.isspace():
         return []
-    closed = spans(text)
+    closed, where = spans(text), Stretches(text)
     cuts: list[int] = []
     start = k = 0
     positions = list(_POSITION.finditer(text))
@@ -281,13 +308,13 @@ def units(text: str) -> list[tuple[int, int]]:
         if inside and at == closed[k][1] - 1 and not m[0].isspace():
             inside, at = False, at + 1
         if not m[0].isspace():
-            ends, here = not inside and _decide("end", text, start, at), at
+            ends, here = not inside and _decide("end", text, where, start, at), at
         elif _BLANK.search(m[0]):
             ends, here = True, a
         elif "\n" in m[0] or "\r" in m[0]:
             here = a
             marked = a > start and _MARKED.match(text, a) is not None
-            ends = not inside and _decide("end" if marked else "line", text, start, a)
+            ends = not inside and _decide("end" if marked else "line", text, where, start, a)
         else:
             here = a
             ends = not inside and bool(_SCRIPTS[0][1].search(text, start, a))
