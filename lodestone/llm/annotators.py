@@ -1,38 +1,41 @@
 """One label per item from annotators who disagree.
 
-Iteratively reweighted voting: the consensus of an item adds up what each reading says
-about every label, weighted by its annotator's record; the record is then measured again
-on the consensus of the *other* annotators of the same items (leave one out), smoothed,
-until it is stable. An annotator's record is how often each label was given for each
-consensus label, so one who always answers alike or always one label off is weighted for
-what such a reading tells, and how its confidence goes with being right.
+Iteratively reweighted voting: the consensus of an item adds up its readings, weighted by the accuracy of their
+annotators; the accuracy is then measured again on the consensus of the *other* annotators of the same items (leave
+one out), smoothed, until the labels are stable. An annotator's accuracy is measured for each turn of the scale: how often
+its readings, turned back by so many places, are the consensus. Turned by none it is accuracy as such; one who is
+always one place off is as much worth once that is known. It is smoothed from the annotator to the annotator on one
+scale to its readings of one confidence, so that a confidence counts as far as it tells of being right.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import cut, keep
+from lodestone.sources.tables import cut, store
 
 #: Labels of the widest scale; bins of confidence, bin 0 for none or one out of range.
 K, BINS = 5, 12
-#: Readings that an annotator's average counts for in each cell, and the accuracy before any reading.
+#: Readings that the next wider group counts for, and the accuracy before any reading.
 WEIGHT, START = 4.0, 0.7
-NEVER = -1e6
-#: Annotators' records up to which they are broadcast; beyond, they are joined by a shuffle.
-BROADCAST = 50_000
+#: Kinds of readings (annotator, scale, confidence) up to which their weights are broadcast; beyond, they are joined by a shuffle.
+BROADCAST = 500_000
 
 
-def votes(readings: DataFrame) -> DataFrame:
-    """One vote for each item and annotator, kept with all votes of an item together.
+def votes(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items with their votes, and the kinds of readings; both stored.
 
     ``readings``: ``item, scale, annotator, label`` (from 0, null for a reading without
     a label), ``k`` (labels of the scale), ``confidence``, ``ts``, ``family``. Of an
     annotator's repeated readings of an item the latest counts, of equally late ones the
     surest, then the least label. Annotators of one family that agree on an item share one vote.
+    Items: ``item, scale, k, n, alike, votes`` (``cell, label, w``), at most one vote for each annotator. Kinds: ``cell,
+    annotator, scale, bin, k``.
     """
     c = F.col("confidence")
     sure = F.when(c.between(0, 1), c)
@@ -44,106 +47,194 @@ def votes(readings: DataFrame) -> DataFrame:
         .select("item", "scale", "annotator", "family", "k", F.col("v.label").alias("label"), F.coalesce((F.col("v.sure") * (BINS - 2)).cast("int") + 1, F.lit(0)).alias("bin"))
     )
     same = Window.partitionBy("item", "scale", "family", "label")
-    by = Window.partitionBy("item", "scale")
-    return (
-        one.repartition("item")
-        .withColumn("w", 1.0 / F.count("*").over(same))
-        .withColumn("n", F.count("*").over(by))
-        .withColumn("alike", F.min("label").over(by) == F.max("label").over(by))
-        .sortWithinPartitions("item", "scale")
-    )
+    # all that follows stays within an item; a much read one has one row for each annotator by now
+    shared = store(one.repartition("item").withColumn("w", 1.0 / F.count("*").over(same)).drop("family"))
+    kinds = shared.groupBy("annotator", "scale", "bin").agg(F.max("k").alias("k"))
+    if kinds.count() <= BROADCAST:
+        rows = sorted(kinds.collect(), key=lambda r: (r.annotator, r.scale, r.bin))
+        cells = readings.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "cell bigint, annotator string, scale string, bin int, k int")
+        known = shared.join(F.broadcast(cells.drop("k")), ["annotator", "scale", "bin"])
+    else:
+        cells = store(kinds.withColumn("cell", F.monotonically_increasing_id()))
+        known = shared.join(cells.drop("k"), ["annotator", "scale", "bin"])
+    items = known.groupBy("item", "scale", "k").agg(F.sort_array(F.collect_list(F.struct("cell", "label", "w"))).alias("votes"), F.count("*").alias("n"), (F.min("label") == F.max("label")).alias("alike"))
+    return store(items), cells
+
+
+def _weights(cells: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """``cell, annotator, scale, readings, judged, accuracy, p``: logarithms of the accuracy at each turn, against chance."""
+    turns = [f"h{c}" for c in range(K)]
+    k = F.col("k")
+    if counts is None:
+        j = cells.select("*", F.lit(0).alias("readings"), F.lit(0).alias("judged"), *[F.lit(0).alias(h) for h in turns])
+    else:
+        j = cells.join(counts, "cell", "left").select(*cells.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("readings", "judged", *turns)])
+    share = [F.when(F.lit(c) < k, F.lit(START) if c == 0 else (1 - START) / (k - 1)).otherwise(0.0) for c in range(K)]
+    kept = {"readings": "readings", "judged": "judged"}
+    for level in (["annotator"], ["annotator", "scale"], ["annotator", "scale", "bin"]):
+        by = Window.partitionBy(*level)
+        seen, hits = F.sum("judged").over(by), [F.sum(h).over(by) for h in turns]
+        names = [f"p{c}_{len(level)}" for c in range(K)]
+        j = j.withColumns({n: F.when(F.lit(c) < k, (h + WEIGHT * s) / (seen + WEIGHT)).otherwise(0.0) for c, (n, h, s) in enumerate(zip(names, hits, share))})
+        if len(level) == 2:
+            j = j.withColumns({"accuracy": F.col("p0_2"), **{f"all_{c}": F.sum(c).over(by) for c in kept}})
+        share = [F.col(n) for n in names]
+    total = sum(share[1:], share[0])
+    p = F.array(*[F.ln(F.greatest(s / total * k, F.lit(1e-5))) for s in share])
+    return j.select("cell", "annotator", "scale", "bin", F.col("all_readings").alias("readings"), F.col("all_judged").alias("judged"), "accuracy", p.alias("p"))
+
+
+def _scores(batch: pa.RecordBatch, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of a batch of items: each vote's item, cell and label; for each table of weights what votes say and what all say."""
+    votes = batch.column("votes")
+    flat = votes.flatten()
+    item = np.repeat(np.arange(len(votes)), np.diff(votes.offsets.to_numpy()))
+    cell, label, w = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("cell", "label", "w"))
+    k = batch.column("k").to_numpy(zero_copy_only=False)
+    out = []
+    for table in tables:
+        say = np.empty((len(cell), K))
+        total = np.empty((len(k), K))
+        for t in range(K):
+            say[:, t] = w * table[cell, np.mod(label - t, k[item])]
+            total[:, t] = np.bincount(item, say[:, t], len(k))
+            total[k <= t, t] = -np.inf
+        out.append((say, total))
+    return item, cell, label, out
+
+
+def _counter(share, both: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = share.value
+        counts, changed, seen = np.zeros((len(tables[0]), K + 2), np.int64), 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            item, cell, label, found = _scores(batch, tables)
+            say, total = found[0]
+            others = total[item] - say
+            top = np.sort(others, 1)
+            many = batch.column("n").to_numpy(zero_copy_only=False)[item] > 1
+            judged = many & (top[:, -1] - top[:, -2] > 1e-9)
+            turn = np.mod(label - others.argmax(1), batch.column("k").to_numpy(zero_copy_only=False)[item])
+            counts[:, K] += np.bincount(cell, minlength=len(counts))
+            counts[:, K + 1] += np.bincount(cell[judged], minlength=len(counts))
+            np.add.at(counts, (cell[judged], turn[judged]), 1)
+            seen += batch.num_rows
+            changed += int((total.argmax(1) != found[1][1].argmax(1)).sum()) if both else batch.num_rows
+        at = np.flatnonzero(counts[:, K])
+        rows = np.concatenate([counts[at], [[0, changed, *[0] * (K - 2), seen, seen]]])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *[pa.array(rows[:, c]) for c in (K, K + 1, *range(K))]], names=["cell", "readings", "judged", *[f"h{c}" for c in range(K)]])
+
+    return run
+
+
+def _labeller(share):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                total = _scores(batch, share.value)[3][0][1]
+                top = total.max(1)
+                sure = 1 / np.exp(np.maximum(total - top[:, None], -700)).sum(1)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("item", "scale", "n", "alike")], pa.array(total.argmax(1).astype(np.int32)), pa.array(sure)], names=["item", "scale", "n", "alike", "label", "sure"])
+
+    return run
+
+
+def _table(weights: DataFrame) -> np.ndarray:
+    rows = weights.select("cell", "p").collect()
+    out = np.zeros((len(rows), K))
+    for r in rows:
+        out[r.cell] = r.p
+    return out
+
+
+def _with_weights(items: DataFrame, weights: list[DataFrame]) -> DataFrame:
+    """Items whose votes say (``s0``, …) something of each label, by a join on each kind of reading."""
+    says = lambda p: F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.col("v.w") * F.element_at(p, F.pmod(F.col("v.label") - t, F.col("k")).cast("int") + 1))
+    v = items.select("item", "scale", "k", "n", "alike", F.explode("votes").alias("v")).withColumn("cell", F.col("v.cell"))
+    for i, w in enumerate(weights):
+        v = v.join(w.select("cell", F.col("p").alias(f"w{i}")), "cell")
+    v = v.select("item", "scale", "k", "n", "alike", F.struct("cell", F.col("v.label").alias("label"), *[says(F.col(f"w{i}")).alias(f"s{i}") for i in range(len(weights))]).alias("v"))
+    return v.groupBy("item", "scale", "k", "n", "alike").agg(F.sort_array(F.collect_list("v")).alias("votes"))
+
+
+def _totals(i: int) -> Column:
+    """What all votes say of each label."""
+    add = lambda a, v: F.zip_with(a, v[f"s{i}"], lambda x, y: x + y)
+    return F.aggregate("votes", F.transform(F.sequence(F.lit(1), F.col("k")), lambda _: F.lit(0.0)), add)
+
+
+def _best(scores: Column) -> Column:
+    """The place of the highest score, the first of equal ones."""
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def _log(x: Column) -> Column:
-    return F.ln(F.greatest(x, F.lit(1e-6)))
-
-
-def _record(cells: Column | None, right: list[Column], wrong: list[Column], acc: Column, k: Column) -> tuple[Column, Column, Column]:
-    """Smoothed logarithms: of label given consensus (K x K), and of the confidence's bin when right and when wrong."""
-    table = []
-    for t in range(K):
-        row = [cells[t * K + i] for i in range(K)]
-        total = reduce(lambda a, b: a + b, row)
-        for i in range(K):
-            base = acc if i == t else (1 - acc) / (k - 1)
-            table.append(F.when((k > t) & (k > i), _log((row[i] + WEIGHT * base) / (total + WEIGHT))).otherwise(F.lit(NEVER)))
-    both = [a + b for a, b in zip(right, wrong)]
-    seen = reduce(lambda a, b: a + b, both)
-    bins = []
-    for side in (right, wrong):
-        total = reduce(lambda a, b: a + b, side)
-        bins.append(F.array(*[_log((x + WEIGHT * (y + 0.5) / (seen + 0.5 * BINS)) / (total + WEIGHT)) for x, y in zip(side, both)]))
-    return F.array(*table), bins[0], bins[1]
-
-
-def measure(scored: DataFrame | None, v: DataFrame) -> DataFrame:
-    """The record of each annotator on each scale; without scored votes the one to start with."""
-    if scored is None:
-        flat = v.groupBy("annotator", "scale").agg(F.max("k").alias("k"), F.count("*").alias("readings"), F.lit(0).alias("judged"), F.lit(START).alias("accuracy"))
-        zero = F.lit(0.0)
-        conf, right, wrong = _record([zero] * K * K, [zero] * BINS, [zero] * BINS, F.col("accuracy"), F.col("k"))
-        return flat.withColumns({"table": conf, "right": right, "wrong": wrong})
-    use = F.col("n") > 1
-    hit = F.col("other") == F.col("label")
-    add = lambda cond: F.sum(F.when(use & cond, 1.0).otherwise(0.0))
-    sums = [add((F.col("other") == t) & (F.col("label") == i)).alias(f"c{t}_{i}") for t in range(K) for i in range(K)]
-    sums += [add(hit & (F.col("bin") == b)).alias(f"r{b}") for b in range(BINS)] + [add(~hit & (F.col("bin") == b)).alias(f"e{b}") for b in range(BINS)]
-    flat = scored.groupBy("annotator", "scale").agg(F.max("k").alias("k"), F.count("*").alias("readings"), add(F.lit(True)).alias("judged"), add(hit).alias("hits"), *sums)
-    by = Window.partitionBy("annotator")
-    whole = {c: F.sum(c).over(by) for c in ("hits", "judged", *(f"{x}{b}" for x in "re" for b in range(BINS)))}
-    flat = flat.withColumns({f"all_{c}": w for c, w in whole.items()})
-    flat = flat.withColumn("accuracy", (F.col("all_hits") + WEIGHT * START) / (F.col("all_judged") + WEIGHT))
-    conf, right, wrong = _record([F.col(f"c{t}_{i}") for t in range(K) for i in range(K)], [F.col(f"all_r{b}") for b in range(BINS)], [F.col(f"all_e{b}") for b in range(BINS)], F.col("accuracy"), F.col("k"))
-    return flat.select("annotator", "scale", "k", "readings", "judged", "accuracy", conf.alias("table"), right.alias("right"), wrong.alias("wrong"))
-
-
-def _best(scores: list[Column]) -> Column:
-    """The place of the highest score, the first of equal ones."""
-    top = F.greatest(*scores)
-    return F.coalesce(*[F.when(s == top, F.lit(i)) for i, s in enumerate(scores)])
+def _measure(scored: DataFrame, both: bool) -> DataFrame:
+    """Counts of each kind of reading, and in cell -1 how many items changed their label (``h1``)."""
+    t = scored.withColumn("t", _totals(0))
 
+    def turn(v: Column) -> Column:
+        others = F.zip_with("t", v["s0"], lambda x, y: x - y)
+        clear = F.size(F.filter(others, lambda x: x > F.array_max(others) - 1e-9)) == 1
+        return F.struct(v["cell"].alias("cell"), F.when(clear & (F.col("n") > 1), F.pmod(v["label"] - _best(others), F.col("k"))).cast("int").alias("turn"))
 
-def score(v: DataFrame, record: DataFrame, small: bool = False) -> DataFrame:
-    """Votes with the item's consensus (``label_all``), the one without the vote itself (``other``) and the sums."""
-    says = record.select("annotator", "scale", "table", "right", "wrong")
-    known = v.join(F.broadcast(says) if small else says, ["annotator", "scale"])
-    say = {f"s{t}": F.col("w") * (F.element_at("table", F.lit(t * K + 1) + F.col("label")) + F.when(F.col("label") == t, F.element_at("right", F.col("bin") + 1)).otherwise(F.element_at("wrong", F.col("bin") + 1))) for t in range(K)}
-    known = known.withColumns(say).drop("table", "right", "wrong")
-    by = Window.partitionBy("item", "scale")
-    known = known.withColumns({f"t{t}": F.sum(f"s{t}").over(by) for t in range(K)})
-    return known.withColumns({"label_all": _best([F.col(f"t{t}") for t in range(K)]), "other": _best([F.col(f"t{t}") - F.col(f"s{t}") for t in range(K)])})
+    changed = F.struct(F.lit(-1).cast("bigint").alias("cell"), (_best(F.col("t")) != _best(_totals(1))).cast("int").alias("turn") if both else F.lit(1).alias("turn"))
+    turns = t.select(F.explode(F.concat(F.transform("votes", turn), F.array(changed))).alias("x")).select("x.*")
+    return turns.groupBy("cell").agg(F.count("*").alias("readings"), F.count("turn").alias("judged"), *[F.count(F.when(F.col("turn") == c, 1)).alias(f"h{c}") for c in range(K)])
 
 
-def consensus(readings: DataFrame, most_rounds: int = 15, stable: float = 1e-3) -> tuple[DataFrame, DataFrame]:
-    """Labels and annotators.
+def consensus(readings: DataFrame, most_rounds: int = 50, stable: float = 1e-5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, annotators, and the items with their votes.
 
     Labels: ``item, scale, label, n, alike, sure`` (share of the probability that the label
-    has), ``agreement`` (chance-corrected, see ``agreement``). Annotators: ``annotator,
-    scale, readings, judged, accuracy``.
+    has). Annotators: ``annotator, scale, readings, judged`` (readings with another of the same item whose
+    consensus is clear), ``accuracy, rounds, changed``: the number of rounds, and the share of
+    items whose label changed in the last one, below ``stable`` unless ``most_rounds`` were used up.
 
     Null items, annotators and labels are left out; an item with one reading keeps that
     reading's best label and says nothing of its annotator. Ties go to the least label.
     Empty input gives empty tables. Other columns of the input are ignored.
     """
-    v = keep(votes(readings))
-    record = cut(measure(None, v))
-    small = record.count() <= BROADCAST
-    for _ in range(most_rounds):
-        new = cut(measure(score(v, record, small), v))
-        moved = new.alias("a").join(record.alias("b"), ["annotator", "scale"]).agg(F.avg(F.abs(F.col("a.accuracy") - F.col("b.accuracy")))).first()[0]
-        record = new
-        if moved is None or moved < stable:
+    items, cells = votes(readings)
+    spark, small = readings.sparkSession, cells.count() <= BROADCAST
+    counted = "cell bigint, readings bigint, judged bigint, " + ", ".join(f"h{c} bigint" for c in range(K))
+
+    def fixed(df: DataFrame) -> DataFrame:
+        """The frame, computed: few rows as they are, many in the checkpoint folder."""
+        return spark.createDataFrame(df.collect(), df.schema) if small else cut(df)
+
+    def measure(weights: list[DataFrame]) -> DataFrame:
+        if not small:
+            return _measure(_with_weights(items, weights), len(weights) > 1)
+        # a row for each kind of reading, which are few here
+        share = spark.sparkContext.broadcast([_table(w) for w in weights])
+        parts = items.select("k", "n", "votes").mapInArrow(_counter(share, len(weights) > 1), counted)
+        return parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]])
+
+    last, now, changed, rounds = None, fixed(_weights(cells, None)), 1.0, 0
+    while rounds < most_rounds and changed > stable:
+        counts = fixed(measure([now] if last is None else [now, last]))
+        moved = counts.where("cell = -1").first()
+        if moved is None:
+            changed = 0.0
             break
-    scored = score(v, record, small)
-    tops = [F.first(f"t{t}").alias(f"t{t}") for t in range(K)]
-    labels = scored.groupBy("item", "scale").agg(F.first("label_all").alias("label"), F.first("n").alias("n"), F.first("alike").alias("alike"), *tops)
-    top = F.greatest(*[F.col(f"t{t}") for t in range(K)])
-    sure = 1 / reduce(lambda a, b: a + b, [F.exp(F.greatest(F.col(f"t{t}") - top, F.lit(-700.0))) for t in range(K)])
-    labels = labels.select("item", "scale", "label", "n", "alike", sure.alias("sure"))
-    return labels, record.select("annotator", "scale", "readings", "judged", "accuracy")
-
-
-def agreement(v: DataFrame) -> DataFrame:
+        changed, rounds = moved.h1 / moved.readings, rounds + 1
+        last, now = now, fixed(_weights(cells, counts))
+    if small:
+        share = spark.sparkContext.broadcast([_table(now)])
+        kind = items.schema["item"].dataType.simpleString()
+        labels = items.mapInArrow(_labeller(share), f"item {kind}, scale string, n bigint, alike boolean, label int, sure double")
+    else:
+        scored = _with_weights(items, [now]).withColumn("t", _totals(0))
+        sure = 1 / F.aggregate("t", F.lit(0.0), lambda a, x: a + F.exp(F.greatest(x - F.array_max("t"), F.lit(-700.0))))
+        labels = scored.select("item", "scale", "n", "alike", _best(F.col("t")).alias("label"), sure.alias("sure"))
+    record = now.select("annotator", "scale", "readings", "judged", "accuracy").distinct()
+    return labels, record.select("*", F.lit(rounds).alias("rounds"), F.lit(changed).alias("changed")), items
+
+
+def agreement(items: DataFrame) -> DataFrame:
     """Chance-corrected agreement of items with two votes or more: ``item, scale, n, observed, agreement``.
 
     Items may have any number of missing ratings: observed is the share of agreeing pairs of
@@ -151,9 +242,11 @@ def agreement(v: DataFrame) -> DataFrame:
     (Krippendorff's nominal coefficient item by item; its mean weighted by n is the scale's).
     A scale on which all votes are alike has agreement 1.
     """
-    per = v.where("n > 1").groupBy("item", "scale", "label").agg(F.count("*").alias("c"))
-    items = per.groupBy("item", "scale").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
-    marginal = per.groupBy("scale", "label").agg(F.sum("c").alias("m")).groupBy("scale").agg(F.sum("m").alias("all"), F.sum(F.col("m") * (F.col("m") - 1)).alias("pairs"))
+    many = items.where("n > 1")
+    counts = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.size(F.filter("votes", lambda v: v["label"] == t)))
+    same = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + c.cast("bigint") * (c - 1))
+    marginal = many.select("scale", F.explode("votes.label").alias("label")).groupBy("scale", "label").agg(F.count("*").alias("m")).groupBy("scale").agg(F.sum("m").alias("all"), F.sum(F.col("m") * (F.col("m") - 1)).alias("pairs"))
     expected = marginal.select("scale", F.try_divide("pairs", F.col("all") * (F.col("all") - 1)).alias("expected"))
-    observed = F.col("same") / (F.col("n") * (F.col("n") - 1))
-    return items.join(F.broadcast(expected), "scale").select("item", "scale", "n", observed.alias("observed"), F.when(F.col("expected") >= 1, 1.0).otherwise(1 - (1 - observed) / (1 - F.col("expected"))).alias("agreement"))
+    observed = same / (F.col("n") * (F.col("n") - 1))
+    # a row for each scale
+    return many.select("item", "scale", "n", observed.alias("observed")).join(F.broadcast(expected), "scale").select("item", "scale", "n", "observed", F.when(F.col("expected") >= 1, 1.0).otherwise(1 - (1 - F.col("observed")) / (1 - F.col("expected"))).alias("agreement"))

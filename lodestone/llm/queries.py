@@ -25,7 +25,11 @@ def plain_label(field: Column, value: Column) -> Column:
     return known
 
 
-def readings(spark: SparkSession, d: str) -> DataFrame:
+#: Providers of one family, by the start of their names: they copy from one another.
+FAMILIES = ("reference",)
+
+
+def readings(spark: SparkSession, d: str, families: tuple[str, ...] = FAMILIES) -> DataFrame:
     """The labelled readings of answer, points and type as the annotators' operator takes them."""
     raw = table(spark, d, "candidates").where(F.col("field").isin(*SCALES)).select("atu_id", "field", "provider", "value_json", "confidence", "ts")
     name = F.regexp_replace(F.lower(F.btrim("provider")), r"\s+", "")
@@ -33,7 +37,7 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
     k = F.coalesce(*[F.when(F.col("field") == f, F.lit(len(ls))) for f, ls in SCALES.items()])
     r = raw.withColumn("plain", plain_label(F.col("field"), F.col("value_json"))).where("plain is not null and provider is not null")
     r = r.withColumn("annotator", name)
-    family = F.when(F.col("annotator").startswith("reference"), "reference").otherwise(F.col("annotator"))
+    family = F.coalesce(*[F.when(F.col("annotator").startswith(f), f) for f in families], F.col("annotator"))
     return r.select(F.col("atu_id").alias("item"), F.col("field").alias("scale"), "annotator", place.alias("label"), k.alias("k"), F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"), "ts", family.alias("family"))
 
 
@@ -42,15 +46,14 @@ def _named(scale: Column, label: Column) -> Column:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    labels, _ = annotators.consensus(readings(spark, d))
+    labels, _, _ = annotators.consensus(readings(spark, d))
     return labels.where("n >= 3 and not alike").select(F.col("item").alias("atu_id"), _named(F.col("scale"), F.col("label")).alias("label")).distinct()
 
 
 def p1_labels(spark: SparkSession, d: str) -> DataFrame:
     """Every item's label, how sure it is, and the agreement of its votes."""
-    r = readings(spark, d)
-    labels, _ = annotators.consensus(r)
-    agree = annotators.agreement(annotators.votes(r)).select("item", "scale", "observed", "agreement")
+    labels, _, items = annotators.consensus(readings(spark, d))
+    agree = annotators.agreement(items).select("item", "scale", "observed", "agreement")
     return labels.join(agree, ["item", "scale"], "left").select(F.col("item").alias("atu_id"), F.col("scale").alias("field"), _named(F.col("scale"), F.col("label")).alias("label"), F.col("n").alias("providers"), "sure", "observed", "agreement")
 
 

@@ -12,7 +12,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_accuracy(spark, monkeypatch):
     """Planted truth: honest, careless, shifted and constant annotators, and one who copies another."""
     rnd = random.Random(3)
     truth, rows = {}, []
@@ -24,11 +24,19 @@ def test_held_out_accuracy(spark):
         for a, label in said.items():
             if rnd.random() < 0.8:
                 rows.append((f"i{i}", "s", a, label, 5, rnd.choice([0.9, None, 40.0]), 1.0, a.split(":")[0]))
-    labels, record = annotators.consensus(frame(spark, rows))
+    labels, record, _ = annotators.consensus(frame(spark, rows))
     right = sum(truth[r.item] == r.label for r in labels.where("n > 1").collect())
     assert right / labels.where("n > 1").count() > 0.9
     acc = {r.annotator: r.accuracy for r in record.collect()}
     assert acc["good1"] > 0.8 > acc["weak"] > acc["shift"]
+    last = record.first()
+    assert 1 < last.rounds < 50 and last.changed <= 1e-5
+    want = {(r.item, r.label, round(r.sure, 9)) for r in labels.collect()}
+    # many kinds of readings are joined instead of broadcast, to the same labels
+    monkeypatch.setattr(annotators, "BROADCAST", 0)
+    joined, again, _ = annotators.consensus(frame(spark, rows), most_rounds=last.rounds)
+    assert {(r.item, r.label, round(r.sure, 9)) for r in joined.collect()} == want
+    assert {(r.annotator, round(r.accuracy, 9)) for r in again.collect()} == {(a, round(x, 9)) for a, x in acc.items()}
 
 
 def test_defined_cases(spark):
@@ -38,17 +46,17 @@ def test_defined_cases(spark):
         ("t", "s", "x", 1, 5, None, None, "x"), ("t", "s", "y", 0, 5, None, None, "y"),
         (None, "s", "p", 1, 5, 0.1, 1.0, "p"), ("c", "s", None, 1, 5, 0.1, 1.0, None), ("d", "s", "p", None, 5, 0.1, 1.0, "p"),
     ]
-    labels, record = annotators.consensus(frame(spark, rows))
+    labels, record, _ = annotators.consensus(frame(spark, rows))
     got = {r.item: (r.label, r.n, r.alike) for r in labels.collect()}
     assert got == {"a": (2, 2, True), "b": (0, 1, True), "t": (0, 2, False)}
     assert {r.annotator for r in record.collect()} == {"p", "q", "x", "y"}
-    labels, record = annotators.consensus(frame(spark, []))
+    labels, record, _ = annotators.consensus(frame(spark, []))
     assert labels.count() == 0 and record.count() == 0
 
 
 def test_agreement(spark):
     rows = [(i, "s", a, x, 5, None, None, a) for i, xs in {"a": "11", "b": "22", "c": "12", "d": "1"}.items() for a, x in zip("pq", map(int, xs))]
-    got = {r.item: round(r.agreement, 6) for r in annotators.agreement(annotators.votes(frame(spark, rows))).collect()}
+    got = {r.item: round(r.agreement, 6) for r in annotators.agreement(annotators.votes(frame(spark, rows))[0]).collect()}
     # 3 of 6 votes each: expected agreement (6 + 6) / 30
     assert got == {"a": 1.0, "b": 1.0, "c": round(1 - 1 / 0.6, 6)}
 
