@@ -132,9 +132,11 @@ def scrub(s: Column) -> Column:
 
 
 def natural_key(s: Column) -> Column:
-    """A sort key in which runs of digits compare as numbers: zeros fill them to 20 places (T4)."""
+    """A sort key in which runs of digits compare as numbers, however long: the number of digits, itself led by its length, stands before them (T4)."""
     parts = F.regexp_extract_all(F.lower(s), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.ltrim(p, F.lit("0")), 20, "0")).otherwise(p)), "")
+    bare = lambda p: F.ltrim(p, F.lit("0"))
+    size = lambda p: F.length(bare(p)).cast("string")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.length(size(p)).cast("string"), size(p), F.lit(":"), bare(p))).otherwise(p)), "")
 
 
 def safe_filename(s: Column) -> Column:

@@ -67,17 +67,66 @@ def canonical_exam(questions: DataFrame, by: str) -> DataFrame:
     return questions.groupBy(by).agg(F.array_join(F.transform(q, line), "\n").alias("canonical")).withColumn("digest", F.sha2("canonical", 256))
 
 
-def question_status(units: DataFrame) -> DataFrame:
-    """Status of a question from its units' (A7): ``question_id, status``. What needs a person outranks what was restored."""
+def question_status(units: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """Status of a question from its units' (A7): ``question_id, status``.
+
+    ``questions`` (``question_id`` and, where known, ``confirmed, edited, corrected, has_content``, BOOLEAN, ``issues``, INT)
+    are all questions there are; without them, those with units. A confirmed one stays so; one without units
+    and content is BLOCKED; open units or issues need a person; what is left was edited, corrected or restored.
+    """
+    still_open = F.bool_or(F.col("status").isin("UNVERIFIED", "CONFLICT", "UNREADABLE")).alias("open")
+    u = units.groupBy("question_id").agg(still_open)
+    q = u if questions is None else questions.join(u, "question_id", "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in q.columns else F.lit(False)
+    issues = F.coalesce(F.col("issues"), F.lit(0)) > 0 if "issues" in q.columns else F.lit(False)
+    status = (
+        F.when(has("confirmed"), "USER_CONFIRMED").when(F.col("open").isNull() & ~has("has_content"), "BLOCKED").when(has("open") | issues, "NEEDS_USER_REVIEW")
+        .when(has("edited"), "USER_EDITED").when(has("corrected"), "AUTO_CORRECTED").otherwise("AUTO_RESTORED")
+    )
+    return q.select("question_id", status.alias("status"))
+
+
+def document_status(questions: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Status of a document from its questions' (A8): ``doc_id, status``.
+
+    ``documents`` (``doc_id``, and ``status`` where it is IN_PROGRESS) are all documents there are: one in progress stays
+    so, one without questions is a best effort.
+    """
     has = lambda s: F.bool_or(F.col("status") == s)
-    return units.groupBy("question_id").agg(F.when(has("HUMAN_VERIFIED") & ~has("CONFLICT"), "USER_CONFIRMED").when(has("UNREADABLE"), "BLOCKED").when(has("CONFLICT"), "NEEDS_USER_REVIEW").when(has("UNVERIFIED"), "BEST_EFFORT").otherwise("AUTO_RESTORED").alias("status"))
+    worst = F.when(has("NEEDS_USER_REVIEW"), "NEEDS_USER_REVIEW").when(has("BLOCKED"), "RESTORED_BEST_EFFORT").otherwise("READY_FOR_FINAL_EXPORT")
+    q = questions.groupBy("doc_id").agg(worst.alias("worst"))
+    if documents is None:
+        return q.select("doc_id", F.col("worst").alias("status"))
+    return documents.join(q, "doc_id", "left").select("doc_id", F.when(F.col("status") == "IN_PROGRESS", "IN_PROGRESS").otherwise(F.coalesce("worst", F.lit("RESTORED_BEST_EFFORT"))).alias("status"))
+
+
+def awaiting(questions: DataFrame) -> DataFrame:
+    """Questions that a person must see or that nothing could be restored of."""
+    return questions.where(F.col("status").isin("NEEDS_USER_REVIEW", "BLOCKED"))
+
+
+def summaries(questions: DataFrame, longest: int = 80) -> DataFrame:
+    """What planning an edit needs of a question (P24): its place, label, type, points, choices and the start of its body."""
+    short = F.when(F.length("body") <= longest, F.col("body")).otherwise(F.concat(F.substring("body", 1, longest), F.lit("…")))
+    return questions.select("expected_id", "exam_id", "number", "label", "type", "points", F.coalesce(F.size("choices"), F.lit(0)).alias("n_choices"), short.alias("summary"))
+
+
+def page_lists(pages: DataFrame, role: str = "page_role", number: str = "pdf_page_index") -> DataFrame:
+    """Pages of a document that hold answers, and those of no known role (P25)."""
+    pick = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col(number))))
+    return pages.groupBy("document_id").agg(pick(F.col(role) == "ANSWER_KEY").alias("answer_pages"), pick(F.col(role).isNull() | (F.col(role) == "UNKNOWN")).alias("unprocessed"))
+
+
+def settled_role(pages: DataFrame) -> DataFrame:
+    """A page's role: what a person said before what was suggested (X13): ``document_id, pdf_page_index, role``."""
+    said = F.max_by("page_role", F.when(F.col("page_role").isNotNull(), F.struct((F.upper("role_source") == "USER").alias("user"), "ingested_at", "id")))
+    return pages.groupBy("document_id", "pdf_page_index").agg(said.alias("role"))
 
 
-def document_status(questions: DataFrame) -> DataFrame:
-    """The worst status of a document's questions (A8): ``doc_id, status``."""
-    rank = ["BLOCKED", "NEEDS_USER_REVIEW", "BEST_EFFORT", "USER_CONFIRMED", "AUTO_RESTORED"]
-    r = F.array_position(F.lit(rank), F.col("status"))
-    return questions.groupBy("doc_id").agg(F.element_at(F.lit(rank), F.min(r).cast("int")).alias("status"))
+def with_default(df: DataFrame, key: str, registry: DataFrame, columns: dict[str, object]) -> DataFrame:
+    """Columns of a registry beside each row, the defaults where it has none (X12). The registry has a row for each key."""
+    j = df.join(registry.select(key, *columns), key, "left")
+    return j.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in columns.items()})
 
 
 def review_package(units: DataFrame) -> DataFrame:
@@ -124,9 +173,9 @@ def fixed_labels(choices: DataFrame, key: str) -> DataFrame:
     place = F.array_position(F.lit(CIRCLED), F.col("label"))
     bare = F.min(F.col("label").rlike(r"^\(?\d{1,2}[.)]?$")).over(w)
     circled = F.min(place > 0).over(w)
-    repeated = F.size(F.collect_set("label").over(w)) < F.count("*").over(w)
+    repeated = F.max("_same").over(w) > 1
     prev = F.lag(place).over(w.orderBy("pos"))
-    d = choices.withColumns({"_bare": bare, "_circled": circled, "_rep": repeated, "_step": F.coalesce(place < prev, F.lit(False))})
+    d = choices.withColumn("_same", F.count("*").over(Window.partitionBy(key, "label"))).withColumns({"_bare": bare, "_circled": circled, "_rep": repeated, "_step": F.coalesce(place < prev, F.lit(False))})
     rule = F.when(F.count("*").over(w) < 2, None).when(F.col("_bare"), "choice_label_normalize").when(F.col("_circled") & F.col("_rep"), "choice_label_dedup").when(F.col("_circled") & F.max("_step").over(w), "choice_order")
     d = d.withColumn("rule", rule)
     return d.select(key, "pos", F.when(F.col("rule").isNotNull() & (F.col("pos") < len(CIRCLED)), F.get(F.lit(CIRCLED), F.col("pos").cast("int"))).otherwise(F.col("label")).alias("label"), "rule")

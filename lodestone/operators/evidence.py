@@ -22,9 +22,13 @@ def evidence_class(provider: Column) -> Column:
     return F.coalesce(*[F.when(p.rlike(f"^({'|'.join(xs)})"), c) for c, xs in CLASSES.items()], F.lit("OBSERVATION"))
 
 
-def settle(readings: DataFrame) -> DataFrame:
+def settle(readings: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Status, value and note of each unit from its readings (A1, A2).
 
+    ``units`` (``atu_id, status, value_json``, one row each) are all units there are: one that a person has
+    verified (HUMAN_VERIFIED) keeps its value and status, whatever was read; one without a reading is UNREADABLE. Without
+    ``units``, those with readings are there.
+
     ``readings``: ``atu_id, provider, value_json``. Values are compared as JSON text, so
     ``3``, ``3.0`` and ``"3"`` are three values; null is a value of its own. Two independent
     sources that agree verify a value, one alone doesn't, disagreement is a conflict whose
@@ -40,6 +44,16 @@ def settle(readings: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("v").alias("v"), part.alias("p")))), lambda x: x["p"]), "; ").alias("parts"),
     )
     agreed = (F.col("values") == 1) & (F.col("sources") >= 2)
+    if units is not None:
+        u = units.select("atu_id", F.coalesce(F.col("status") == "HUMAN_VERIFIED", F.lit(False)).alias("human"), F.col("value_json").alias("own"))
+        every, human = one.join(u, "atu_id", "right"), F.col("human")
+        return every.select(
+            "atu_id",
+            F.when(human, "HUMAN_VERIFIED").when(F.col("values").isNull(), "UNREADABLE").when(F.col("values") > 1, "CONFLICT").when(agreed, "AUTO_VERIFIED").otherwise("UNVERIFIED").alias("status"),
+            F.when(human, F.col("own")).when(agreed, F.col("v")).alias("value_json"),
+            F.when(human | F.col("values").isNull(), F.lit(None)).when(F.col("values") > 1, F.concat(F.lit("conflict:"), "parts")).when(agreed, F.concat(F.lit("independent_sources:"), F.col("sources").cast("string"))).otherwise("single_source").alias("note"),
+            F.coalesce("readings", F.lit(0)).alias("readings"),
+        )
     return one.select(
         "atu_id",
         F.when(F.col("values") > 1, "CONFLICT").when(agreed, "AUTO_VERIFIED").otherwise("UNVERIFIED").alias("status"),

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a band that are ranked by themselves first; numbers of a hole that one row lists.
+PARTS, BLOCK = 64, 10_000
+
+
 def reading_order(df: DataFrame, by: list[str]) -> DataFrame:
     """``place`` from 1 by page, column (centre right of the middle), top, left, old position.
 
@@ -57,9 +61,11 @@ def renumber_subs(df: DataFrame, by: list[str], label: str, order: str) -> DataF
     parent = F.regexp_extract(label, r"^(\d+)-\d+$", 1)
     w = Window.partitionBy(*by, "parent")
     d = df.withColumn("parent", F.nullif(parent, F.lit("")))
-    several = F.size(F.collect_set(label).over(w)) < F.count(label).over(w)
+    # whether a number has a repeated label is found once, with a partial step before its shuffle
+    twice = d.where("parent is not null").groupBy(*by, "parent", label).agg(F.count("*").alias("_n")).groupBy(*by, "parent").agg((F.max("_n") > 1).alias("_several"))
     new = F.concat("parent", F.lit("-"), F.row_number().over(w.orderBy(order)).cast("string"))
-    return d.withColumn("new_label", F.when(F.col("parent").isNotNull() & several, new).otherwise(F.col(label))).drop("parent")
+    j = d.join(twice, [*by, "parent"], "left").withColumn("new_label", F.when(F.col("_several"), new).otherwise(F.col(label)))
+    return j.select(*df.columns, "new_label")
 
 
 def joined_lines(df: DataFrame, by: list[str], order: str, text: str) -> DataFrame:
@@ -86,7 +92,10 @@ def longest_run(df: DataFrame, by: list[str], order: str, flag: Column) -> DataF
 
 def quota(df: DataFrame, band: str, order: str, quotas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first rows of each band up to its quota, and what bands fall short."""
-    picked = df.join(F.broadcast(quotas), band).withColumn("k", F.row_number().over(Window.partitionBy(band).orderBy(order))).where("k <= quota").drop("k", "quota")
+    # the first of each part of a band are found before they are brought together: a huge band is never sorted by one task
+    parts = df.join(quotas, band).withColumn("_part", F.pmod(F.xxhash64(order), F.lit(PARTS)))
+    near = parts.withColumn("_k", F.row_number().over(Window.partitionBy(band, "_part").orderBy(order))).where("_k <= quota")
+    picked = near.withColumn("_k", F.row_number().over(Window.partitionBy(band).orderBy(order))).where("_k <= quota").drop("_k", "_part", "quota")
     short = quotas.join(picked.groupBy(band).agg(F.count("*").alias("got")), band, "left").select(band, "quota", F.coalesce("got", F.lit(0)).alias("got"), (F.col("quota") - F.coalesce("got", F.lit(0))).alias("short"))
     return picked, short
 
@@ -129,10 +138,14 @@ def last_known(df: DataFrame, by: list[str], order: list[str], columns: list[str
 
 def gaps(df: DataFrame, by: list[str], number: str, from_one: bool = False) -> DataFrame:
     """Numbers that are missing between the least (or 1) and the greatest."""
-    g = df.where(F.col(number).isNotNull()).groupBy(*by).agg(F.collect_set(number).alias("s"))
-    low = F.lit(1).cast("int") if from_one else F.array_min("s")
-    missing = F.when(F.array_max("s") >= low, F.array_except(F.sequence(low, F.array_max("s")), "s")).otherwise(F.array().cast("array<int>"))
-    return g.select(*by, F.explode(missing).alias("missing"))
+    kind = df.schema[number].dataType.simpleString()
+    d = df.where(F.col(number).isNotNull()).select(*by, F.col(number).cast("bigint").alias("_n")).distinct()
+    if from_one:
+        d = d.where("_n >= 0").unionByName(d.select(*by).distinct().withColumn("_n", F.lit(0).cast("bigint"))).distinct()
+    hole = d.withColumn("_to", F.lead("_n").over(Window.partitionBy(*by).orderBy("_n")) - 1).where("_to > _n")
+    # a wide hole is listed in blocks, so that no row holds all its numbers
+    block = hole.select(*by, "_n", "_to", F.explode(F.sequence(F.col("_n") + 1, F.col("_to"), F.lit(BLOCK).cast("bigint"))).alias("_from"))
+    return block.select(*by, F.explode(F.sequence("_from", F.least("_to", F.col("_from") + BLOCK - 1))).alias("missing")).withColumn("missing", F.col("missing").cast(kind))
 
 
 def moved(df: DataFrame, by: list[str], pos: str, key: str, target: str) -> DataFrame:

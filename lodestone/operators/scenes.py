@@ -10,32 +10,38 @@ from pyspark.sql import functions as F
 #: Marks and the relations one of which they need; relations and the marks they need.
 MARKS = {"right_angle_mark": ["right_angle", "perpendicular"], "parallel_mark": ["parallel"], "equal_mark": ["equal_length", "equal_angle", "congruent"]}
 PRINTED = {"right_angle": ["right_angle_mark", "angle_mark"], "perpendicular": ["right_angle_mark"], "parallel": ["parallel_mark"], "equal_length": ["equal_mark"]}
-#: The least number of nodes that a kind refers to.
-REFS = {"segment": 2, "line": 2, "ray": 2, "arc": 2, "circle": 1, "polygon": 3, "angle_mark": 3, "right_angle_mark": 3, "parallel_mark": 1, "equal_mark": 1}
+#: The kinds of nodes with the least number of nodes that each refers to, and the kinds of relations.
+REFS = {"point": 0, "segment": 2, "line": 2, "ray": 2, "polyline": 2, "arc": 2, "curve": 2, "circle": 1, "polygon": 3, "angle_mark": 1, "right_angle_mark": 1, "parallel_mark": 1, "equal_mark": 1, "hatch": 1, "label": 0, "axis": 1, "tick": 1}
+RELATIONS = ["right_angle", "parallel", "perpendicular", "equal_length", "equal_angle", "on_line", "on_circle", "congruent", "midpoint", "intersection", "tangent"]
 
 
-def validate(nodes: DataFrame, edges: DataFrame, labels: DataFrame, most_nodes: int = 200, most_edges: int = 100) -> DataFrame:
+def validate(nodes: DataFrame, edges: DataFrame, labels: DataFrame, most_nodes: int = 200, most_edges: int = 100, longest_label: int = 200) -> DataFrame:
     """``scene_id, error, about`` of figures that break a rule.
 
     ``nodes``: ``scene_id, id, kind, refs, props``; ``edges``: ``scene_id, kind, refs``;
-    ``labels``: ``scene_id, node_id, text``.
+    ``labels``: ``scene_id, node_id, text``. A node of an unknown kind, null included, has that error alone besides those of its
+    id; an unknown relation's references are not looked at.
     """
+    known, related = F.coalesce(F.col("kind").isin(*REFS), F.lit(False)), F.coalesce(F.col("kind").isin(*RELATIONS), F.lit(False))
     row = lambda d, error, about: d.select("scene_id", F.lit(error).alias("error"), about.alias("about"))
     ids = nodes.select("scene_id", "id").distinct()
     need = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in REFS.items()], F.lit(0))
     many = lambda d, n: d.groupBy("scene_id").agg(F.count("*").alias("n")).where(F.col("n") > n)
     bad = F.exists(F.map_values("props"), lambda v: F.isnan(v) | (F.abs(v) > 1e6))
-    refs = edges.select("scene_id", "kind", F.explode("refs").alias("id"))
+    refs = edges.where(related).select("scene_id", "kind", F.explode("refs").alias("id"))
     parts = [
         row(many(nodes, most_nodes), "too_many_nodes", F.col("n").cast("string")),
         row(many(edges, most_edges), "too_many_relations", F.col("n").cast("string")),
         row(nodes.where("id is null or id = ''"), "empty_id", F.col("kind")),
         row(nodes.where("id <> ''").groupBy("scene_id", "id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate_id", F.col("id")),
-        row(nodes.where(F.size("refs") < need), "few_refs", F.col("id")),
-        row(nodes.where(bad), "number_out_of_range", F.col("id")),
-        row(edges.where(F.size("refs") <= 0), "relation_without_refs", F.col("kind")),
+        row(nodes.where(~known), "unknown_kind", F.concat_ws("|", "id", "kind")),
+        row(nodes.where(known & (F.size("refs") < need)), "few_refs", F.col("id")),
+        row(edges.where(~related), "unknown_relation", F.col("kind")),
+        row(nodes.where(known & bad), "number_out_of_range", F.col("id")),
+        row(edges.where(related & (F.size("refs") <= 0)), "relation_without_refs", F.col("kind")),
         row(refs.join(ids, ["scene_id", "id"], "left_anti"), "missing_ref", F.col("id")),
         row(labels.select("scene_id", F.col("node_id").alias("id")).join(ids, ["scene_id", "id"], "left_anti"), "label_without_node", F.col("id")),
+        row(labels.where(F.length("text") > longest_label), "label_too_long", F.col("node_id")),
     ]
     return reduce(DataFrame.unionByName, parts).distinct()
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +64,31 @@ def access(requests: DataFrame, members: DataFrame, grants: DataFrame, actions:
     """``role, allowed`` of requests: by membership, else by a document's grant."""
     j = requests.join(members, ["tenant_id", "user_id"], "left").join(grants, ["doc_id", "user_id"], "left").withColumn("role", F.coalesce("member_role", "grant_role"))
     allowed = actions.select("role", "action", F.lit(True).alias("yes")).distinct()
-    return j.join(F.broadcast(allowed), ["role", "action"], "left").select("request_id", "role", F.coalesce("yes", F.lit(False)).alias("allowed"))
+    return j.join(allowed, ["role", "action"], "left").select("request_id", "role", F.coalesce("yes", F.lit(False)).alias("allowed"))
 
 
 def fill_budget(charges: DataFrame, by: str, order: str, amount: str, cap: float) -> DataFrame:
     """``accepted`` of each charge: rejected ones don't count towards the cap.
 
-    A fold per key in order; a key's charges are one sequence by nature, held as pairs of numbers only.
+    A key's charges are one sequence by nature. They are sorted with their key and pass by in Arrow batches; of
+    what went before only the sum is kept. Null amounts count as 0.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(amount).cast("double").alias("a"))))
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<boolean>").alias("ok"))
-    step = lambda s, x: F.struct(F.when(s["sum"] + x["a"] <= cap, s["sum"] + x["a"]).otherwise(s["sum"]).alias("sum"), F.concat(s["ok"], F.array(s["sum"] + x["a"] <= cap)).alias("ok"))
-    g = charges.groupBy(by).agg(seq.alias("seq")).withColumn("ok", F.aggregate("seq", start, step)["ok"])
-    return g.select(by, F.inline(F.arrays_zip(F.transform("seq", lambda x: x["o"]).alias(order), F.transform("seq", lambda x: x["a"]).alias(amount), F.col("ok").alias("accepted"))))
+    rows = charges.select(by, order, F.col(amount).cast("double").alias(amount)).repartition(by).sortWithinPartitions(by, order, amount)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, spent = object(), 0.0
+        for batch in batches:
+            ok = []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if key != last:
+                    last, spent = key, 0.0
+                ok.append(spent + (x or 0.0) <= cap)
+                if ok[-1]:
+                    spent += x or 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], names=[by, order, amount, "accepted"])
+
+    return rows.mapInArrow(run, f"{kinds}, accepted boolean")
 
 
 def append_revision(revisions: DataFrame, contents: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import compare, documents, evidence, nested, versions
-from lodestone.plans.evidence_queries import SETTLED, readings
+from lodestone.plans.evidence_queries import SETTLED, WHOLE, readings, truth_units
 from lodestone.plans.stages import Pipeline, Stage
 from lodestone.sources.tables import table
 
@@ -66,22 +66,75 @@ def proj13_review_package(s, d):
     return documents.review_package(u)
 
 
-_STATUS = "qs as (select doc_id, question_id, case when bool_or(status='CONFLICT') then 'NEEDS_USER_REVIEW' when bool_or(status='UNVERIFIED') then 'BEST_EFFORT' else 'AUTO_RESTORED' end status from (select distinct doc_id, question_id, atu_id from candidates) join settled using(atu_id) group by all)"
+_QS = "qs as (select doc_id||'|'||question_id qk, max(doc_id) doc_id, max(question_id) question_id, case when bool_or(status in ('UNVERIFIED','CONFLICT','UNREADABLE')) then 'NEEDS_USER_REVIEW' else 'AUTO_RESTORED' end status from (select distinct doc_id, question_id, atu_id from candidates) join settled using(atu_id) group by 1)"
+_EXAM = "(select exam_id, expected_id, number, label, answer is not null confirmed, coalesce(body,'')<>'' has_content, points is null edited, type is null corrected from (select distinct on (expected_id) * from expected))"
 
 
-@query("a7_question_status", f"with {SETTLED}, {_STATUS} select question_id, status from (select question_id, case when bool_or(s='CONFLICT') then 'NEEDS_USER_REVIEW' when bool_or(s='UNVERIFIED') then 'BEST_EFFORT' else 'AUTO_RESTORED' end status from (select distinct question_id, atu_id from candidates) join (select atu_id, status s from settled) using(atu_id) group by 1)")
+@query("a7_question_status", f"with {WHOLE}, {_QS} select question_id, case when bool_or(status='NEEDS_USER_REVIEW') then 'NEEDS_USER_REVIEW' else 'AUTO_RESTORED' end status from qs group by 1")
 def a7_question_status(s, d):
     r = readings(s, d)
-    return documents.question_status(r.select("question_id", "atu_id").distinct().join(evidence.settle(r).select("atu_id", "status"), "atu_id"))
+    return documents.question_status(r.select("question_id", "atu_id").distinct().join(evidence.settle(*truth_units(s, d)).select("atu_id", "status"), "atu_id"))
 
 
-@query("a8_document_status", f"with {SETTLED}, {_STATUS} select doc_id, case min(case status when 'NEEDS_USER_REVIEW' then 2 when 'BEST_EFFORT' then 3 else 5 end) when 2 then 'NEEDS_USER_REVIEW' when 3 then 'BEST_EFFORT' else 'AUTO_RESTORED' end status from qs group by 1")
-def a8_document_status(s, d):
-    r = readings(s, d)
+@query("a7_status_of_exams", f"select expected_id question_id, case when confirmed and number%3=0 then 'USER_CONFIRMED' when not has_content and number%2=0 then 'BLOCKED' when number%5=0 and number%2=1 then 'NEEDS_USER_REVIEW' when edited then 'USER_EDITED' when corrected then 'AUTO_CORRECTED' else 'AUTO_RESTORED' end status from {_EXAM} where number is not null")
+def a7_status_of_exams(s, d):
+    """Every way to a status: questions of exams, odd numbers with a unit, which is in conflict in each fifth question."""
+    q = questions(s, d).where("number is not null")
+    facts = q.select(F.col("expected_id").alias("question_id"), (F.col("answer").isNotNull() & (F.col("number") % 3 == 0)).alias("confirmed"), (F.coalesce("body", F.lit("")) != "").alias("has_content"), F.col("points").isNull().alias("edited"), F.col("type").isNull().alias("corrected"))
+    units = q.where("number % 2 = 1").select(F.col("expected_id").alias("question_id"), F.when(F.col("number") % 5 == 0, "CONFLICT").otherwise("AUTO_VERIFIED").alias("status"))
+    return documents.question_status(units, facts)
+
+
+def _document_states(s, d):
     key = F.concat_ws("|", "doc_id", "question_id")
-    u = r.select("doc_id", key.alias("question_id"), "atu_id").distinct().join(evidence.settle(r).select("atu_id", "status"), "atu_id")
-    of = u.select("doc_id", "question_id").distinct()
-    return documents.document_status(documents.question_status(u).join(of, "question_id"))
+    u = readings(s, d).select("doc_id", key.alias("question_id"), "atu_id").distinct().join(evidence.settle(*truth_units(s, d)).select("atu_id", "status"), "atu_id")
+    return documents.question_status(u).join(u.select("doc_id", "question_id").distinct(), "question_id")
+
+
+@query("a8_document_status", f"with {WHOLE}, {_QS}, w as (select doc_id, case when bool_or(status='NEEDS_USER_REVIEW') then 'NEEDS_USER_REVIEW' else 'READY_FOR_FINAL_EXPORT' end status from qs group by 1), dd as (select id doc_id, bool_or(lifecycle_state='PROCESSING') busy from doc_registry group by 1) select doc_id, case when busy then 'IN_PROGRESS' else coalesce(w.status,'RESTORED_BEST_EFFORT') end status from dd left join w using(doc_id)")
+def a8_document_status(s, d):
+    r = table(s, d, "doc_registry").groupBy(F.col("id").alias("doc_id")).agg(F.when(F.bool_or(F.col("lifecycle_state") == "PROCESSING"), "IN_PROGRESS").alias("status"))
+    return documents.document_status(_document_states(s, d), r)
+
+
+@query("proj14_awaiting", f"with {WHOLE}, {_QS} select doc_id, question_id, status from qs where status in ('NEEDS_USER_REVIEW','BLOCKED')")
+def proj14_awaiting(s, d):
+    return documents.awaiting(_document_states(s, d)).select("doc_id", F.substring_index("question_id", "|", -1).alias("question_id"), "status")
+
+
+@query("proj24_summaries", "select expected_id, exam_id, number, label, type, points, coalesce(cardinality(choices),0)::int n_choices, case when length(body)<=80 then body else left(body,80)||'…' end summary from (select distinct on (expected_id) * from expected)")
+def proj24_summaries(s, d):
+    return documents.summaries(questions(s, d))
+
+
+@query("proj25_page_lists", "select document_id, coalesce(list_sort(list(distinct pdf_page_index) filter(page_role='ANSWER_KEY' and pdf_page_index is not null)),[]) answer_pages, coalesce(list_sort(list(distinct pdf_page_index) filter((page_role is null or page_role='UNKNOWN') and pdf_page_index is not null)),[]) unprocessed from source_pages group by 1")
+def proj25_page_lists(s, d):
+    return documents.page_lists(table(s, d, "source_pages"))
+
+
+@query("x13_settled_role", "select document_id, pdf_page_index, arg_max(page_role, (coalesce(upper(role_source)='USER',false), ingested_at, id)) filter(page_role is not null) role from source_pages group by all")
+def x13_settled_role(s, d):
+    p = table(s, d, "source_pages").withColumn("role_source", F.coalesce("role_source", F.lit("")))
+    return documents.settled_role(p)
+
+
+@query("x12_with_default", "with r as (select source, max_repeats, target_share from mix_targets) select doc_id, coalesce(max_repeats,1) max_repeats, coalesce(target_share,0.0) target_share from documents left join r using(source)")
+def x12_with_default(s, d):
+    return documents.with_default(table(s, d, "documents").select("doc_id", "source"), "source", table(s, d, "mix_targets"), {"max_repeats": 1, "target_share": 0.0}).drop("source")
+
+
+@query("s3_without_tenant", "select tbl, count(*) n from (select distinct 'doc_registry' tbl, id from doc_registry where tenant_id is null or tenant_id='' union all select distinct 'source_assets', id from source_assets where tenant_id is null or tenant_id='' union all select distinct 'source_pages', id from source_pages where tenant_id is null or tenant_id='') group by 1 union all select t, 0 from (values ('doc_registry',(select count(*) from doc_registry where tenant_id is null or tenant_id='')),('source_assets',(select count(*) from source_assets where tenant_id is null or tenant_id='')),('source_pages',(select count(*) from source_pages where tenant_id is null or tenant_id=''))) v(t,c) where c=0")
+def s3_without_tenant(s, d):
+    """Rows of each table that belong to no tenant."""
+    one = lambda t: table(s, d, t).agg(F.lit(t).alias("tbl"), F.count_distinct(F.when(F.coalesce("tenant_id", F.lit("")) == "", F.col("id"))).alias("n"))
+    return one("doc_registry").unionByName(one("source_assets")).unionByName(one("source_pages"))
+
+
+@query("a30_open_regions", f"with {WHOLE} select doc_id, ord page, count(*) filter(status in ('UNVERIFIED','CONFLICT','UNREADABLE')) uncertain, count(*) units from (select distinct doc_id, ord, atu_id from candidates where ord is not null) join settled using(atu_id) group by all")
+def a30_open_regions(s, d):
+    """Units of each place that are still open."""
+    u = readings(s, d).where("ord is not null").select("doc_id", F.col("ord").alias("page"), "atu_id").distinct().join(evidence.settle(*truth_units(s, d)).select("atu_id", "status"), "atu_id")
+    return u.groupBy("doc_id", "page").agg(F.count_if(F.col("status").isin("UNVERIFIED", "CONFLICT", "UNREADABLE")).alias("uncertain"), F.count("*").alias("units"))
 
 
 @query("j3_shared_stems", f"with {_Q}, s as (select exam_id, expected_id sub, regexp_extract(label,'^(\\d+)-\\d+$',1) n from q where regexp_matches(label,'^\\d+-\\d+$')), t as (select exam_id, expected_id stem, number pos, regexp_matches(replace(label,' ',''),'^\\d+$') pl, unnest(list_distinct(regexp_extract_all(label,'\\d+'))) n from q where label is not null and not contains(label,'-')) select exam_id, sub id, arg_min(stem,(pl,pos,stem)) parent_id from s join t using(exam_id,n) group by all")
@@ -109,26 +162,13 @@ def proj23_canonical_exam(s, d):
     return documents.canonical_exam(questions(s, d), "exam_id").select("exam_id", "digest")
 
 
-@query("j16_equal_choices", r"with c as (select distinct expected_id, m mark, regexp_replace(choices[m],'\s+','','g') n from expected, (values ('①'),('②'),('③'),('④'),('⑤')) t(m) where choices[m] is not null and not regexp_matches(choices[m],'[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]')) select a.expected_id, a.mark a, b.mark b from c a join c b on a.expected_id=b.expected_id and a.n=b.n and a.mark<b.mark where a.n<>''")
+@query("j16_equal_choices")
 def j16_equal_choices(s, d):
-    c = questions(s, d).select("expected_id", F.explode("choices").alias("mark", "body")).where(~F.col("body").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
-    return documents.equal_choices(c, "expected_id")
-
-
-@query("j16_equal_choices_whole")
-def j16_equal_choices_whole(s, d):
     return documents.proven_choices(questions(s, d).select("expected_id", F.explode("choices").alias("mark", "body")), "expected_id")
 
 
-@query("j17_answers_by_number", "with c as (select distinct question_id, ord, field, value_json from candidates where field in ('answer','number')) select question_id, count(*) compared from (select distinct a.question_id, a.value_json, b.value_json vb from c a join c b using(question_id) where a.field='answer' and b.field='number') group by 1")
+@query("j17_answers_by_number")
 def j17_answers_by_number(s, d):
-    c = readings(s, d).select("question_id", "field", "value_json").distinct()
-    a, b = c.where("field = 'answer'").select("question_id", F.col("value_json").alias("a")), c.where("field = 'number'").select("question_id", F.col("value_json").alias("b"))
-    return a.join(b, "question_id").distinct().groupBy("question_id").agg(F.count("*").alias("compared"))
-
-
-@query("j17_answers_differ")
-def j17_answers_differ(s, d):
     r = readings(s, d).where("field = 'answer'")
     answer = F.coalesce(F.try_variant_get(F.try_parse_json("value_json"), "$", "string"), F.col("value_json"))
     return compare.answers_differ(r.select("question_id", evidence.source_key(F.col("provider")).alias("source"), F.when(F.col("value_json") != "null", answer).alias("answer")), "question_id")
@@ -213,11 +253,13 @@ def u5_ordered_distinct(s, d):
     return readings(s, d).where("field is not null").groupBy("question_id", "field").agg(F.min("candidate_id").alias("first_seen"), F.count("*").alias("n"))
 
 
-@query("proj19_adequate_choices", "select question_id, bool_or(field='type' and contains(lower(coalesce(value_json,'')),'multiple')) is_choice, bool_or(field='answer') has_answer from candidates where field is not null group by 1")
+@query("proj19_adequate_choices", "select question_id, count(distinct atu_id)>0 and (not bool_or(field='type' and contains(lower(coalesce(value_json,'')),'multiple')) or bool_or(starts_with(field,'choice:') or kind='choice')) adequate from candidates group by 1")
 def proj19_adequate_choices(s, d):
-    r = readings(s, d).where("field is not null")
-    multiple = (F.col("field") == "type") & F.contains(F.lower(F.coalesce("value_json", F.lit(""))), F.lit("multiple"))
-    return r.groupBy("question_id").agg(F.bool_or(multiple).alias("is_choice"), F.bool_or(F.col("field") == "answer").alias("has_answer"))
+    """Whether reading a question was worth it (P19): it gave units, and one with choices gave at least one."""
+    field = F.coalesce("field", F.lit(""))
+    multiple = (field == "type") & F.contains(F.lower(F.coalesce("value_json", F.lit(""))), F.lit("multiple"))
+    choice = F.startswith(field, F.lit("choice:")) | F.coalesce(F.col("kind") == "choice", F.lit(False))
+    return table(s, d, "candidates").groupBy("question_id").agg(((F.count_distinct("atu_id") > 0) & (~F.bool_or(multiple) | F.bool_or(choice))).alias("adequate"))
 
 
 @query("r12_stage_records")
@@ -234,14 +276,8 @@ def r12_stage_records(s, d):
     return log.join(counts, "name", "left").select("name", "status", "error", "made")
 
 
-@query("f18_missing_in_render", "select expected_id, (case when answer is not null and not contains(regexp_replace(body,'\\s+','','g'), regexp_replace(answer,'\\s+','','g')) then 1 else 0 end)::int missing from (select distinct expected_id, body, answer from expected) where body is not null and not regexp_matches(body||coalesce(answer,''),'[^\\x00-\\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]')")
+@query("f18_missing_in_render")
 def f18_missing_in_render(s, d):
-    q = questions(s, d).where("body is not null").where(~F.concat("body", F.coalesce("answer", F.lit(""))).rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
-    return q.select("expected_id", T.contains_all(F.col("body"), F.array_compact(F.array("answer"))).alias("missing"))
-
-
-@query("f18_missing_in_render_whole")
-def f18_missing_in_render_whole(s, d):
     return questions(s, d).where("body is not null").select("expected_id", T.contains_all(F.col("body"), F.array_compact(F.array("answer")), T.REORDERED).alias("missing"))
 
 
@@ -272,12 +308,13 @@ def proj15_confirm(s, d):
     return documents.needs_confirmation(c).select("candidate_id", "confirm")
 
 
-@query("proj17_solve_targets", f"with {_Q}, p as (select q.exam_id, q.expected_id id, min(m.expected_id) par from q join q m on m.exam_id=q.exam_id and m.label=q.parent_label group by all) select expected_id id from q where trim(body,' ')<>'' and expected_id not in (select par from p)")
+@query("proj17_solve_targets", f"with {_Q}, p as (select q.exam_id, q.expected_id id, min(m.expected_id) par from q join q m on m.exam_id=q.exam_id and m.label=q.parent_label group by all) select expected_id id from q where trim(body,' ')<>'' and expected_id not in (select par from p) and coalesce(number%2=0 or number%4=1,true)")
 def proj17_solve_targets(s, d):
-    q = questions(s, d).select("exam_id", F.col("expected_id").alias("id"), "label", "parent_label", "body")
+    """Odd numbers have a unit, which is verified in every second one."""
+    q = questions(s, d).select("exam_id", F.col("expected_id").alias("id"), "label", "parent_label", "body", "number")
     stems = q.where("label is not null").groupBy("exam_id", F.col("label").alias("parent_label")).agg(F.min("id").alias("parent_id"))
-    none = s.createDataFrame([], "question_id bigint, status string")
-    return documents.solve_targets(q.join(stems, ["exam_id", "parent_label"], "left"), none)
+    units = q.where("number % 2 = 1").select(F.col("id").alias("question_id"), F.when(F.col("number") % 4 == 1, "AUTO_VERIFIED").otherwise("CONFLICT").alias("status"))
+    return documents.solve_targets(q.join(stems, ["exam_id", "parent_label"], "left"), units)
 
 
 @query("t6_figures_last", f"with {_Q}, k as (select expected_id, exam_id, row_number() over(partition by exam_id order by (type='multiple_choice'), expected_id) place from q where type is not null) select expected_id, place::int place from k where place<=20")

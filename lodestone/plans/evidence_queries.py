@@ -24,7 +24,16 @@ def query(name: str, sql: str | None = None):
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "candidates").distinct()
+    """Each reading once. Repeated rows are equal in all columns, so only the columns that a query uses are shuffled."""
+    return table(spark, d, "candidates").dropDuplicates(["candidate_id"])
+
+
+def truth_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Readings that name a value, and all units: those that a surely reading reviewer settled are verified by a person."""
+    r = readings(spark, d)
+    human = (evidence.evidence_class(F.col("provider")) == "HUMAN") & (F.col("confidence") >= 0.97) & F.col("value_json").isNotNull()
+    units = r.groupBy("atu_id").agg(F.when(F.bool_or(F.coalesce(human, F.lit(False))), "HUMAN_VERIFIED").alias("status"), F.min(F.when(human, F.col("value_json"))).alias("value_json"))
+    return r.where("value_json is not null and value_json <> 'null'"), units
 
 
 KEY = "case when trim(coalesce(provider,'')) like 'reference%' then 'reference' else trim(coalesce(provider,'')) end"
@@ -38,8 +47,20 @@ settled as (select atu_id, case when vals>1 then 'CONFLICT' when sources>=2 then
   case when vals>1 then 'conflict:'||parts when sources>=2 then 'independent_sources:'||sources else 'single_source' end note, readings from s)"""
 
 
-@query("a1_settle", f"with {SETTLED} select * from settled")
+#: Settled units with those a person verified and those nothing was read for.
+WHOLE = SETTLED.replace("r as (select distinct * from candidates)", "r as (select distinct * from candidates where value_json is not null and value_json<>'null')").replace("settled as (", "machine as (") + f""",
+u as (select atu_id, bool_or(h) human, min(value_json) filter(h) own from (select *, coalesce({CLASS}='HUMAN' and confidence>=0.97 and value_json is not null, false) h from candidates) group by 1),
+settled as (select u.atu_id, case when human then 'HUMAN_VERIFIED' else coalesce(status,'UNREADABLE') end status, case when human then own else value_json end value_json, case when not human then note end note, coalesce(readings,0) readings from u left join machine using(atu_id))"""
+
+
+@query("a1_settle", f"with {WHOLE} select * from settled")
 def a1_settle(s, d):
+    return evidence.settle(*truth_units(s, d))
+
+
+@query("a2_machine_status", f"with {SETTLED} select * from settled")
+def a2_machine_status(s, d):
+    """What readings alone say of units, whatever a person decided."""
     return evidence.settle(readings(s, d))
 
 
@@ -48,11 +69,11 @@ def a3_bundle(s, d):
     return evidence.bundle(readings(s, d))
 
 
-@query("a4_status_histogram", f"with {SETTLED}, k as (select distinct atu_id, kind from candidates), dom as (select kind, status from (select distinct kind from k), (values ('AUTO_VERIFIED'),('CONFLICT'),('UNVERIFIED'),('UNREADABLE')) t(status)), c as (select kind, status, count(*) n from k join settled using(atu_id) group by all) select kind, status, coalesce(n,0) n from dom left join c using(kind,status)")
+@query("a4_status_histogram", f"with {WHOLE}, k as (select distinct atu_id, kind from candidates), dom as (select kind, status from (select distinct kind from k), (values ('AUTO_VERIFIED'),('CONFLICT'),('HUMAN_VERIFIED'),('UNVERIFIED'),('UNREADABLE')) t(status)), c as (select kind, status, count(*) n from k join settled using(atu_id) group by all) select kind, status, coalesce(n,0) n from dom left join c using(kind,status)")
 def a4_status_histogram(s, d):
     r = readings(s, d)
-    j = r.select("atu_id", "kind").distinct().join(evidence.settle(r).select("atu_id", "status"), "atu_id")
-    return evidence.histogram(j, ["kind"], "status", ["AUTO_VERIFIED", "CONFLICT", "UNVERIFIED", "UNREADABLE"])
+    j = r.select("atu_id", "kind").distinct().join(evidence.settle(*truth_units(s, d)).select("atu_id", "status"), "atu_id")
+    return evidence.histogram(j, ["kind"], "status", ["AUTO_VERIFIED", "CONFLICT", "HUMAN_VERIFIED", "UNVERIFIED", "UNREADABLE"])
 
 
 @query("proj18_draft_safe", "select atu_id, min(value_json) value_json, max(case when confidence between 0 and 1 then confidence end) confidence from (select distinct * from candidates) group by 1 having count(distinct coalesce(value_json,'null'))=1 and max(case when confidence between 0 and 1 then confidence end)>=0.7")
@@ -116,39 +137,29 @@ def answers_and_choices(s, d):
     return table(s, d, "expected").select("expected_id", "answer", F.col("choices")["①"].alias("c")).distinct().where("answer is not null and c is not null")
 
 
-# A query with DuckDB text takes the texts of which DuckDB's classes say the same as Spark's; the one named _whole takes every text.
+#: Unicode's white space, and the normal form of a text, in DuckDB.
+_WS = r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_PLAIN = lambda c: f"regexp_replace(translate({c},'〈〉−','  -'),'{_WS}','','g')"
+_TOKENS = T.CRITICAL.replace("\\d", "\\p{Nd}")
+_PAIR = "select distinct expected_id, answer, choices['①'] c from expected where answer is not null and choices['①'] is not null"
+F1_NORM_TEXT_SQL = f"select expected_id, {_PLAIN('answer')} plain from (select distinct expected_id, answer from expected) where answer is not null"
+F2_CHAR_EXACT_SQL = f"with t as (select distinct expected_id, {_PLAIN('answer')} g, {_PLAIN('c')} p from ({_PAIR})) select expected_id, case when p=g then 1.0 when g='' then 0.0 else greatest(0.0, 1.0-levenshtein(p,g)::double/length(g)) end score from t"
+F4_CRITICAL_TOKENS_SQL = f"select expected_id, len(regexp_extract_all({_PLAIN('body')},'{_TOKENS}'))::int n from (select distinct expected_id, body from expected) where body is not null"
+U1_TOKEN_OVERLAP_SQL = f"with x as (select expected_id, regexp_extract_all({_PLAIN('answer')},'{_TOKENS}') g, regexp_extract_all({_PLAIN('c')},'{_TOKENS}') p from ({_PAIR})), gc as (select expected_id, k, count(*) n from (select expected_id, unnest(g) k from x) group by all), pc as (select expected_id, k, count(*) n from (select expected_id, unnest(p) k from x) group by all), m as (select expected_id, sum(least(gc.n,pc.n))::int matched from gc join pc using(expected_id,k) group by 1) select expected_id, coalesce(matched,0) matched, len(g)::int wanted, (len(p)-coalesce(matched,0))::int extra from x left join m using(expected_id)"
 
 
-@query("f1_norm_text", r"select expected_id, regexp_replace(translate(answer,'〈〉−','  -'),'\s+','','g') plain from (select distinct expected_id, answer from expected) where answer is not null and not regexp_matches(answer,'[^\x00-\x7F가-힣①-⑤°²θ∠éê]')")
+@query("f1_norm_text", F1_NORM_TEXT_SQL)
 def f1_norm_text(s, d):
-    e = answers(s, d).where(~F.col("answer").rlike(r"[^\x00-\x7F가-힣①-⑤°²θ∠éê]"))
-    return e.select("expected_id", T.norm_text(F.col("answer")).alias("plain"))
-
-
-@query("f1_norm_text_whole")
-def f1_norm_text_whole(s, d):
     return answers(s, d).select("expected_id", T.norm_text(F.col("answer")).alias("plain"))
 
 
-@query("f2_char_exact", r"with t as (select distinct expected_id, replace(answer,' ','') g, replace(choices['①'],' ','') p from expected where answer is not null and choices['①'] is not null and not regexp_matches(answer||choices['①'],'[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]')) select expected_id, case when p=g then 1.0 when g='' then 0.0 else greatest(0.0, 1.0-levenshtein(p,g)::double/length(g)) end score from t")
+@query("f2_char_exact", F2_CHAR_EXACT_SQL)
 def f2_char_exact(s, d):
-    e = answers_and_choices(s, d).where(~F.concat("answer", "c").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
-    return e.select("expected_id", T.char_exact(F.col("c"), F.col("answer")).alias("score"))
-
-
-@query("f2_char_exact_whole")
-def f2_char_exact_whole(s, d):
     return answers_and_choices(s, d).select("expected_id", T.char_exact(F.col("c"), F.col("answer")).alias("score"))
 
 
-@query("f4_critical_tokens", r"select expected_id, len(regexp_extract_all(regexp_replace(translate(body,'−','-'),'\s+','','g'),'\d+(?:\.\d+)?(?:cm|mm|km|kg|mL|m|g|L|°|%)?|[+\-×÷=≠<>≤≥∥⟂°]|[①②③④⑤]|없|아닌|않'))::int n from (select distinct expected_id, body from expected) where body is not null and not regexp_matches(body,'[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]')")
+@query("f4_critical_tokens", F4_CRITICAL_TOKENS_SQL)
 def f4_critical_tokens(s, d):
-    e = bodies(s, d).where(~F.col("body").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
-    return e.select("expected_id", F.size(T.critical_tokens(F.col("body"))).alias("n"))
-
-
-@query("f4_critical_tokens_whole")
-def f4_critical_tokens_whole(s, d):
     return bodies(s, d).select("expected_id", F.size(T.critical_tokens(F.col("body"))).alias("n"))
 
 
@@ -179,12 +190,11 @@ def f12_traps(s, d):
     return table(s, d, "expected").select("expected_id", "body").distinct().where("body is not null").select("expected_id", T.traps(F.col("body")).alias("traps"))
 
 
-@query("f13_split_choices", "select distinct expected_id, m mark, trim(choices[m], ' ') text from expected, (values ('①'),('②'),('③'),('④'),('⑤')) t(m) where choices[m] is not null and not regexp_matches(choices[m],'[①②③④⑤]') and not regexp_matches(array_to_string(map_values(choices),''),'[①②③④⑤]')")
+@query("f13_split_choices", "with l as (select expected_id, string_agg(k||' '||v, '  ' order by k) line from (select distinct expected_id, unnest(map_keys(choices)) k, unnest(map_values(choices)) v from expected) where v is not null group by 1), p as (select expected_id, unnest(regexp_extract_all(line,'[①②③④⑤][^①②③④⑤]*')) x, generate_subscripts(regexp_extract_all(line,'[①②③④⑤][^①②③④⑤]*'),1) i from l) select expected_id, left(x,1) mark, trim(regexp_replace(arg_min(substr(x,2),i),'^\\s+',''),' ') text from p group by 1, 2")
 def f13_split_choices(s, d):
     e = table(s, d, "expected").select("expected_id", F.array_sort(F.map_entries("choices")).alias("c")).distinct().where("c is not null")
-    bare = F.forall("c", lambda x: F.coalesce(~x["value"].rlike("[①②③④⑤]"), F.lit(True)))
     line = F.array_join(F.transform(F.filter("c", lambda x: x["value"].isNotNull()), lambda x: F.concat(x["key"], F.lit(" "), x["value"])), "  ")
-    return e.where(bare).select("expected_id", F.explode(T.split_choices(line)).alias("mark", "text"))
+    return e.select("expected_id", F.explode(T.split_choices(line)).alias("mark", "text"))
 
 
 @query("f14_points_tag", r"select expected_id, try_cast(nullif(regexp_extract(body,'\[\s*(\d{1,2})\s*점\s*\]',1),'') as int) points from (select distinct expected_id, body from expected) where body is not null")
@@ -218,7 +228,7 @@ def f21_candidate_id(s, d):
     return readings(s, d).select("candidate_id", T.candidate_id(F.col("kind"), F.col("doc_id"), F.col("question_id"), F.sha2(F.coalesce("value_json", F.lit("")), 256)).alias("id"))
 
 
-@query("t4_natural_sort", r"select distinct id, array_to_string(list_transform(regexp_extract_all(lower(original_name),'\d+|\D+'), lambda p: case when regexp_matches(p,'^\d') then lpad(ltrim(p,'0'),20,'0') else p end),'') sort_key from source_assets where original_name is not null")
+@query("t4_natural_sort", r"select distinct id, array_to_string(list_transform(regexp_extract_all(lower(original_name),'\d+|\D+'), lambda p: case when regexp_matches(p,'^\d') then length(length(ltrim(p,'0'))::varchar)::varchar||length(ltrim(p,'0'))::varchar||':'||ltrim(p,'0') else p end),'') sort_key from source_assets where original_name is not null")
 def t4_natural_sort(s, d):
     return table(s, d, "source_assets").where("original_name is not null").select("id", T.natural_key(F.col("original_name")).alias("sort_key")).distinct()
 
@@ -254,14 +264,8 @@ def j19_fields_differ(s, d):
     return compare.fields_differ(g.select("exam_id", "g.*"), g.select("exam_id", "p.*"), ["exam_id"], ["type", "points", "label"])
 
 
-@query("u1_token_overlap", r"with t as (select distinct expected_id, answer, choices['①'] c from expected where answer is not null and choices['①'] is not null and not regexp_matches(answer||choices['①'],'[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]')), x as (select expected_id, regexp_extract_all(replace(answer,' ',''),'P') g, regexp_extract_all(replace(c,' ',''),'P') p from t), gc as (select expected_id, k, count(*) n from (select expected_id, unnest(g) k from x) group by all), pc as (select expected_id, k, count(*) n from (select expected_id, unnest(p) k from x) group by all), m as (select expected_id, sum(least(gc.n,pc.n))::int matched from gc join pc using(expected_id,k) group by 1) select expected_id, coalesce(matched,0) matched, len(g)::int wanted, (len(p)-coalesce(matched,0))::int extra from x left join m using(expected_id)".replace("'P'", "'" + T.CRITICAL + "'"))
+@query("u1_token_overlap", U1_TOKEN_OVERLAP_SQL)
 def u1_token_overlap(s, d):
-    e = answers_and_choices(s, d).where(~F.concat("answer", "c").rlike(r"[^\x00-\x7F가-힣①-⑤ㄱ-ㅎ°²θ∠⊥éê]"))
-    return e.select("expected_id", compare.token_overlap(F.col("c"), F.col("answer")).alias("o")).select("expected_id", "o.*")
-
-
-@query("u1_token_overlap_whole")
-def u1_token_overlap_whole(s, d):
     return answers_and_choices(s, d).select("expected_id", compare.token_overlap(F.col("c"), F.col("answer")).alias("o")).select("expected_id", "o.*")
 
 
@@ -335,7 +339,7 @@ def r11_purge(s, d):
     return versions.purge(table(s, d, "doc_registry"), 1_780_000_000.0).distinct()
 
 
-@query("a27_fill_budget")
+@query("a27_fill_budget", "with recursive o as (select user_id, event_id, value, row_number() over(partition by user_id order by event_id) k from events), f as (select user_id, k, event_id, value, value<=500 accepted, case when value<=500 then value else 0.0 end spent from o where k=1 union all select o.user_id, o.k, o.event_id, o.value, f.spent+o.value<=500, case when f.spent+o.value<=500 then f.spent+o.value else f.spent end from f join o on o.user_id=f.user_id and o.k=f.k+1) select user_id, event_id, value, accepted from f")
 def a27_fill_budget(s, d):
     e = table(s, d, "events").select("user_id", "event_id", "value")
     return versions.fill_budget(e, "user_id", "event_id", "value", 500.0)

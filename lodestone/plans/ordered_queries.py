@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import nested, ordered, scenes, spatial
+from lodestone.plans.pipeline_queries import variants
 from lodestone.sources.tables import table
 
 QUERIES: dict = {}
@@ -221,10 +222,7 @@ def m6_unmap_point(s, d):
 
 def figures(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, relations and labels of the figures in the revisions' content."""
-    rows = table(s, d, "revisions").select("id", "content_json").where(F.length("content_json") > 2)
-    levels = nested.depth(rows, "content_json")
-    v = rows.dropDuplicates().select("id", nested.parse(F.col("content_json")).alias("v"))
-    n = nested.flatten(v, "id", "v", levels)
+    n = nested.flatten(variants(s, d, "revisions", "id", "content_json"), "id", "v")
     scene = lambda depth: F.concat_ws("#", "root_id", F.regexp_extract("node", r"^(.*figures(?:\[\d+\])?)", 1))
     get = lambda p, t: F.try_variant_get("value", p, t)
     refs = F.coalesce(get("$.refs", "array<string>"), F.array().cast("array<string>"))

@@ -62,7 +62,7 @@ P5_FOUND_SQL = _P5 + "select distinct tbl, ref_field, row_id, orphan_kind, perio
 P5_REPORT_SQL = _P5 + "select tbl, ref_field, orphan_kind, period, count(distinct row_id) orphans from judged where orphan_kind is not null group by all"
 
 
-def _variants(spark: SparkSession, d: str, name: str, key: str, col: str) -> DataFrame:
+def variants(spark: SparkSession, d: str, name: str, key: str, col: str) -> DataFrame:
     """The distinct contents as VARIANT, parsed once and stored."""
     rows = table(spark, d, name).select(key, col).where(F.length(col) > 2)
     return store(rows.dropDuplicates([key, col]).select(key, nested.parse(F.col(col)).alias("v")).where("v is not null"))
@@ -71,7 +71,7 @@ def _variants(spark: SparkSession, d: str, name: str, key: str, col: str) -> Dat
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, key, col in (("revisions", "id", "content_json"), ("overrides", "override_id", "raw_json")):
-        nodes = nested.flatten(_variants(spark, d, name, key, col), key, "v", keep=False).where("is_object")
+        nodes = nested.flatten(variants(spark, d, name, key, col), key, "v", keep=False).where("is_object")
         parts.append(nodes.select(F.lit(name).alias("src"), "root_id", "node", "parent"))
     choices = nested.flatten_map(table(spark, d, "expected").select("expected_id", "choices"), "expected_id", "choices")
     parts.append(choices.select(F.lit("expected").alias("src"), "root_id", "node", "parent").distinct())
@@ -80,12 +80,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_schema(spark: SparkSession, d: str) -> DataFrame:
     """The merged schema of the revisions' content."""
-    return nested.merged_schema(_variants(spark, d, "revisions", "id", "content_json"), "v")
+    return nested.merged_schema(variants(spark, d, "revisions", "id", "content_json"), "v")
 
 
 def p6_questions(spark: SparkSession, d: str) -> DataFrame:
     """The child table of questions, each with its parent revision and position."""
-    nodes = nested.flatten(_variants(spark, d, "revisions", "id", "content_json"), "id", "v")
+    nodes = nested.flatten(variants(spark, d, "revisions", "id", "content_json"), "id", "v")
     return nested.child_table(nodes, "questions[]", {"id": "string", "number": "bigint", "label": "string", "type": "string", "points": "bigint"})
 
 

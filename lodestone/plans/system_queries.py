@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import mathexpr, raster
@@ -96,10 +97,12 @@ def m9_linear_script(s, d):
 
 @query("m10_equal_equations")
 def m10_equal_equations(s, d):
-    """Each equation against the same one with both sides swapped: equal where it is understood."""
-    e = equations(s, d)
-    swapped = F.concat(F.btrim(F.element_at(F.split("latex", "="), 2)), F.lit(" = "), F.btrim(F.element_at(F.split("latex", "="), 1)))
-    return e.where(F.size(F.split("latex", "=")) == 2).select("variant_id", "place", mathexpr.compare_udf("latex", swapped).alias("verdict"))
+    """Each equation of a variant against the one at its place in the variant before it of the same question."""
+    v = table(s, d, "variants").select("question_id", "variant_id", "new_equations").distinct()
+    e = v.select("question_id", "variant_id", F.posexplode("new_equations").alias("place", "latex"))
+    before = F.lag(F.struct("variant_id", "latex")).over(Window.partitionBy("question_id", "place").orderBy("variant_id"))
+    pairs = e.withColumn("b", before).where("b is not null")
+    return pairs.select("variant_id", F.col("b.variant_id").alias("other_id"), "place", mathexpr.compare_udf("latex", F.col("b.latex")).alias("verdict"))
 
 
 @query("m12_solutions")

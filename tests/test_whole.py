@@ -48,12 +48,12 @@ def result(spark, exams, name):
 
 def test_norm_text_and_tokens(spark, exams):
     rows = exams[1]
-    assert result(spark, exams, "f1_norm_text_whole") == [(r[0], norm(r[9])) for r in rows]
-    assert result(spark, exams, "f4_critical_tokens_whole") == [(r[0], len(CRITICAL.findall(norm(r[7])))) for r in rows]
+    assert result(spark, exams, "f1_norm_text") == [(r[0], norm(r[9])) for r in rows]
+    assert result(spark, exams, "f4_critical_tokens") == [(r[0], len(CRITICAL.findall(norm(r[7])))) for r in rows]
 
 
 def test_char_exact(spark, exams):
-    got, want = result(spark, exams, "f2_char_exact_whole"), [(r[0], exact(r[8]["①"], r[9])) for r in exams[1]]
+    got, want = result(spark, exams, "f2_char_exact"), [(r[0], exact(r[8]["①"], r[9])) for r in exams[1]]
     assert [i for i, _ in got] == [i for i, _ in want]
     assert [x for _, x in got] == pytest.approx([x for _, x in want])
 
@@ -64,17 +64,17 @@ def test_token_overlap(spark, exams):
         p, g = (Counter(CRITICAL.findall(norm(x))) for x in (r[8]["①"], r[9]))
         m = (p & g).total()
         want.append((r[0], m, g.total(), p.total() - m))
-    assert result(spark, exams, "u1_token_overlap_whole") == want
+    assert result(spark, exams, "u1_token_overlap") == want
 
 
 def test_missing_in_render(spark, exams):
-    assert [i for i, _ in result(spark, exams, "f18_missing_in_render_whole")] == [r[0] for r in exams[1]]
+    assert [i for i, _ in result(spark, exams, "f18_missing_in_render")] == [r[0] for r in exams[1]]
     want = {r[0]: norm(r[9]) not in norm(r[7]) for r in exams[1] if r[9] in TEXTS[:3]}
-    assert {i: bool(n) for i, n in result(spark, exams, "f18_missing_in_render_whole") if i in want} == want
+    assert {i: bool(n) for i, n in result(spark, exams, "f18_missing_in_render") if i in want} == want
 
 
 def test_equal_choices(spark, exams):
-    got = set(result(spark, exams, "j16_equal_choices_whole"))
+    got = set(result(spark, exams, "j16_equal_choices"))
     want = {(r[0], a, b) for r in exams[1] for a in r[8] for b in r[8] if a < b and norm(r[8][a]) == norm(r[8][b]) != ""}
     assert got >= want and {x for x in got if x[0] < 100} == {x for x in want if x[0] < 100}
 
@@ -96,5 +96,5 @@ def test_answers_that_differ(spark, tmp_path):
     rows = [(1, "reference_a", '"①"'), (1, "solver", '"1"'), (1, "ocr", '"2"'), (2, "reference_a", "3"), (2, "solver", '"3cm"'), (3, "solver", '"4"'), (4, "reference_a", "null"), (4, "solver", '"5"')]
     schema = "candidate_id bigint, question_id bigint, field string, provider string, value_json string"
     spark.createDataFrame([(i, q, "answer", p, v) for i, (q, p, v) in enumerate(rows)], schema).write.parquet(f"{tmp_path}/candidates.parquet")
-    got = {tuple(r) for r in entry.queries()["j17_answers_differ"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in entry.queries()["j17_answers_by_number"](spark, str(tmp_path)).collect()}
     assert got == {(1, "reference", "ocr", "①", "2", 3), (1, "ocr", "solver", "2", "1", 3)}
