@@ -28,3 +28,10 @@ def test_tables_follow_unicode():
     assert len(src) == len(dst) == len(set(src))
     assert all(unicodedata.normalize("NFKC", a) == b for a, b in zip(src, dst) if not 0xFF9F < ord(a) < 0xFFDD and ord(b) < 0x300)
     assert "①" not in src and "²" not in src and "ㄱ" not in src and "°" not in src
+
+
+def test_look_alikes_word_by_word(spark):
+    cases = {"раypal и мир": "paypal и мир", "ѵalue ɑbc օne": "value abc one", "Ꭺpple ꓚat": "Apple Cat", "Тор и сом, дом": "Тор и сом, дом", "점 АВ": "점 AB", "λόγος ΑΒ": "λόγος ΑΒ", "2πr θ α": "2πr θ α", "հայ օր": "հայ օր", "ᎪᏴ": "AB"}
+    df = spark.createDataFrame([(i, a) for i, a in enumerate([*cases, "plain", None, ""])], "i int, t string")
+    got = {r.t: r.u for r in unify.unify(df, "t", "u").collect()}
+    assert got == cases | {"plain": "plain", None: None, "": ""}
