@@ -15,6 +15,29 @@ def reconcile(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFra
     return e.join(a, key, "left_anti").withColumn("problem", F.lit("missing")).unionByName(a.join(e, key, "left_anti").withColumn("problem", F.lit("extra")))
 
 
+def manifest_problems(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """``question_id, problem, about``: objects of a question that are missing or too many.
+
+    Both: ``question_id, fields, choices`` (arrays of names), ``equations`` (their number), one row a question. Extra choices
+    are reported where there are more than expected.
+    """
+    a = actual.select("question_id", *[F.col(c).alias(f"a_{c}") for c in ("fields", "choices", "equations")], F.lit(True).alias("there"))
+    j = expected.join(a, "question_id", "left")
+    row = lambda problem, about: F.struct(F.lit(problem).alias("problem") if isinstance(problem, str) else problem.alias("problem"), about.alias("about"))
+    none = F.array().cast("array<struct<problem:string,about:string>>")
+    named = lambda names, problem, head: F.transform(names, lambda x: row(problem, F.concat(F.lit(head), x)))
+    more = F.size("a_choices") > F.size("choices")
+    count = F.concat_ws("/", F.concat(F.lit("equation:"), F.col("equations").cast("string")), F.col("a_equations").cast("string"))
+    found = F.concat(
+        named(F.array_except("fields", "a_fields"), "missing", ""),
+        named(F.array_except("choices", "a_choices"), "missing", "choice:"),
+        F.when(more, named(F.array_except("a_choices", "choices"), "duplicate", "choice:")).otherwise(none),
+        F.when(F.col("equations") != F.col("a_equations"), F.array(row(F.when(F.col("a_equations") < F.col("equations"), "missing").otherwise("duplicate"), count))).otherwise(none),
+    )
+    gone = F.array(row("missing_question", F.lit(None).cast("string")))
+    return j.select("question_id", F.inline(F.when(F.col("there"), found).otherwise(gone)))
+
+
 def fields_differ(expected: DataFrame, actual: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
     """One row per field that differs; null expected fields are skipped, a missing row differs in all."""
     e = expected.select(*key, *[F.col(f).cast("string").alias(f"e_{f}") for f in fields])

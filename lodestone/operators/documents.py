@@ -185,7 +185,9 @@ def scores(df: DataFrame) -> DataFrame:
     """Difficulty, band and minutes from structural features (M1-M3); ``steps, operations, conditions, concepts, figures, traps``."""
     s = reduce(lambda a, b: a + b, [F.least(F.lit(most), k * F.col(c)) for c, (most, k) in DIFFICULTY.items()])
     minutes = 1.0 + 0.8 * F.col("steps") + 0.05 * F.col("operations") + 0.5 * F.col("figures")
-    return df.withColumn("score", s).withColumn("band", F.when(F.col("score") < 1.2, "low").when(F.col("score") < 2.6, "mid").otherwise("high")).withColumn("minutes", minutes)
+    # sums of decimals are a little off in binary: what is half is rounded up
+    places = lambda c, n: F.floor(c * 10**n + 0.5 + 1e-9) / 10**n
+    return df.withColumn("score", places(s, 2)).withColumn("band", F.when(F.col("score") < 1.2, "low").when(F.col("score") < 2.6, "mid").otherwise("high")).withColumn("minutes", places(minutes, 1))
 
 
 def resolve(questions: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:

@@ -91,6 +91,42 @@ def fill_budget(charges: DataFrame, by: str, order: str, amount: str, cap: float
     return rows.mapInArrow(run, f"{kinds}, accepted boolean")
 
 
+def swap_heads(changes: DataFrame, by: str, order: list[str], ident: str, expected: str) -> DataFrame:
+    """``accepted, head`` of changes made under an expected head (V2, V7): a change is taken if the head is the one it names.
+
+    Each key starts without a head; an accepted change is the new one. ``head`` is what it was before the change.
+    Changes are sorted with their key and pass by in Arrow batches; of what went before only the head is kept.
+    """
+    cols = [by, ident, expected]
+    rows = changes.select(*dict.fromkeys([*cols, *order])).repartition(by).sortWithinPartitions(by, *order).select(*cols)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, head = object(), None
+        for batch in batches:
+            ok, seen = [], []
+            for key, new, want in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if key != last:
+                    last, head = key, None
+                seen.append(head)
+                ok.append(want == head)
+                if ok[-1]:
+                    head = new
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_()), pa.array(seen, batch.column(1).type)], names=[*cols, "accepted", "head"])
+
+    return rows.mapInArrow(run, f"{kinds}, accepted boolean, head {rows.schema[ident].dataType.simpleString()}")
+
+
+def resolve_units(units: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Units after people's decisions (V9): the last decision on a unit gives its value and makes it HUMAN_VERIFIED.
+
+    ``units``: ``atu_id, status, value_json``; ``decisions``: ``atu_id, value_json, ts, id``. Decisions on
+    units that aren't there are left out.
+    """
+    last = decisions.groupBy("atu_id").agg(F.max_by(F.struct(F.col("value_json").alias("v")), F.struct("ts", "id")).alias("d"))
+    return units.join(last, "atu_id", "left").select("atu_id", F.when(F.col("d").isNotNull(), "HUMAN_VERIFIED").otherwise(F.col("status")).alias("status"), F.when(F.col("d").isNotNull(), F.col("d.v")).otherwise(F.col("value_json")).alias("value_json"))
+
+
 def append_revision(revisions: DataFrame, contents: DataFrame) -> DataFrame:
     """New revisions: number and parent from the head, content hash; equal contents make none (V1, V2, V4).
 

@@ -204,10 +204,33 @@ def f9_fixed_labels(s, d):
     return documents.fixed_labels(c, "k")
 
 
-@query("m1_scores", "with f as (select l_orderkey, count(*) steps, sum(l_quantity) operations, count(distinct l_suppkey) conditions, count(distinct l_shipdate) concepts, count(*) filter(l_returnflag='R') figures, count(*) filter(l_discount>0.08) traps from lineitem group by 1), s as (select *, least(1.5,0.3*steps)+least(1.5,0.05*operations)+least(0.8,0.2*conditions)+least(0.8,0.15*concepts)+least(0.5,0.1*figures)+least(0.5,0.25*traps) score from f) select l_orderkey, round(score,6) score, round(1.0+0.8*steps+0.05*operations+0.5*figures,6) \"minutes\" from s")
+@query("m1_scores", "with f as (select l_orderkey, count(*) steps, sum(l_quantity) operations, count(distinct l_suppkey) conditions, count(distinct l_shipdate) concepts, count(*) filter(l_returnflag='R') figures, count(*) filter(l_discount>0.08) traps from lineitem group by 1), s as (select *, least(1.5,0.3*steps)+least(1.5,0.05*operations)+least(0.8,0.2*conditions)+least(0.8,0.15*concepts)+least(0.5,0.1*figures)+least(0.5,0.25*traps) score from f), r as (select *, floor(score*100+0.5+1e-9)/100 sc from s) select l_orderkey, sc score, case when sc<1.2 then 'low' when sc<2.6 then 'mid' else 'high' end band, floor((1.0+0.8*steps+0.05*operations+0.5*figures)*10+0.5+1e-9)/10 \"minutes\" from r")
 def m1_scores(s, d):
     f = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("steps"), F.sum("l_quantity").alias("operations"), F.count_distinct("l_suppkey").alias("conditions"), F.count_distinct("l_shipdate").alias("concepts"), F.count_if(F.col("l_returnflag") == "R").alias("figures"), F.count_if(F.col("l_discount") > 0.08).alias("traps"))
-    return documents.scores(f).select("l_orderkey", F.round("score", 6).alias("score"), F.round("minutes", 6).alias("minutes"))
+    return documents.scores(f).select("l_orderkey", "score", "band", "minutes")
+
+
+_OBJECTS = "case when coalesce(body,'')<>'' then 'body' end, case when points is not null then 'points' end, case when coalesce(figure,'')<>'' then 'figure' end"
+
+
+@query("j7_manifest", f"""with o as (select exam_id||'|'||number question_id, expected_id, list_filter([{_OBJECTS}], lambda x: x is not null) fields, list_filter(map_keys(coalesce(choices, map {{}})), lambda k: choices[k] is not null) choices, (length(coalesce(body,''))-length(replace(coalesce(body,''),'$','')))//2 equations from (select distinct on (expected_id) * from expected) where number is not null and exam_id is not null),
+e as (select question_id, arg_min(struct_pack(f:=fields,c:=choices,q:=equations),expected_id) e from o group by 1), a as (select question_id, arg_max(struct_pack(f:=fields,c:=choices,q:=equations),expected_id) a from o where expected_id%7<>0 group by 1), j as (select * from e left join a using(question_id))
+select question_id, 'missing_question' problem, null about from j where a is null
+union all select question_id, 'missing', unnest(list_filter(e.f, lambda x: not list_contains(a.f,x))) from j where a is not null
+union all select question_id, 'missing', 'choice:'||unnest(list_filter(e.c, lambda x: not list_contains(a.c,x))) from j where a is not null
+union all select question_id, 'duplicate', 'choice:'||unnest(list_filter(a.c, lambda x: not list_contains(e.c,x))) from j where a is not null and len(a.c)>len(e.c)
+union all select question_id, case when a.q<e.q then 'missing' else 'duplicate' end, 'equation:'||e.q||'/'||a.q from j where a is not null and a.q<>e.q""")
+def j7_manifest(s, d):
+    """The first reading of each question of an exam says what there should be, the last one what there is."""
+    q = table(s, d, "expected").dropDuplicates(["expected_id"]).where("number is not null and exam_id is not null")
+    there = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    fields = F.array_compact(F.array(F.when(there("body"), "body"), F.when(F.col("points").isNotNull(), "points"), F.when(there("figure"), "figure")))
+    choices = F.coalesce(F.transform(F.filter(F.map_entries("choices"), lambda e: e["value"].isNotNull()), lambda e: e["key"]), F.array().cast("array<string>"))
+    body = F.coalesce("body", F.lit(""))
+    o = q.select(F.concat_ws("|", "exam_id", "number").alias("question_id"), "expected_id", F.struct(fields.alias("fields"), choices.alias("choices"), F.floor((F.length(body) - F.length(F.translate(body, "$", ""))) / 2).alias("equations")).alias("o"))
+    e = o.groupBy("question_id").agg(F.min_by("o", "expected_id").alias("o")).select("question_id", "o.*")
+    a = o.where("expected_id % 7 <> 0").groupBy("question_id").agg(F.max_by("o", "expected_id").alias("o")).select("question_id", "o.*")
+    return compare.manifest_problems(e, a)
 
 
 @query("x14_resolved", f"with {_Q}, n as (select exam_id, expected_id id, unnest([0,1,2]) rk, unnest([expected_id::varchar,label,number::varchar]) ask from q), a as (select distinct exam_id, number::varchar ask from q where number is not null), g as (select exam_id, ask, rk, count(distinct id) m, min(id) id from a left join n using(exam_id,ask) group by all) select exam_id, ask, case when arg_min(m,rk)=1 then arg_min(id,rk) end id, arg_min(m,rk) matches from g group by all")

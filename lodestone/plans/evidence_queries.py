@@ -334,6 +334,21 @@ def r6_lost_updates(s, d):
     return versions.lost_updates(table(s, d, "events"), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "rejected")
 
 
+@query("v7_swap_heads", "with recursive o as (select *, row_number() over(partition by document_id order by revision_no, id) k from (select distinct id, document_id, revision_no, parent_revision_id from revisions where document_id is not null)), f as (select document_id, k, id, parent_revision_id, parent_revision_id is null accepted, null::varchar head, case when parent_revision_id is null then id end nxt from o where k=1 union all select o.document_id, o.k, o.id, o.parent_revision_id, o.parent_revision_id is not distinct from f.nxt, f.nxt, case when o.parent_revision_id is not distinct from f.nxt then o.id else f.nxt end from f join o on o.document_id=f.document_id and o.k=f.k+1) select document_id, id, parent_revision_id, accepted, head from f")
+def v7_swap_heads(s, d):
+    """Revisions as changes under the head that their parent names."""
+    r = table(s, d, "revisions").select("id", "document_id", "revision_no", "parent_revision_id").where("document_id is not null").distinct()
+    return versions.swap_heads(r, "document_id", ["revision_no", "id"], "id", "parent_revision_id")
+
+
+@query("v9_resolved", f"with {SETTLED}, h as (select atu_id, arg_max(struct_pack(v:=value_json),(coalesce(ts,0.0),candidate_id)) x from (select *, {CLASS} c from candidates) where c='HUMAN' group by 1) select atu_id, case when x is not null then 'HUMAN_VERIFIED' else status end status, case when x is not null then x.v else value_json end value_json from settled left join h using(atu_id)")
+def v9_resolved(s, d):
+    """What reviewers read is their decision."""
+    r = readings(s, d)
+    human = r.where(evidence.evidence_class(F.col("provider")) == "HUMAN").select("atu_id", "value_json", F.coalesce("ts", F.lit(0.0)).alias("ts"), F.col("candidate_id").alias("id"))
+    return versions.resolve_units(evidence.settle(r), human)
+
+
 @query("r11_purge", "select distinct id, case when lifecycle_state='DELETED' and retention_deadline<=1780000000 then 'PURGED' else lifecycle_state end state from doc_registry")
 def r11_purge(s, d):
     return versions.purge(table(s, d, "doc_registry"), 1_780_000_000.0).distinct()

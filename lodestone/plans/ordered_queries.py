@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import nested, ordered, scenes, spatial
+from lodestone.operators import leases, nested, ordered, scenes, spatial
 from lodestone.plans.pipeline_queries import variants
 from lodestone.sources.tables import table
 
@@ -131,6 +131,38 @@ def t1_job_claim(s, d):
     return table(s, d, "orders").where("o_orderstatus = 'O'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(1).select("o_orderkey", "o_orderpriority")
 
 
+_JOBS = "(select o_orderkey id, case o_orderstatus when 'O' then 'QUEUED' when 'P' then 'RUNNING' else 'SUCCEEDED' end state, 6-left(o_orderpriority,1)::int priority, o_orderdate created_at, case o_orderkey%3 when 1 then 999.0 when 2 then 1001.0 end lease_expires_at, case when o_orderkey%5=0 then 1001.0 else 0.0 end not_before, (o_orderkey%4)::int attempt from orders)"
+
+
+def jobs(s, d):
+    """Orders as jobs, of which some are held by a worker."""
+    k = F.col("o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "O", "QUEUED").when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("SUCCEEDED")
+    return table(s, d, "orders").select(
+        k.alias("id"), state.alias("state"), (6 - F.left("o_orderpriority", F.lit(1)).cast("int")).alias("priority"), F.col("o_orderdate").alias("created_at"),
+        F.when(k % 3 == 1, 999.0).when(k % 3 == 2, 1001.0).alias("lease_expires_at"), F.when(k % 5 == 0, 1001.0).otherwise(0.0).alias("not_before"), (k % 4).cast("int").alias("attempt"),
+    )
+
+
+@query("r3_claims", f"with j as (select *, row_number() over(order by priority desc, created_at, id) k from {_JOBS} where state in ('QUEUED','RUNNING') and not_before<=1000 and (lease_expires_at is null or lease_expires_at<1000)), w as (select n_name as owner, row_number() over(order by n_name) k from nation) select id, owner, 'lease_'||substr(sha256(id||'|'||(attempt+1)),1,12) as token, 1090.0 lease_expires_at, attempt+1 attempt from j join w using(k)")
+def r3_claims(s, d):
+    return leases.claim(jobs(s, d), table(s, d, "nation").select(F.col("n_name").alias("worker")), 1000.0)
+
+
+@query("r7_cancelled", f"select id, case when state is null then 'NOT_FOUND' when state='SUCCEEDED' then 'ALREADY_COMPLETED' else 'REQUESTED' end outcome, case when state='RUNNING' then 'CANCEL_REQUESTED' else state end state from (select distinct l_orderkey-(l_linenumber//6) id from lineitem) left join {_JOBS} using(id)")
+def r7_cancelled(s, d):
+    asked = table(s, d, "lineitem").select((F.col("l_orderkey") - F.floor(F.col("l_linenumber") / 6)).alias("id"))
+    return leases.cancel(jobs(s, d), asked, 1000.0)
+
+
+@query("r3_fenced_writes", f"select l_orderkey*10+l_linenumber write_id, case when state is null or state<>'RUNNING' or l_linenumber%4<>attempt then 'STALE_LEASE' when id%7=0 then 'ALREADY_CANCELLED' else 'COMMITTED' end outcome from lineitem left join {_JOBS} on id=l_orderkey")
+def r3_fenced_writes(s, d):
+    """Lines as writes to their orders; the attempt is the token."""
+    held = jobs(s, d).withColumns({"token": F.col("attempt").cast("string"), "cancel_requested_at": F.when(F.col("id") % 7 == 0, 990.0)})
+    w = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("write_id"), F.col("l_orderkey").alias("id"), (F.col("l_linenumber") % 4).cast("string").alias("token"))
+    return leases.fenced(w, held)
+
+
 @query("t2_audit_top", "select event_id, user_id, event_type from events order by ts desc, event_id desc limit 200")
 def t2_audit_top(s, d):
     return table(s, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(200).select("event_id", "user_id", "event_type")

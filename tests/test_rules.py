@@ -1,5 +1,5 @@
 from lodestone.functions import text as T
-from lodestone.operators import documents, evidence, ordered, scenes, versions
+from lodestone.operators import compare, documents, evidence, leases, ordered, scenes, versions
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,35 @@ def test_registry_defaults_and_pages(spark):
     assert got == {1: "red", 2: "grey"}
     pages = spark.createDataFrame([("d", 0, "ANSWER_KEY"), ("d", 1, None), ("d", 2, "QUESTION"), ("d", None, "UNKNOWN")], "document_id string, pdf_page_index int, page_role string")
     assert [tuple(r) for r in documents.page_lists(pages).collect()] == [("d", [0], [1])]
+
+
+def test_claims_cancellations_and_fences(spark):
+    rows = [("a", "QUEUED", 1, 5.0, None, None, None), ("b", "RUNNING", 9, 9.0, None, 50.0, 2), ("c", "RUNNING", 9, 1.0, None, 150.0, 1), ("d", "SUCCEEDED", 9, 1.0, None, None, 1), ("e", "QUEUED", 9, 1.0, 101.0, None, None), ("f", "QUEUED", 9, 9.0, 1.0, None, None), ("g", None, 9, 9.0, 1.0, None, None)]
+    jobs = spark.createDataFrame(rows, "id string, state string, priority int, created_at double, not_before double, lease_expires_at double, attempt int")
+    workers = spark.createDataFrame([("w2", 1), ("w1", 1), ("w1", 2), ("w3", 3), ("w4", 4)], "worker string, k int")
+    got = {r.id: (r.owner, r.attempt) for r in leases.claim(jobs, workers, 100.0).collect()}
+    assert got == {"b": ("w1", 3), "f": ("w2", 1), "a": ("w3", 1)}
+    assert leases.claim(jobs.limit(0), workers, 1.0).count() == 0 and leases.claim(jobs, workers.limit(0), 100.0).count() == 0
+    asked = spark.createDataFrame([("c",), ("d",), ("a",), ("zz",), ("a",)], "id string")
+    assert {tuple(r) for r in leases.cancel(jobs, asked, 1.0).collect()} == {("c", "REQUESTED", "CANCEL_REQUESTED"), ("d", "ALREADY_COMPLETED", "SUCCEEDED"), ("a", "REQUESTED", "QUEUED"), ("zz", "NOT_FOUND", None)}
+    held = spark.createDataFrame([("b", "RUNNING", "t", None), ("c", "RUNNING", "t", 5.0), ("d", "SUCCEEDED", "t", None)], "id string, state string, token string, cancel_requested_at double")
+    writes = spark.createDataFrame([(1, "b", "t"), (2, "b", "u"), (3, "c", "t"), (4, "d", "t"), (5, "zz", "t"), (6, "b", None)], "write_id int, id string, token string")
+    assert dict(leases.fenced(writes, held).collect()) == {1: "COMMITTED", 2: "STALE_LEASE", 3: "ALREADY_CANCELLED", 4: "STALE_LEASE", 5: "STALE_LEASE", 6: "STALE_LEASE"}
+
+
+def test_changes_under_an_expected_head(spark):
+    rows = [("d", 1, "r1", None, "x"), ("d", 2, "r2", "r1", "x"), ("d", 3, "r3", "r1", "x"), ("d", 4, "r4", "r2", "x"), ("e", 1, "q1", "r4", "x"), ("e", 2, "q2", None, "x")]
+    df = spark.createDataFrame(rows, "doc string, n int, id string, want string, head string").repartition(2)
+    got = {r.id: (r.accepted, r.head) for r in versions.swap_heads(df, "doc", ["n", "id"], "id", "want").collect()}
+    assert got == {"r1": (True, None), "r2": (True, "r1"), "r3": (False, "r2"), "r4": (True, "r2"), "q1": (False, None), "q2": (True, None)}
+    units = spark.createDataFrame([("a", "CONFLICT", None), ("b", "UNVERIFIED", "1")], "atu_id string, status string, value_json string")
+    says = spark.createDataFrame([("a", "7", 1.0, 1), ("a", None, 2.0, 2), ("z", "1", 1.0, 3)], "atu_id string, value_json string, ts double, id int")
+    assert {tuple(r) for r in versions.resolve_units(units, says).collect()} == {("a", "HUMAN_VERIFIED", None), ("b", "UNVERIFIED", "1")}
+
+
+def test_objects_that_should_be_there(spark):
+    kind = "question_id string, fields array<string>, choices array<string>, equations int"
+    e = spark.createDataFrame([("a", ["body", "points"], ["1", "2"], 2), ("b", ["body"], [], 0), ("c", [], ["1"], 1)], kind)
+    a = spark.createDataFrame([("a", ["body"], ["2", "3", "4"], 1), ("c", ["figure"], ["9"], 2)], kind)
+    got = {tuple(r) for r in compare.manifest_problems(e, a).collect()}
+    assert got == {("a", "missing", "points"), ("a", "missing", "choice:1"), ("a", "duplicate", "choice:3"), ("a", "duplicate", "choice:4"), ("a", "missing", "equation:2/1"), ("b", "missing_question", None), ("c", "missing", "choice:1"), ("c", "duplicate", "equation:1/2")}
