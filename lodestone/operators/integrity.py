@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parent keys that one key range should hold.
+#: Keys that one key range should hold at most on average: those of parents and references.
 KEYS_PER_RANGE = 20_000
 BLANKS = " \t\r\n 　"
 
@@ -56,6 +56,13 @@ class Bits:
         mine = self.codes()
         return Bits(mine[~other.flags()[mine]])
 
+    def union(self, other: Bits) -> Bits:
+        if self.dense and other.dense:
+            both = Bits(np.zeros(0, np.int64))
+            both.dense, both.data = True, self.data | other.data
+            return both
+        return Bits(np.concatenate([self.codes(), other.codes()]))
+
 
 class Bitmap:
     """A compressed bitmap: one container for each 65,536 codes."""
@@ -71,6 +78,9 @@ class Bitmap:
     def and_not(self, other: Bitmap) -> Bitmap:
         return Bitmap({h: b.and_not(other.parts[h]) if h in other.parts else b for h, b in self.parts.items()})
 
+    def union(self, other: Bitmap) -> Bitmap:
+        return Bitmap(self.parts | {h: self.parts[h].union(b) if h in self.parts else b for h, b in other.parts.items()})
+
     def decode(self) -> np.ndarray:
         found = [b.codes() + (h << 16) for h, b in self.parts.items()]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -87,10 +97,16 @@ def _survivors(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     refs = rows[~is_parent]
     ref_codes = codes[~is_parent]
-    for (tbl, field, period), where in refs.groupby(["tbl", "ref_field", "period"]).indices.items():
-        # an unknown month ('' sorts first) has no parent that surely came before it
-        before = Bitmap.of(codes[safe & (arrived < period) & (arrived != "")])
-        left = Bitmap.of(ref_codes[where]).and_not(before).decode()
+    # parents month by month; what came before a month is the union so far, built once. An unknown month
+    # ('' sorts first) has no parent that surely came before it
+    months = sorted(x for x in set(arrived[safe]) if x)
+    so_far, upto = Bitmap({}), 0
+    groups = refs.groupby(["tbl", "ref_field", "period"]).indices
+    for tbl, field, period in sorted(groups, key=lambda g: g[2]):
+        where = groups[tbl, field, period]
+        while upto < len(months) and months[upto] < period:
+            so_far, upto = so_far.union(Bitmap.of(codes[safe & (arrived == months[upto])])), upto + 1
+        left = Bitmap.of(ref_codes[where]).and_not(so_far).decode()
         if len(left):
             out.append(pd.DataFrame({"code": left, "tbl": tbl, "ref_field": field, "period": period}))
     cols = ["space", "ck", "tbl", "ref_field", "period", "known", "spellings", "arrived_at", "deleted_at"]
@@ -132,7 +148,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys_per_range: int =
     (key, period) before they are gathered, so a key that a third of all rows name
     costs a range no more than one of a single row.
     """
-    ranges = max(16, -(-parents.count() // keys_per_range))
+    # references may name keys that no parent has, so they count for the number of ranges too
+    ranges = max(16, -(-(parents.count() + refs.count()) // keys_per_range))
     bucket = F.pmod(F.xxhash64("space", "ck"), F.lit(ranges))
     r = (
         refs.select("tbl", "ref_field", "row_id", "space", "key", "ref_at", "made_at", "late_counts", canonical(F.col("key")).alias("ck"), F.coalesce(month(F.col("ref_at")), F.lit("")).alias("period"))

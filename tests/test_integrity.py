@@ -52,3 +52,22 @@ def test_bitmap_and_not(a, b, dense):
         a, b = a | set(range(60_000, 68_000)), b | set(range(64_000, 70_000, 2))
     got = Bitmap.of(np.array(sorted(a), np.int64)).and_not(Bitmap.of(np.array(sorted(b), np.int64))).decode()
     assert sorted(got.tolist()) == sorted(a - b)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 200_000), max_size=200), st.booleans()), max_size=4))
+def test_bitmap_union(parts):
+    parts = [p | set(range(i * 5000, i * 5000 + 6000)) if dense else p for i, (p, dense) in enumerate(parts)]
+    got = Bitmap({})
+    for p in parts:
+        got = got.union(Bitmap.of(np.array(sorted(p), np.int64)))
+    assert sorted(got.decode().tolist()) == sorted(set().union(*parts))
+
+
+def test_months_in_order(spark):
+    """What came in any month before counts, and only that."""
+    at = [datetime(2025, m, 5) for m in range(1, 7)]
+    parents = [("s", f"k{m}", at[m], None, "x") for m in range(6)]
+    refs = [ref(f"{m}-{n}", f"k{m}", at[n]) for m in range(6) for n in range(6)]
+    got = found(spark, refs, parents)
+    assert got == {(f"{m}-{n}", "late", f"2025-0{n + 1}") for m in range(6) for n in range(6) if n < m}
