@@ -26,9 +26,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}
 #: Places of the literal map's first level; a map is searched from its start, so each holds a few pieces.
 PLACES = 1 << 13
 NONE = 2**31 - 1
-#: Words of the dictionary, and bytes of the longest, up to which it is a literal that texts are
-#: looked up in where they are; words up to which it is broadcast; beyond, occurrences are shuffled to it.
-LITERAL, LONGEST, BROADCAST = 50_000, 1_000, 200_000
+#: Most frequent words of the dictionary, and bytes of the longest of them, that are a literal which texts are
+#: looked up in where they are; occurrences of other words are shuffled to the dictionary.
+LITERAL, LONGEST = 50_000, 1_000
 #: Bytes of a word up to which it is folded; longer ones take a heap, in Python, to the same ids.
 FOLDED = 96
 
@@ -149,25 +149,27 @@ def encode(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFr
 
     Null and empty texts have no ids (an empty array). White space and strings that look
     like control tokens are ordinary text. Other columns are ignored. The dictionary of
-    distinct words is encoded once and measured; a small one becomes a literal map, so that
-    each text is encoded where it is, a larger one is broadcast. To a large one occurrences
-    are shuffled, and those of a word that very many texts share are split by the session's
-    skew handling.
+    distinct words is encoded once. Its most frequent words become a literal map, so that
+    texts are encoded where they are; only occurrences of other words are brought to the
+    dictionary, and their ids to the texts that hold them.
     """
     rows = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
-    distinct = cut(rows.select(F.explode("words").alias("word")).distinct())
-    known = cut(dictionary(distinct, path))
-    size, longest = known.agg(F.count("*"), F.max(F.octet_length("word"))).first()
-    if size <= LITERAL and (longest or 0) <= LONGEST:
-        table = F.from_json(F.lit(_places((r.word, r.ids) for r in known.collect())), "array<map<string,array<int>>>")
-        ids = F.flatten(F.transform("words", lambda w: _look_up(table, w)))
-        return rows.select(F.col("key").alias(key), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
-    asked = rows.select("key", F.posexplode_outer("words").alias("pos", "word"))
-    found = asked.join(F.broadcast(known) if size <= BROADCAST else known, "word", "left")
-    return found.groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("parts")).select(
-        F.col("key").alias(key),
-        F.flatten(F.transform(F.sort_array(F.filter("parts", lambda x: x["pos"].isNotNull())), lambda x: x["ids"])).alias("ids"),
-    )
+    counted = cut(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    known = cut(dictionary(counted.select("word"), path))
+    usual = known.join(counted, "word").where(F.octet_length("word") <= LONGEST)
+    # a literal of a bounded number of words, none of them long; the others have their own way below
+    often = usual.orderBy(F.desc("n"), "word").limit(LITERAL).select("word", "ids").collect()
+    every = len(often) == known.count()
+    table = F.from_json(F.lit(_places((r.word, r.ids) for r in often)), "array<map<string,array<int>>>")
+    done = rows.select("key", "words", F.transform("words", lambda w: _look_up(table, w)).alias("ids"))
+    if every:
+        return done.select(F.col("key").alias(key), F.coalesce(F.flatten("ids"), F.array().cast("array<int>")).alias("ids"))
+    seldom = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.when(F.get("ids", i).isNull(), w).alias("word"))), lambda x: x["word"].isNotNull())
+    asked = done.select("key", F.inline(seldom))
+    # words that are not frequent: no word among them is in a large share of the texts, unless it is a very long one
+    found = asked.join(known, "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ids"))).alias("more"))
+    whole = F.transform("ids", lambda x, i: F.coalesce(x, F.element_at("more", i)))
+    return done.select("key", "ids").join(found, "key", "left").select(F.col("key").alias(key), F.coalesce(F.flatten(whole), F.array().cast("array<int>")).alias("ids"))
 
 
 @cache
