@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import cut, keep
+from lodestone.sources.tables import store
 
 #: Cells of the frequency sketch. Its size doesn't grow with the data.
 CELLS = 1 << 16
@@ -80,10 +80,10 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
     g = list(within or [])
     bags = df.select(*g, F.col(key).alias("id"), bag(F.col(tokens)).alias("bag")).where(F.size("bag") > 0)
     # computed once and kept where they are: equal bags only come together after a partial aggregation
-    bags = keep(bags.withColumn("same", F.sha2(F.concat_ws("\u0002", "bag"), 256)))
+    bags = store(bags.withColumn("same", F.sha2(F.concat_ws("\u0002", "bag"), 256)))
     ids = bags.select(*g, "id", "same").distinct()
     members = ids.join(ids.groupBy(*g, "same").agg(F.min("id").alias("class"), F.count("*").alias("copies")), [*g, "same"])
-    reps = cut(bags.groupBy(*g, "same").agg(F.min("id").alias("id"), F.first("bag").alias("bag")).drop("same"))
+    reps = store(bags.groupBy(*g, "same").agg(F.min("id").alias("id"), F.first("bag").alias("bag")).drop("same"))
 
     h = reps.select(*g, "id", F.transform("bag", lambda x: F.xxhash64(x)).alias("h"))
     sketch = _sketch(h)
@@ -104,7 +104,7 @@ def pairs(df: DataFrame, key: str, tokens: str, t: float = 0.8, within: list[str
         _bits(prefix(lambda x: 1 - half(x)), 1)[0].alias("p3"),
         *[b.alias(f"s{i}") for i, b in enumerate(_bits(F.col("h"), BITS))],
     )
-    signed = cut(signed)
+    signed = store(signed)
     post = signed.select(*g, "id", "n", "p2", "p3", *[f"s{i}" for i in range(BITS)], F.posexplode("p1").alias("place", "token"))
     a, b = post.alias("a"), post.alias("b")
     A, B = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
