@@ -193,13 +193,26 @@ STRETCH, HEADING = 300, 200
 def cascade(kind: str, language: str, script: str) -> list[tuple[bool, bool, regex.Pattern, regex.Pattern | None]]:
     """Compiled rules: whether it breaks, whether it looks at the whole unit, and its pattern or pair of patterns."""
     tables, names = (END_RULES, [language, f"script:{script}", "common"]) if kind == "end" else (LINE_RULES, ["first", f"script:{script}", language] if script != "latin" else ["first", language, "script:latin"])
-    out = []
+    out: list[tuple[bool, bool, regex.Pattern, regex.Pattern | None]] = []
+    group: list[str] = []
+
+    def close(breaks: bool) -> None:
+        # of rules that follow one another and decide alike, it doesn't matter which one matches
+        if group:
+            out.append((breaks, False, regex.compile("|".join(group)), None))
+            group.clear()
+
+    last = False
     for breaks, before, after in [r for n in dict.fromkeys(names) for r in tables.get(n, [])]:
+        if breaks != last or before.startswith(r"\A"):
+            close(last)
+        last = breaks
         if before.startswith(r"\A"):
             out.append((breaks, True, regex.compile(before), regex.compile(after)))
         else:
             # what stands before is matched backwards from the position, as far as it needs
-            out.append((breaks, False, regex.compile(f"(?<={before}){after}" if before else after), None))
+            group.append(f"(?:(?<={before}){after})" if before else f"(?:{after})")
+    close(last)
     return out
 
 
