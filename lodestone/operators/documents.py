@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,12 +158,36 @@ def equal_choices(choices: DataFrame, key: str) -> DataFrame:
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.mark") < F.col("b.mark"))).select(F.col(f"a.{key}").alias(key), F.col("a.mark").alias("a"), F.col("b.mark").alias("b"))
 
 
-def audit_coverage(df: DataFrame, text: str, field: str) -> DataFrame:
-    """``covered``: whether a field is found in an audit text, or four fifths of its words are."""
-    plain = T.norm_text(F.col(text))
-    words = F.array_distinct(F.filter(F.split(F.col(field), r"\s+"), lambda x: x != ""))
-    hit = F.size(F.filter(words, lambda w: F.contains(plain, T.norm_text(w))))
-    return df.withColumn("covered", F.contains(plain, T.norm_text(F.col(field))) | ((F.size(words) > 0) & (hit >= 0.8 * F.size(words))))
+def matched_share(field: pd.Series, text: pd.Series) -> pd.Series:
+    """Characters of a field in blocks that it has in common with a text, as a share; null for a null field."""
+    share = lambda f, t: None if f is None or t is None else sum(b.size for b in difflib.SequenceMatcher(None, f, t).get_matching_blocks()) / max(1, len(f))
+    return pd.Series([share(f, t) for f, t in zip(field, text)], dtype="float64")
+
+
+def audit_coverage(df: DataFrame, text: str, field: str, least: float = 0.8) -> DataFrame:
+    """``covered``: whether a field is found in an audit text, or four fifths of it are in blocks that the text has too.
+
+    Only fields that aren't found as they are go to Python. A null field or text is not covered.
+    """
+    plain, sought = T.norm_text(F.col(text)), T.norm_text(F.col(field))
+    there = F.coalesce(F.contains(plain, sought), F.lit(False))
+    share = F.pandas_udf(matched_share, "double")
+    near = F.coalesce(share(F.when(~there, sought), plain) >= least, F.lit(False))
+    return df.withColumn("covered", there | near)
+
+
+def checks_passed(required: DataFrame, proofs: DataFrame, checks: DataFrame) -> DataFrame:
+    """Whether an artifact's last proof is of its content and passed all that is required of its kind (J20): ``artifact, proven, open``.
+
+    ``required``: ``kind, check``; ``proofs``: ``artifact, kind, proof, at, hash, content_hash``; ``checks``: ``proof, check,
+    result``. ``open`` are the required checks that didn't pass, by name. A kind that nothing is required of needs the hash only.
+    """
+    p = F.struct("at", "proof", "kind", (F.col("hash") == F.col("content_hash")).alias("same"))
+    last = proofs.groupBy("artifact").agg(F.max(p).alias("p")).select("artifact", "p.kind", "p.proof", "p.same")
+    passed = checks.where("result = 'PASSED'").select("proof", "check", F.lit(True).alias("ok")).distinct()
+    j = last.join(required.distinct(), "kind", "left").join(passed, ["proof", "check"], "left")
+    still = F.array_sort(F.collect_set(F.when(F.col("check").isNotNull() & F.col("ok").isNull(), F.col("check"))))
+    return j.groupBy("artifact").agg(F.bool_and(F.coalesce("same", F.lit(False))).alias("same"), still.alias("open")).select("artifact", (F.col("same") & (F.size("open") == 0)).alias("proven"), "open")
 
 
 def fixed_labels(choices: DataFrame, key: str) -> DataFrame:

@@ -108,25 +108,41 @@ def merged_units(readings: DataFrame) -> DataFrame:
     return readings.groupBy("question_id", "kind", "field", key.alias("unit_key")).agg(F.count("*").alias("readings")).select("question_id", "kind", "field", "readings")
 
 
-def gate(settled: DataFrame, units: DataFrame, numbers: DataFrame) -> DataFrame:
+#: Kinds of units and the counter that their conflicts go to (all others: text); kinds of flags that count.
+BUCKETS = {"number": "number", "question_number": "number", "points": "number", "choice": "choice", "math_symbol": "math", "variable": "math", "unit": "math", "angle": "figure", "length": "figure", "figure_label": "figure"}
+FLAGS = ["missing_condition", "logic_conflict", "unsolvable_question", "ambiguous_answer", "invalid_figure", "math_check_failed"]
+
+
+def gate(settled: DataFrame, units: DataFrame, numbers: DataFrame, questions: DataFrame | None = None, regions: DataFrame | None = None, pages: DataFrame | None = None, problems: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
     """Counters of a document: unverified, conflicts by kind, duplicate and missing numbers.
 
-    ``units``: ``doc_id, atu_id, kind``; ``numbers``: ``doc_id, number``. A document passes when
+    ``units``: ``doc_id, atu_id, kind``; ``numbers``: ``doc_id, number``. What else is known adds counters: ``questions``
+    (``doc_id, has_content``) those without content, ``regions`` (``doc_id, decision``) those whose decision is
+    REVIEW_REQUIRED, ``pages`` (``doc_id, failed``) those not processed, ``problems`` (``doc_id``) mismatches of
+    the manifest, ``flags`` (``doc_id, kind``) each kind of flag. A document is one that has a unit; it passes when
     all counters are 0.
     """
-    buckets = {"number": "number", "question_number": "number", "choice": "choice", "math_symbol": "math", "variable": "math", "angle": "figure", "length": "figure", "figure_label": "figure"}
-    kind = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in buckets.items()], F.lit("text"))
+    kind = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in BUCKETS.items()], F.lit("text"))
     j = units.select("doc_id", "atu_id", "kind").distinct().join(settled.select("atu_id", "status"), "atu_id")
     conflict = lambda b: F.count_if((F.col("status") == "CONFLICT") & (kind == b)).alias(f"{b}_conflict")
-    counts = j.groupBy("doc_id").agg(F.count_if(F.col("status") == "UNVERIFIED").alias("unverified"), *[conflict(b) for b in ("number", "choice", "math", "figure", "text")])
+    out = j.groupBy("doc_id").agg(F.count_if(F.col("status") == "UNVERIFIED").alias("unverified"), *[conflict(b) for b in ("number", "choice", "math", "figure", "text")])
     n = numbers.where("number is not null").groupBy("doc_id", "number").agg(F.count("*").alias("times"))
-    gaps = n.groupBy("doc_id").agg((F.max("number") - F.min("number") + 1 - F.count("*")).alias("gaps"), F.count_if(F.col("times") > 1).alias("duplicates"))
-    out = counts.join(gaps, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("gaps", "duplicates")})
-    zero = [F.col(c) == 0 for c in out.columns if c != "doc_id"]
-    passed = zero[0]
-    for z in zero[1:]:
-        passed = passed & z
-    return out.withColumn("passed", passed)
+    more = [n.groupBy("doc_id").agg((F.max("number") - F.min("number") + 1 - F.count("*")).alias("gaps"), F.count_if(F.col("times") > 1).alias("duplicates"))]
+    if questions is not None:
+        more.append(questions.groupBy("doc_id").agg(F.count_if(~F.coalesce("has_content", F.lit(False))).alias("empty_questions")))
+    if regions is not None:
+        more.append(regions.groupBy("doc_id").agg(F.count_if(F.col("decision") == "REVIEW_REQUIRED").alias("reconstruction_pending")))
+    if pages is not None:
+        more.append(pages.groupBy("doc_id").agg(F.count_if("failed").alias("unprocessed_pages")))
+    if problems is not None:
+        more.append(problems.groupBy("doc_id").agg(F.count("*").alias("manifest_mismatch")))
+    if flags is not None:
+        more.append(flags.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in FLAGS]))
+    for m in more:
+        out = out.join(m, "doc_id", "left")
+    counters = [c for c in out.columns if c != "doc_id"]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counters})
+    return out.withColumn("passed", F.forall(F.array(*[F.col(c).cast("bigint") for c in counters]), lambda x: x == 0))
 
 
 def sure_label(readings: DataFrame) -> DataFrame:

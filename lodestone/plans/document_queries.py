@@ -181,6 +181,20 @@ def j20_latest_proof(s, d):
     return a.join(p, "id", "left").select("id", F.coalesce(F.col("h") == F.col("sha256"), F.lit(False)).alias("proven"))
 
 
+_PROOFS = "(select l_orderkey artifact, case l_linestatus when 'F' then 'pdf' else 'hwp' end kind, l_orderkey*10+l_linenumber proof, l_linenumber at_, l_quantity>10 same, case l_suppkey%3 when 0 then 'fonts' when 1 then 'layout' else 'text' end chk, l_returnflag<>'R' ok from lineitem)"
+
+
+@query("j20_required_checks", f"with l as (select artifact, arg_max(struct_pack(kind:=kind,proof:=proof,same:=same), (at_,proof,kind,same)) p from {_PROOFS} group by 1), q as (select * from (values ('pdf','text'),('pdf','fonts'),('hwp','text')) t(kind, chk)), c as (select distinct proof, chk from {_PROOFS} where ok), j as (select artifact, p.same same, q.chk need, c.chk got from l left join q on q.kind=p.kind left join c on c.proof=p.proof and c.chk=q.chk) select artifact, bool_and(same) and count(*) filter(need is not null and got is null)=0 proven, coalesce(list_sort(list(distinct need) filter(got is null)),[]) open from j group by 1")
+def j20_required_checks(s, d):
+    """Lines as proofs of their orders, the last one counts."""
+    line, key = table(s, d, "lineitem"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("proof")
+    kind = F.when(F.col("l_linestatus") == "F", "pdf").otherwise("hwp")
+    proofs = line.select(F.col("l_orderkey").alias("artifact"), kind.alias("kind"), key, F.col("l_linenumber").alias("at"), F.lit("x").alias("hash"), F.when(F.col("l_quantity") > 10, "x").otherwise("y").alias("content_hash"))
+    checks = line.select(key, F.when(F.col("l_suppkey") % 3 == 0, "fonts").when(F.col("l_suppkey") % 3 == 1, "layout").otherwise("text").alias("check"), F.when(F.col("l_returnflag") != "R", "PASSED").otherwise("FAILED").alias("result"))
+    required = s.createDataFrame([("pdf", "text"), ("pdf", "fonts"), ("hwp", "text")], "kind string, check string")
+    return documents.checks_passed(required, proofs, checks)
+
+
 @query("j21_head_overlay", "with r as (select distinct id, head_revision_id, lifecycle_state from doc_registry), h as (select document_id, arg_max(id,(revision_no,id)) newest from revisions where document_id is not null group by 1) select r.id, coalesce(h.newest,r.head_revision_id) head from r left join h on h.document_id=r.id")
 def j21_head_overlay(s, d):
     r = table(s, d, "doc_registry").select("id", "head_revision_id").distinct()

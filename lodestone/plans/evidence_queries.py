@@ -102,7 +102,7 @@ def j2_merged_units(s, d):
     return evidence.merged_units(readings(s, d))
 
 
-@query("a5_gate", f"""with {SETTLED}, u as (select distinct doc_id, atu_id, case kind when 'number' then 'number' when 'question_number' then 'number' when 'choice' then 'choice' when 'math_symbol' then 'math' when 'variable' then 'math' when 'angle' then 'figure' when 'length' then 'figure' when 'figure_label' then 'figure' else 'text' end b, kind from candidates),
+@query("a5_gate", f"""with {SETTLED}, u as (select distinct doc_id, atu_id, case kind when 'number' then 'number' when 'question_number' then 'number' when 'points' then 'number' when 'unit' then 'math' when 'choice' then 'choice' when 'math_symbol' then 'math' when 'variable' then 'math' when 'angle' then 'figure' when 'length' then 'figure' when 'figure_label' then 'figure' else 'text' end b, kind from candidates),
 c as (select doc_id, count(*) filter(status='UNVERIFIED') unverified, {', '.join(f"count(*) filter(status='CONFLICT' and b='{b}') {b}_conflict" for b in ('number', 'choice', 'math', 'figure', 'text'))} from u join settled using(atu_id) group by 1),
 n as (select doc_id, ord number, count(*) times from (select distinct doc_id, question_id, ord from candidates where ord is not null) group by all),
 g as (select doc_id, max(number)-min(number)+1-count(*) gaps, count(*) filter(times>1) duplicates from n group by 1)
@@ -113,6 +113,25 @@ def a5_gate(s, d):
     return evidence.gate(evidence.settle(r), r, numbers)
 
 
+@query("a5_gate_in_full", f"""with {WHOLE}, du as (select distinct doc_id, atu_id from candidates), c as (select doc_id, count(*) filter(status='UNVERIFIED') unverified from du join settled using(atu_id) group by 1),
+q as (select doc_id, count(*) filter(not ok) empty_questions from (select doc_id, question_id, bool_or(coalesce(field='body' and value_json is not null,false)) ok from candidates group by all) group by 1),
+rr as (select doc_id, count(*) filter(value_json is null) reconstruction_pending from (select distinct * from candidates) group by 1),
+p as (select doc_id, count(*) filter(bad) unprocessed_pages from (select doc_id, ord, bool_and(value_json is null) bad from candidates group by all) group by 1),
+m as (select doc_id, count(*) manifest_mismatch from candidates where false group by 1),
+g as (select doc_id, count(*) filter(confidence>1) logic_conflict, count(*) filter(confidence<0) ambiguous_answer from (select distinct * from candidates) group by 1)
+select doc_id, unverified, empty_questions, reconstruction_pending, unprocessed_pages, coalesce(manifest_mismatch,0) manifest_mismatch, logic_conflict, ambiguous_answer from c join q using(doc_id) join rr using(doc_id) join p using(doc_id) left join m using(doc_id) join g using(doc_id)""")
+def a5_gate_in_full(s, d):
+    """Questions without a body, readings without a value, places where nothing was read, and confidences out of range as flags."""
+    r, (named, units) = readings(s, d), truth_units(s, d)
+    questions = r.groupBy("doc_id", "question_id").agg(F.bool_or(F.coalesce((F.col("field") == "body") & F.col("value_json").isNotNull(), F.lit(False))).alias("has_content"))
+    regions = r.select("doc_id", F.when(F.col("value_json").isNull(), "REVIEW_REQUIRED").otherwise("KEEP").alias("decision"))
+    pages = r.groupBy("doc_id", "ord").agg(F.bool_and(F.col("value_json").isNull()).alias("failed"))
+    flags = r.select("doc_id", F.when(F.col("confidence") > 1, "logic_conflict").when(F.col("confidence") < 0, "ambiguous_answer").alias("kind"))
+    numbers = r.select("doc_id", F.col("ord").alias("number")).limit(0)
+    g = evidence.gate(evidence.settle(named, units), r, numbers, questions, regions, pages, r.select("doc_id").limit(0), flags)
+    return g.select("doc_id", "unverified", "empty_questions", "reconstruction_pending", "unprocessed_pages", "manifest_mismatch", "logic_conflict", "ambiguous_answer")
+
+
 @query("w8_latest_reading", "select atu_id, provider, candidate_id, value_json from (select *, row_number() over(partition by atu_id, provider order by ts desc nulls last, candidate_id desc) k from (select distinct * from candidates)) where k=1")
 def w8_latest_reading(s, d):
     return evidence.sure_label(readings(s, d)).select("atu_id", "provider", "candidate_id", "value_json")

@@ -100,3 +100,31 @@ def test_objects_that_should_be_there(spark):
     a = spark.createDataFrame([("a", ["body"], ["2", "3", "4"], 1), ("c", ["figure"], ["9"], 2)], kind)
     got = {tuple(r) for r in compare.manifest_problems(e, a).collect()}
     assert got == {("a", "missing", "points"), ("a", "missing", "choice:1"), ("a", "duplicate", "choice:3"), ("a", "duplicate", "choice:4"), ("a", "missing", "equation:2/1"), ("b", "missing_question", None), ("c", "missing", "choice:1"), ("c", "duplicate", "equation:1/2")}
+
+
+def test_gate_counts_what_is_known(spark):
+    settled = spark.createDataFrame([("a", "CONFLICT"), ("b", "CONFLICT"), ("c", "AUTO_VERIFIED")], "atu_id string, status string")
+    units = spark.createDataFrame([("d", "a", "points"), ("d", "b", "unit"), ("e", "c", "text_token")], "doc_id string, atu_id string, kind string")
+    numbers = spark.createDataFrame([("d", 1), ("d", 4), ("d", 4)], "doc_id string, number int")
+    q = spark.createDataFrame([("d", True), ("d", None), ("d", False), ("z", False)], "doc_id string, has_content boolean")
+    regions = spark.createDataFrame([("d", "REVIEW_REQUIRED"), ("d", "KEEP")], "doc_id string, decision string")
+    pages = spark.createDataFrame([("d", True), ("d", False)], "doc_id string, failed boolean")
+    flags = spark.createDataFrame([("d", "logic_conflict"), ("d", "none")], "doc_id string, kind string")
+    got = {r.doc_id: r.asDict() for r in evidence.gate(settled, units, numbers, q, regions, pages, q.where("doc_id = 'd'").select("doc_id"), flags).collect()}
+    d = got["d"]
+    assert (d["number_conflict"], d["math_conflict"], d["gaps"], d["duplicates"], d["empty_questions"], d["reconstruction_pending"], d["unprocessed_pages"], d["manifest_mismatch"], d["logic_conflict"], d["passed"]) == (1, 1, 2, 1, 2, 1, 1, 3, 1, False)
+    assert got["e"]["passed"] and set(got) == {"d", "e"}
+
+
+def test_fields_found_in_an_audit_text(spark):
+    rows = [("abcdefghij", "xx abcdXefghij"), ("abc", "a b c"), ("abcdefghij", "jihgfedcba"), (None, "a"), ("a", None), ("", "x")]
+    df = spark.createDataFrame(rows, "f string, t string")
+    assert [r.covered for r in documents.audit_coverage(df, "t", "f").collect()] == [True, True, False, False, False, True]
+
+
+def test_required_checks_of_the_last_proof(spark):
+    required = spark.createDataFrame([("pdf", "a"), ("pdf", "b")], "kind string, check string")
+    proofs = spark.createDataFrame([(1, "pdf", 10, 1, "h", "h"), (1, "pdf", 11, 2, "h", "h"), (2, "pdf", 20, 1, "h", "x"), (3, "txt", 30, 1, "h", "h"), (4, "pdf", 40, 1, "h", None)], "artifact int, kind string, proof int, at int, hash string, content_hash string")
+    checks = spark.createDataFrame([(10, "a", "PASSED"), (11, "a", "PASSED"), (11, "b", "PASSED"), (11, "b", "PASSED"), (20, "a", "PASSED"), (20, "b", "PASSED"), (40, "a", "FAILED")], "proof int, check string, result string")
+    got = {r.artifact: (r.proven, r.open) for r in documents.checks_passed(required, proofs, checks).collect()}
+    assert got == {1: (True, []), 2: (False, []), 3: (True, []), 4: (False, ["a", "b"])}
