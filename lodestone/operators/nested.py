@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.tables import store
 
-#: Containers within one another that the schema follows; what is deeper is walked on from there.
-DEPTH = 24
+#: Containers within one another that the schema follows; what is deeper is walked on from there, so many levels at a time.
+DEPTH, STEPS = 12, 8
 #: Members of one object from which it counts as a dictionary, as one whose names are all numbers does.
 DICTIONARY = 200
 #: Rounds of inference. Each settles one more level of disagreement.
@@ -259,7 +259,7 @@ def flatten(df: DataFrame, key: str, value: str, shape: Shape | None = None, kee
         deep = store(deep)
         if deep.isEmpty():
             break
-        grown = store(deep.select("root_id", F.explode(_children("node", "parent", "path", "kind", "rest", keep)).alias("n")).select("root_id", "n.*"))
+        grown = store(_grown(deep, keep))
         found.append(grown)
         deep = grown.where(F.col("rest").isNotNull())
     every = reduce(DataFrame.unionByName, found)
@@ -268,21 +268,32 @@ def flatten(df: DataFrame, key: str, value: str, shape: Shape | None = None, kee
     return every.select("root_id", "node", "parent", "path", "ordinal", is_object, "in_array", "value", row_key("node").alias("row_key"), row_key("parent").alias("parent_key"))
 
 
-def _children(node: str, parent: str, path: str, kind: str, rest: str, keep: bool) -> Column:
-    """The containers and array elements right below a node that the schema doesn't reach."""
-    x = F.col(rest)
+def _grown(deep: DataFrame, keep: bool) -> DataFrame:
+    """What is up to ``STEPS`` levels below nodes that the schema doesn't reach; ``rest`` is left where there is more."""
+    names = [c for c in deep.columns if c != "root_id"]
+    out = deep.select("root_id", F.struct(*names, F.lit(0).alias("level")).alias("n"))
+    for _ in range(STEPS):
+        n = F.col("n")
+        done = F.struct(*[F.lit(None).cast("variant").alias(c) if c == "rest" else n[c].alias(c) for c in [*names, "level"]])
+        out = out.select("root_id", F.explode(F.when(n["rest"].isNotNull(), F.concat(F.array(done), _children(n, keep))).otherwise(F.array(n))).alias("n"))
+    return out.where("n.level > 0").select("root_id", *[F.col("n")[c].alias(c) for c in names])
+
+
+def _children(n: Column, keep: bool) -> Column:
+    """The containers and array elements right below a node."""
+    x = n["rest"]
 
     def child(value: Column, name: Column, above: Column, table: Column, ordinal: Column, in_array: bool) -> Column:
         what = F.when(_get(value, "map<string,variant>").isNotNull(), "object").when(_get(value, "array<variant>").isNotNull(), "array").otherwise("scalar")
         none = F.lit(None).cast("variant")
-        fields = {"node": name, "parent": above, "path": table, "ordinal": ordinal, "kind": what, "in_array": F.lit(in_array), "value": value if keep else none, "rest": F.when(what != "scalar", value)}
-        return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-    here = F.when(F.col(kind) == "object", F.col(node)).otherwise(F.col(parent))
-    items = F.transform(_get(x, "array<variant>"), lambda e, i: child(e, F.concat(F.col(node), F.lit("["), i.cast("string"), F.lit("]")), here, F.concat(F.col(path), F.lit("[]")), i, True))
-    entry = lambda e: child(e["value"], F.concat(F.col(node), F.lit("."), e["key"]), here, F.concat(F.col(path), F.lit("."), e["key"]), F.lit(None).cast("int"), False)
-    members = F.filter(F.transform(F.map_entries(_get(x, "map<string,variant>")), entry), lambda n: n["kind"] != "scalar")
-    return F.when(F.col(kind) == "array", items).otherwise(members)
+        fields = {"node": name, "parent": above, "path": table, "ordinal": ordinal, "kind": what, "in_array": F.lit(in_array), "value": value if keep else none, "rest": F.when(what != "scalar", value), "level": n["level"] + 1}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    here = F.when(n["kind"] == "object", n["node"]).otherwise(n["parent"])
+    items = F.transform(_get(x, "array<variant>"), lambda e, i: child(e, F.concat(n["node"], F.lit("["), i.cast("string"), F.lit("]")), here, F.concat(n["path"], F.lit("[]")), i, True))
+    entry = lambda e: child(e["value"], F.concat(n["node"], F.lit("."), e["key"]), here, F.concat(n["path"], F.lit("."), e["key"]), F.lit(None).cast("int"), False)
+    members = F.filter(F.transform(F.map_entries(_get(x, "map<string,variant>")), entry), lambda m: m["kind"] != "scalar")
+    return F.coalesce(F.when(n["kind"] == "array", items).otherwise(members), F.array().cast("array<struct<node:string,parent:string,path:string,ordinal:int,kind:string,in_array:boolean,value:variant,rest:variant,level:int>>"))
 
 
 def merged_schema(df: DataFrame, value: str, shape: Shape | None = None) -> DataFrame:
