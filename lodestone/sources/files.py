@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: First bytes of file types.
 MAGIC = {"pdf": "25504446", "png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "zip": "504B0304"}
@@ -14,12 +14,27 @@ ITEM = "label string, number string, type string, points string, body string, ch
 CIRCLED = ["①", "②", "③", "④", "⑤"]
 
 
+def _parsed(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, Column]:
+    """Lines of JSON as the struct ``r`` with their ``file``, and whether a line can't be read in full, whatever columns are used later."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    bad = StructType([*kind.fields, StructField("_bad", StringType())])
+    lines = spark.read.text(path).where(F.btrim("value") != "").select(F.input_file_name().alias("file"), F.from_json("value", bad, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return lines, F.col("r").isNull() | F.col("r._bad").isNotNull()
+
+
 def load_documents(spark: SparkSession, path: str, schema: StructType | str, tenant: str | None = None) -> DataFrame:
-    """JSON documents of a folder; unreadable ones are skipped, ones without a tenant never returned for a tenant."""
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON documents of a folder; unreadable ones are skipped (and counted by ``unreadable``), ones without a tenant never returned for a tenant."""
+    lines, bad = _parsed(spark, path, schema)
+    df = lines.where(~bad).select("r.*").drop("_bad")
     return df if tenant is None else df.where(F.col("tenant_id") == tenant)
 
 
+def unreadable(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """``file, rows, unreadable`` of a folder of JSON documents: what ``load_documents`` skips (S2). Empty lines are no rows."""
+    lines, bad = _parsed(spark, path, schema)
+    return lines.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(bad).alias("unreadable"))
+
+
 def save_documents(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Documents as JSON lines, a folder for each tenant."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)

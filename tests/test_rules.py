@@ -1,6 +1,8 @@
 from lodestone.functions import text as T
 from lodestone.operators import compare, documents, evidence, leases, ordered, scenes, versions
+from lodestone.sources import files
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def test_people_outrank_machines_and_unread_units_stay(spark):
@@ -128,3 +130,11 @@ def test_required_checks_of_the_last_proof(spark):
     checks = spark.createDataFrame([(10, "a", "PASSED"), (11, "a", "PASSED"), (11, "b", "PASSED"), (11, "b", "PASSED"), (20, "a", "PASSED"), (20, "b", "PASSED"), (40, "a", "FAILED")], "proof int, check string, result string")
     got = {r.artifact: (r.proven, r.open) for r in documents.checks_passed(required, proofs, checks).collect()}
     assert got == {1: (True, []), 2: (False, []), 3: (True, []), 4: (False, ["a", "b"])}
+
+
+def test_unreadable_rows_are_counted(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "1", "n": 2}\n{"id": "2", "n": "x"}\n{"id": \n\n[1]\n')
+    schema = StructType([StructField("id", StringType()), StructField("n", IntegerType())])
+    row = files.unreadable(spark, str(tmp_path), schema).first()
+    kept = files.load_documents(spark, str(tmp_path), schema).where("id is not null").count()
+    assert row.rows == 4 and row.unreadable == 3 and kept == 1
