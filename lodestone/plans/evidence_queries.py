@@ -187,7 +187,10 @@ def f5_norm_answer(s, d):
     return table(s, d, "expected").select("expected_id", "answer").distinct().where("answer is not null").select("expected_id", T.norm_answer(F.col("answer")).alias("plain"))
 
 
-@query("f6_answers_match")
+_ANSWER = lambda c: "trim(regexp_replace(trim(case regexp_replace(trim(" + c + r",' '),'\.+$','') " + "".join(f"when '{m}' then '{i}' " for i, m in enumerate(T.CIRCLED, 1)) + "else regexp_replace(trim(" + c + r",' '),'\.+$','') end,' '),'([\d.])(?:" + T.ANSWER_UNITS + r")$','\1'),' ')"
+
+
+@query("f6_answers_match", f"with t as (select expected_id, {_ANSWER('answer')} x, {_ANSWER('c')} y from (select distinct expected_id, answer, choices['①'] c from expected)), b as (select *, regexp_replace(x,'[^\\w가-힣]','','g') bx, regexp_replace(y,'[^\\w가-힣]','','g') b_y from t) select expected_id, coalesce(x<>'' and y<>'' and (x=y or (length(bx)>=2 and not regexp_full_match(bx,'\\d+') and contains(b_y,bx))),false) \"match\" from b")
 def f6_answers_match(s, d):
     e = table(s, d, "expected").select("expected_id", "answer", F.col("choices")["①"].alias("c")).distinct()
     return e.select("expected_id", F.coalesce(T.answers_match(F.col("answer"), F.col("c")), F.lit(False)).alias("match"))
@@ -252,7 +255,7 @@ def t4_natural_sort(s, d):
     return table(s, d, "source_assets").where("original_name is not null").select("id", T.natural_key(F.col("original_name")).alias("sort_key")).distinct()
 
 
-@query("s12_safe_filename")
+@query("s12_safe_filename", r"""with t as (select distinct id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(original_name,'^.*[/\\]',''),':.*$',''),'[\p{Cc}\p{Cf}]','','g'),'[<>"|?*]','_','g'),' .') t from source_assets) select distinct id, case when t='' then 'unnamed' else left(t,200) end as name from t""")
 def s12_safe_filename(s, d):
     return table(s, d, "source_assets").select("id", T.safe_filename(F.col("original_name")).alias("name")).distinct()
 

@@ -99,5 +99,13 @@ select src, root_id, node, regexp_replace(regexp_replace(node, '(\[\d+\])+$', ''
 union all
 select distinct 'expected', expected_id::varchar, 'choices.' || k, '' from (select expected_id, unnest(map_keys(choices)) k, unnest(map_values(choices)) v from expected) where v is not null"""
 
+P6_QUESTIONS_SQL = r"""
+with raw as (select distinct id root_id, content_json j from revisions), valid as (select * from raw where json_valid(j)),
+roots as (select root_id, case when json_type(j) = 'VARCHAR' then json_extract_string(j, '$') else j end j from valid),
+q as (select root_id, json_extract(j, '$.questions[*]') l from roots where json_valid(j) and json_type(j) = 'OBJECT' and json_type(j, '$.questions') = 'ARRAY'),
+e as (select root_id, unnest(l) v, generate_subscripts(l, 1) - 1 ordinal from q)
+select root_id, root_id || '#questions[' || ordinal || ']' row_key, root_id || '#' parent_key, ordinal::int ordinal, json_extract_string(v, '$.id') id,
+  try_cast(json_extract_string(v, '$.number') as bigint) number, json_extract_string(v, '$.label') as label, json_extract_string(v, '$.type') as type, try_cast(json_extract_string(v, '$.points') as bigint) points from e"""
+
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_schema": p6_schema, "p6_questions": p6_questions}
-ORACLE = {"p5_found": P5_FOUND_SQL, "p5_report": P5_REPORT_SQL, "p6_found": P6_FOUND_SQL}
+ORACLE = {"p5_found": P5_FOUND_SQL, "p5_report": P5_REPORT_SQL, "p6_found": P6_FOUND_SQL, "p6_questions": P6_QUESTIONS_SQL}
