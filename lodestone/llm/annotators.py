@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +85,24 @@ def _weights(cells: DataFrame, counts: DataFrame | None) -> DataFrame:
     return j.select("cell", "annotator", "scale", "bin", F.col("all_readings").alias("readings"), F.col("all_judged").alias("judged"), "accuracy", p.alias("p"))
 
 
+def _weights_here(cells: pd.DataFrame, counts: pd.DataFrame | None) -> pd.DataFrame:
+    """As ``_weights``, for kinds of readings that the driver holds: the columns of ``cells`` with the logarithms in ``p0`` …"""
+    n, k = len(cells), cells["k"].to_numpy()
+    turns = [f"h{c}" for c in range(K)]
+    j = cells.assign(readings=0, judged=0, **dict.fromkeys(turns, 0)) if counts is None else cells.merge(counts, on="cell", how="left").fillna(dict.fromkeys(["readings", "judged", *turns], 0))
+    hits, judged, within = j[turns].to_numpy(float), j["judged"].to_numpy(float), np.arange(K)[None, :] < k[:, None]
+    share = np.where(np.arange(K) == 0, START, (1 - START) / (k[:, None] - 1)) * within
+    out = j[["cell", "annotator", "scale"]].copy()
+    for level in (["annotator"], ["annotator", "scale"], ["annotator", "scale", "bin"]):
+        at = j.groupby(level, sort=False).ngroup().to_numpy()
+        add = lambda x: np.bincount(at, x, n)[at]  # noqa: B023, E731
+        share = np.stack([add(hits[:, c]) + WEIGHT * share[:, c] for c in range(K)], 1) / (add(judged) + WEIGHT)[:, None] * within
+        if len(level) == 2:
+            out = out.assign(accuracy=share[:, 0], readings=add(j["readings"].to_numpy(float)).astype(np.int64), judged=add(judged).astype(np.int64))
+    p = np.log(np.maximum(share / share.sum(1, keepdims=True) * k[:, None], 1e-5))
+    return out.assign(**{f"p{c}": p[:, c] for c in range(K)})
+
+
 def _scores(batch: pa.RecordBatch, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Of a batch of items: each vote's item, cell and label; for each table of weights what votes say and what all say."""
     votes = batch.column("votes")
@@ -142,11 +161,9 @@ def _labeller(share):
     return run
 
 
-def _table(weights: DataFrame) -> np.ndarray:
-    rows = weights.select("cell", "p").collect()
-    out = np.zeros((len(rows), K))
-    for r in rows:
-        out[r.cell] = r.p
+def _table(weights: pd.DataFrame) -> np.ndarray:
+    out = np.zeros((len(weights), K))
+    out[weights["cell"].to_numpy()] = weights[[f"p{c}" for c in range(K)]].to_numpy()
     return out
 
 
@@ -200,37 +217,42 @@ def consensus(readings: DataFrame, most_rounds: int = 50, stable: float = 1e-5)
     items, cells = votes(readings)
     spark, small = readings.sparkSession, cells.count() <= BROADCAST
     counted = "cell bigint, readings bigint, judged bigint, " + ", ".join(f"h{c} bigint" for c in range(K))
+    if small:
+        # kinds of readings are few: their weights are worked out here, items stay where they are
+        kinds = cells.toPandas()
+        weigh = lambda counts: _weights_here(kinds, counts)
 
-    def fixed(df: DataFrame) -> DataFrame:
-        """The frame, computed: few rows as they are, many in the checkpoint folder."""
-        return spark.createDataFrame(df.collect(), df.schema) if small else cut(df)
-
-    def measure(weights: list[DataFrame]) -> DataFrame:
-        if not small:
-            return _measure(_with_weights(items, weights), len(weights) > 1)
-        # a row for each kind of reading, which are few here
-        share = spark.sparkContext.broadcast([_table(w) for w in weights])
-        parts = items.select("k", "n", "votes").mapInArrow(_counter(share, len(weights) > 1), counted)
-        return parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]])
+        def measure(weights: list[pd.DataFrame]) -> pd.DataFrame:
+            share = spark.sparkContext.broadcast([_table(w) for w in weights])
+            parts = items.select("k", "n", "votes").mapInArrow(_counter(share, len(weights) > 1), counted)
+            return parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]]).toPandas()
 
-    last, now, changed, rounds = None, fixed(_weights(cells, None)), 1.0, 0
+        moved = lambda counts: next(counts[counts["cell"] == -1].itertuples(), None)
+    else:
+        weigh = lambda counts: cut(_weights(cells, counts))
+        measure = lambda weights: cut(_measure(_with_weights(items, weights), len(weights) > 1))
+        moved = lambda counts: counts.where("cell = -1").first()
+    last, now, changed, rounds = None, weigh(None), 1.0, 0
     while rounds < most_rounds and changed > stable:
-        counts = fixed(measure([now] if last is None else [now, last]))
-        moved = counts.where("cell = -1").first()
-        if moved is None:
+        counts = measure([now] if last is None else [now, last])
+        found = moved(counts)
+        if found is None:
             changed = 0.0
             break
-        changed, rounds = moved.h1 / moved.readings, rounds + 1
-        last, now = now, fixed(_weights(cells, counts))
+        changed, rounds = float(found.h1 / found.readings), rounds + 1
+        last, now = now, weigh(counts)
+    says = "annotator string, scale string, readings bigint, judged bigint, accuracy double"
     if small:
         share = spark.sparkContext.broadcast([_table(now)])
         kind = items.schema["item"].dataType.simpleString()
         labels = items.mapInArrow(_labeller(share), f"item {kind}, scale string, n bigint, alike boolean, label int, sure double")
+        record = now.drop_duplicates(["annotator", "scale"])[["annotator", "scale", "readings", "judged", "accuracy"]]
+        record = spark.createDataFrame([tuple(r) for r in record.astype(object).itertuples(index=False)], says)
     else:
         scored = _with_weights(items, [now]).withColumn("t", _totals(0))
         sure = 1 / F.aggregate("t", F.lit(0.0), lambda a, x: a + F.exp(F.greatest(x - F.array_max("t"), F.lit(-700.0))))
         labels = scored.select("item", "scale", "n", "alike", _best(F.col("t")).alias("label"), sure.alias("sure"))
-    record = now.select("annotator", "scale", "readings", "judged", "accuracy").distinct()
+        record = now.select("annotator", "scale", "readings", "judged", "accuracy").distinct()
     return labels, record.select("*", F.lit(rounds).alias("rounds"), F.lit(changed).alias("changed")), items
 
 
