@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,14 +55,3 @@ def cut(df: DataFrame) -> DataFrame:
     """The frame, computed once and read again from the shared checkpoint folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """The frame cached as it is partitioned, so that later steps on its keys need no shuffle."""
-    conf, name = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    finally:
-        conf.set(name, before)
