@@ -18,21 +18,73 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], tile: float)
     ``left`` and ``right``: ``on..., id, x, y, w, h``. Boxes meet in tiles of the page, so a
     page with very many boxes is spread over its tiles; a pair counts in the tile that holds
     the top left corner of its intersection. Share is the intersection over the smaller area (M5).
+    Boxes are counted first: where tiles hold many, boxes meet in cells smaller than themselves instead.
     """
-
-    def tiled(d: DataFrame, p: str) -> DataFrame:
-        span = lambda v, s: F.sequence(F.floor(F.col(v) / tile), F.floor((F.col(v) + F.col(s)) / tile))
-        t = d.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "x", "y", "w", "h")], F.explode(span("x", "w")).alias("tx"), "y", "h")
-        return t.select(*[c for c in t.columns if c not in ("y", "h")], F.explode(span("y", "h")).alias("ty"))
-
-    j = tiled(left, "a").join(tiled(right, "b"), [*on, "tx", "ty"])
+    pairs, boxes, cells = _crowding(left, right, on, tile)
+    if pairs <= CROWDED * boxes:
+        j = _tiled(left, "a", on, tile).join(_tiled(right, "b", on, tile), [*on, "tx", "ty"])
+        meet = (F.floor(F.greatest("a_x", "b_x") / tile) == F.col("tx")) & (F.floor(F.greatest("a_y", "b_y") / tile) == F.col("ty"))
+    else:
+        # the number of tasks follows the pairs: rows are few beside them
+        parts, keys = min(MOST_TASKS, 1 + pairs // TASK_PAIRS), [*on, "lx", "tx", "ly", "ty"]
+        spread = lambda d: d.repartition(min(MOST_TASKS, 1 + boxes // TASK_BOXES), *on, "id")
+        a, b = _starts_and_spans(spread(left), "a", on, cells, True), _starts_and_spans(spread(right), "b", on, cells, False)
+        j = a.repartition(parts, *keys).join(b.repartition(parts, *keys).hint("merge"), keys)
+        meet = ((F.col("a_x") >= F.col("b_x")) == F.col("lx")) & ((F.col("a_y") >= F.col("b_y")) == F.col("ly"))
     x0, y0 = F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y")
     x1, y1 = F.least(F.col("a_x") + F.col("a_w"), F.col("b_x") + F.col("b_w")), F.least(F.col("a_y") + F.col("a_h"), F.col("b_y") + F.col("b_h"))
-    j = j.where((x0 < x1) & (y0 < y1) & (F.floor(x0 / tile) == F.col("tx")) & (F.floor(y0 / tile) == F.col("ty")))
+    j = j.where((x0 < x1) & (y0 < y1) & meet)
     area = F.least(F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h"))
     return j.select(*on, "a_id", "b_id", ((x1 - x0) * (y1 - y0) / area).alias("share"))
 
 
+#: Pairs of boxes in tiles for each box from which smaller cells pay, and cells that a box of average size spans each way.
+CROWDED, SPAN = 64, 4
+#: Pairs and boxes that a task takes, about, and tasks at most.
+TASK_PAIRS, TASK_BOXES, MOST_TASKS = 50_000_000, 100_000, 4_000
+
+
+def _tiles(start: str, size: str, tile: float) -> Column:
+    return F.sequence(F.floor(F.col(start) / tile), F.floor((F.col(start) + F.col(size)) / tile))
+
+
+def _named(d: DataFrame, p: str, on: list[str], *more: Column) -> DataFrame:
+    return d.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "x", "y", "w", "h")], *more)
+
+
+def _tiled(d: DataFrame, p: str, on: list[str], tile: float) -> DataFrame:
+    """A row for each tile that a box touches."""
+    t = _named(d, p, on, F.explode(_tiles("x", "w", tile)).alias("tx"), "y", "h")
+    return t.select(*[c for c in t.columns if c not in ("y", "h")], F.explode(_tiles("y", "h", tile)).alias("ty"))
+
+
+def _crowding(left: DataFrame, right: DataFrame, on: list[str], tile: float) -> tuple[int, int, tuple[float, float]]:
+    """Pairs of boxes that are in one tile, rows of boxes in tiles, and cells of a part of the boxes' average size."""
+
+    def held(d: DataFrame, p: str) -> DataFrame:
+        t = _tiled(d, p, on, tile)
+        return t.groupBy(*on, "tx", "ty").agg(F.count("*").alias(p), F.sum(f"{p}_w").alias(f"{p}_w"), F.sum(f"{p}_h").alias(f"{p}_h"))
+
+    # every tile's boxes of one side are counted once, as whole numbers in double precision
+    n = [F.coalesce(F.col(p), F.lit(0)).cast("double") for p in "ab"]
+    sums = [F.sum(F.coalesce(F.col(f"a_{c}"), F.lit(0.0)) + F.coalesce(F.col(f"b_{c}"), F.lit(0.0))) for c in "wh"]
+    r = held(left, "a").join(held(right, "b"), [*on, "tx", "ty"], "full").agg(F.sum(n[0] * n[1]), F.sum(n[0] + n[1]), *sums).first()
+    boxes = r[1] or 0
+    size = lambda total: min(tile, total / boxes / SPAN) if boxes and total and 0 < total < float("inf") else tile
+    return int(r[0] or 0), int(boxes), (size(r[2]), size(r[3]))
+
+
+def _starts_and_spans(d: DataFrame, p: str, on: list[str], cells: tuple[float, float], first: bool) -> DataFrame:
+    """A row for each cell in which a box may meet others, by who starts later: its start alone, or all that it spans.
+
+    Each way, one of two boxes that overlap starts within the other: ``lx`` and ``ly`` say that it is the left one.
+    """
+    meets = lambda start, size, cell: F.array_union(F.array(F.struct(F.lit(first).alias("later"), F.floor(F.col(start) / cell).alias("at"))), F.transform(_tiles(start, size, cell), lambda i: F.struct(F.lit(not first).alias("later"), i.alias("at"))))
+    t = _named(d, p, on, "y", "h", F.explode(meets("x", "w", cells[0])).alias("mx"))
+    t = t.select("*", F.explode(meets("y", "h", cells[1])).alias("my"))
+    return t.select(*on, *[f"{p}_{c}" for c in ("id", "x", "y", "w", "h")], F.col("mx.later").alias("lx"), F.col("mx.at").alias("tx"), F.col("my.later").alias("ly"), F.col("my.at").alias("ty"))
+
+
 def box_union(df: DataFrame, by: list[str]) -> DataFrame:
     """The box around all boxes of a key."""
     g = df.groupBy(*by).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("r"), F.max(F.col("y") + F.col("h")).alias("b"))

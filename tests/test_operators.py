@@ -95,6 +95,22 @@ def test_overlaps_equal_brute_force(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_crowded_pages_meet_in_cells_and_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CROWDED", 4, raising=False)
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 2_000, raising=False)
+    rnd = random.Random(2)
+    boxes = [("pq"[i % 2], i, float(rnd.randrange(-6, 9)), rnd.uniform(-3, 4), rnd.choice([1.0, 4.0, 30.0]), rnd.choice([0.5, 9.0])) for i in range(500)]
+    df = spark.createDataFrame(boxes, "p string, id int, x double, y double, w double, h double")
+    some = df.where("id % 3 = 0")
+    want = {(a[1], b[1]) for a in boxes if a[1] % 3 == 0 for b in boxes if a[0] == b[0] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]}
+    for left, right, turn in ((some, df, 1), (df, some, -1)):
+        j = spatial.overlap_join(left, right, ["p"], 16.0)
+        got = [(r.a_id, r.b_id)[::turn] for r in j.collect()]
+        assert set(got) == want and len(got) == len(want)
+        # few rows make many pairs: tasks follow the pairs
+        assert j.rdd.getNumPartitions() > 10
+
+
 def test_scenes(spark):
     nodes = spark.createDataFrame([("s", "A", "point", [], {"x": 1.0}), ("s", "A", "point", [], {}), ("s", "m", "right_angle_mark", ["A", "B", "C"], {}), ("s", "z", "segment", ["A"], {"x": float("nan")})], "scene_id string, id string, kind string, refs array<string>, props map<string,double>")
     edges = spark.createDataFrame([("s", "parallel", ["A", "Q"]), ("s", "intersection", ["l", "k", "A"]), ("s", "on_line", ["A", "l"])], "scene_id string, kind string, refs array<string>")
