@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 from lodestone.llm import neardup
 
 
@@ -67,3 +69,31 @@ def test_large_classes_give_all_pairs(spark):
     want = brute(rows, 0.7)
     assert len(got) == len(set(got)) and set(got) == want
     assert (1, 2) in want and (149, 269) in want and (7, 501) in want
+
+
+def test_tokens_of_many_bags_meet_in_blocks(spark, monkeypatch):
+    # blocks are made where bags are signed, by a function that takes its size along
+    monkeypatch.setattr(neardup, "HELD", 50, raising=False)
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(500):
+        w = [rnd.choice(words) for _ in range(rnd.randrange(3, 12))] if i % 4 else rnd.choice(rows or [(0, words[:5])])[1][:-1] + [rnd.choice(words)]
+        rows.append((i, w))
+    for t in (0.3, 0.7):
+        want = brute(rows, t)
+        assert want and run(spark, rows, t, copies=10**6)[0] == want
+
+
+def test_no_token_is_one_tasks_work():
+    level = bytes([4 * 12]) * neardup.CELLS
+    bags = [[7, 100 + i, 200 + i, 300 + i] for i in range(20_000)]
+    batch = pa.RecordBatch.from_pydict({"rid": list(range(20_000)), "within": pa.array([1] * 20_000, pa.int64()), "h": pa.array(bags, pa.list_(pa.int64()))})
+    held, neardup.HELD = neardup.HELD, 512
+    try:
+        rows = pa.Table.from_batches(neardup._sign(level, 0.7)([batch]))
+    finally:
+        neardup.HELD = held
+    sizes = Counter(rows.column("key").to_pylist())
+    # frequent by the sketch (2 ** 12 bags, eight blocks): of the 20,000 bags no key has more than two blocks
+    assert max(sizes.values()) < 2.2 * 20_000 / 8 and set(rows.column("side").to_pylist()) == {0, 1, 2}
